@@ -189,7 +189,9 @@ def with_views(body: str, *names: str) -> str:
         order.append(n)
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({_CTE[n][0]})" for n in order) + "\n" + body.strip()
+    body = body.strip()
+    glue = "" if body.startswith(",") else "\n"
+    return "WITH " + ",\n".join(f"{n} AS ({_CTE[n][0]})" for n in order) + glue + body
 
 
 cte("isl", """SELECT conv_id, turn, role, coalesce(text,'') AS text,
