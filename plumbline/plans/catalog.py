@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from plumbline.plans import scores, traces  # noqa: F401
+from plumbline.plans import scores, statistics, store, traces  # noqa: F401
 from plumbline.plans.registry import ORACLE, QUERIES  # noqa: F401

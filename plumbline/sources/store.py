@@ -11,27 +11,37 @@ from plumbline.functions import text as T
 from plumbline.operators.ordered import latest_per_key, top_per_key
 
 STEP = "struct<thought:string,action_type:string,action_arg:string,observation:string>"
-CHAIN_SCHEMA = f"question string, steps array<{STEP}>, final_answer string, correct boolean"
+CHAIN_FIELDS = f"question:string,steps:array<{STEP}>,final_answer:string,correct:boolean"
 TELEMETRY_SCHEMA = "f array<double>, y int, d string, v string"
 
 
+def chain_rows(texts: DataFrame, col: str = "value") -> DataFrame:
+    """JSON lists of chains to rows; a missing label reads as wrong."""
+    keep = [c for c in texts.columns if c != col]
+    d = texts.select(*keep, F.explode(F.from_json(col, f"array<struct<{CHAIN_FIELDS}>>")).alias("c"))
+    return d.select(*keep, "c.question", "c.steps", "c.final_answer", F.coalesce("c.correct", F.lit(False)).alias("correct"))
+
+
 def read_chains(spark: SparkSession, path: str) -> DataFrame:
-    """Chain JSON lists, one file per domain; missing labels read as wrong. Cache and result files are left out."""
-    d = spark.read.schema(CHAIN_SCHEMA).option("multiLine", True).json(path)
+    """Chain JSON lists, one file per domain. Cache and result files are left out."""
+    d = spark.read.text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    d = d.select("*", name.alias("_file"))
+    d = d.select("value", name.alias("_file"))
     d = d.filter(~F.col("_file").contains("cache") & ~F.col("_file").contains("results"))
-    return d.select("question", "steps", "final_answer", F.coalesce("correct", F.lit(False)).alias("correct"),
-                    F.regexp_replace("_file", r"\.[^.]*$", "").alias("domain"))
+    return chain_rows(d.select("value", F.regexp_replace("_file", r"\.[^.]*$", "").alias("domain")))
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+def json_lines(lines: DataFrame, schema: str, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed lines). Blank lines are skipped."""
-    lines = spark.read.text(path).filter(T.strip(F.col("value")) != "")
+    lines = lines.filter(T.strip(F.col(col)) != "")
     full = ST._parse_datatype_string(schema).add("_bad", "string")
-    d = lines.select("value", F.from_json("value", full, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    good = d.filter(F.col("r._bad").isNull() & F.col("r").isNotNull()).select("r.*").drop("_bad")
-    return good, d.filter(F.col("r._bad").isNotNull()).select(F.col("value").alias("line"))
+    d = lines.select(col, F.from_json(col, full, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    return d.filter(~bad).select("r.*").drop("_bad"), d.filter(bad).select(F.col(col).alias("line"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    return json_lines(spark.read.text(path), schema)
 
 
 def valid_telemetry(rows: DataFrame, width: int = 11) -> DataFrame:
@@ -127,13 +137,12 @@ def without_domain(store: DataFrame, domain: str) -> DataFrame:
 
 
 def clear_domain(spark: SparkSession, path: str, domain: str) -> int:
-    """Empty one domain's partition in place; the other partitions are not touched."""
-    d = spark.read.parquet(path)
-    n = d.filter(F.col("domain") == domain).count()
+    """Drop one domain's partition of a stored table; the other partitions are not touched."""
+    n = spark.read.parquet(path).filter(F.col("domain") == domain).count()
     if n:
-        gone = [F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema if f.name != "domain"]
-        hold = spark.range(1).select(*gone, F.lit(domain).alias("domain"))
-        hold.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"domain={domain}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return n
 
 
