@@ -256,11 +256,11 @@ def j10(spark, base):
     return A.cost_per_user(V.users(spark, base), V.scored(spark, base)).select("user_id", "judge_calls")
 
 
-@query("j11_proxy_stats", with_views("""SELECT user_id, count(*) AS n_calls, CAST(sum(prompt_tokens) AS BIGINT) AS total_prompt, CAST(sum(completion_tokens) AS BIGINT) AS total_completion, round(avg(latency_ms), 4) AS avg_latency, round(avg(risk_score), 6) AS avg_risk,
+@query("j11_proxy_stats", with_views("""SELECT user_id, count(*) AS n_calls, CAST(sum(prompt_tokens) AS BIGINT) AS total_prompt, CAST(sum(completion_tokens) AS BIGINT) AS total_completion, round(avg(latency_ms) + 1e-9, 4) AS avg_latency, round(avg(risk_score) + 1e-9, 6) AS avg_risk,
  count(CASE WHEN status <> 'ok' THEN 1 END) AS n_errors FROM proxy_v WHERE ts >= (SELECT max(ts) FROM proxy_v) - 7 * 86400 GROUP BY user_id""", "proxy_v"))
 def j11(spark, base):
     d = A.proxy_stats(V.proxy(spark, base))
-    return d.withColumns({"avg_latency": F.round("avg_latency", 4), "avg_risk": F.round("avg_risk", 6)})
+    return d.withColumns({"avg_latency": F.round(F.col("avg_latency") + 1e-9, 4), "avg_risk": F.round(F.col("avg_risk") + 1e-9, 6)})
 
 
 @query("j12_proxy_requests", with_views("SELECT id, user_id, model, prompt_tokens, completion_tokens, status, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS rn FROM proxy_v) WHERE rn <= 50", "proxy_v"))

@@ -32,12 +32,15 @@ def read_chains(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_lines(lines: DataFrame, schema: str, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good rows, malformed lines). Blank lines are skipped."""
+    """(good rows, malformed lines). Blank lines are skipped.
+
+    Each line is read as the only item of a list, so text after the object counts as malformed too.
+    """
     lines = lines.filter(T.strip(F.col(col)) != "")
-    full = ST._parse_datatype_string(schema).add("_bad", "string")
-    d = lines.select(col, F.from_json(col, full, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    return d.filter(~bad).select("r.*").drop("_bad"), d.filter(bad).select(F.col(col).alias("line"))
+    one = F.concat(F.lit("["), F.col(col), F.lit("]"))
+    d = lines.select(col, F.from_json(one, ST.ArrayType(ST._parse_datatype_string(schema))).alias("r"))
+    good = F.coalesce(F.size("r") == 1, F.lit(False)) & F.get("r", F.lit(0)).isNotNull()
+    return d.filter(good).select(F.get("r", F.lit(0)).alias("r")).select("r.*"), d.filter(~good).select(F.col(col).alias("line"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
