@@ -48,12 +48,12 @@ q AS (SELECT w.domain, ts, rn, risk_score, list_sum(list_transform(range(10), la
 f AS (SELECT domain, rn, 0.0::DOUBLE AS c, 0.0::DOUBLE AS shown, psi, sd, ts FROM q WHERE rn = 1
  UNION ALL SELECT q.domain, q.rn, CASE WHEN q.rn < 20 THEN 0.0::DOUBLE WHEN greatest(0.0::DOUBLE, f.c + q.risk_score - q.mu - 0.5*q.sd) > 5*q.sd THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, f.c + q.risk_score - q.mu - 0.5*q.sd) END,
  CASE WHEN q.rn < 20 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, f.c + q.risk_score - q.mu - 0.5*q.sd) END, q.psi, q.sd, q.ts FROM f JOIN q ON q.domain = f.domain AND q.rn = f.rn + 1)
-SELECT domain, rn AS seq, ts, CASE WHEN shown > 5*sd OR round(psi,6) >= 0.2 THEN 'ALARM' ELSE 'WARN' END AS severity, CASE WHEN shown > 5*sd THEN 'CUSUM' ELSE 'PSI' END AS detector, round(psi, 3) AS psi, round(shown, 3) AS cusum
+SELECT domain, rn AS seq, ts, CASE WHEN shown > 5*sd OR round(psi,6) >= 0.2 THEN 'ALARM' ELSE 'WARN' END AS severity, CASE WHEN shown > 5*sd THEN 'CUSUM' ELSE 'PSI' END AS detector, round(psi, 6) AS psi, round(shown, 6) AS cusum
 FROM f WHERE rn >= 20 AND (shown > 5*sd OR round(psi, 6) >= 0.1)""", "scored_v").replace("RECURSIVE_MARK ", "").replace("WITH ", "WITH RECURSIVE ", 1))
 def i3(spark, base):
     ref, new = halves(spark, base)
     d = M.drift_events(new, M.baseline(ref, ["domain"]))
-    return d.select("domain", "seq", "ts", "severity", "detector", F.round("psi", 3).alias("psi"), F.round("cusum", 3).alias("cusum"))
+    return d.select("domain", "seq", "ts", "severity", "detector", *r6("psi", "cusum"))
 
 
 @query("i4_drift_monitor", None)

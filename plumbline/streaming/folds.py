@@ -95,7 +95,7 @@ class Drift:
                     if len(warm) >= fixed.DRIFT_MIN:
                         thr, warm = float(np.percentile(warm, 75)), None
             if event:
-                out.append((seen[i], ts[i], *event, round(p, 4), round(c, 4), n_seen, thr))
+                out.append((seen[i], ts[i], *event, p, c, n_seen, thr))
         state = {"base": base, "buf": buf, "raw": raw, "cusum": cusum, "start": start, "warm": warm, "threshold": thr}
         return state, pd.DataFrame(out, columns=["seq", "ts", "severity", "detector", "psi", "cusum", "n_samples", "threshold"])
 
