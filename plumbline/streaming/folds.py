@@ -43,6 +43,11 @@ class Drift:
     def __init__(self, score: str = "risk_score", relearn: bool = True):
         self.score, self.relearn = score, relearn
 
+    def number(self, counts: dict, pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        """Counters that a batch job takes from running sums and a stream carries along."""
+        n = counts.get("seen", 0)
+        return {"seen": n + len(pdf)}, pdf.assign(seen=np.arange(n + 1, n + len(pdf) + 1))
+
     def init(self) -> dict:
         return {"base": None, "buf": [], "raw": [], "cusum": 0.0, "start": 0, "warm": None, "threshold": None}
 
@@ -112,6 +117,13 @@ class Cisc:
     def __init__(self, target_precision: float = 0.80, target_recall: float = 0.60, min_samples: int = 20):
         self.tp, self.tr, self.min = target_precision, target_recall, min_samples
 
+    def number(self, counts: dict, pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        low, high, wrong = pdf["tier"] == "LOW", pdf["tier"] == "HIGH", pdf["was_wrong"].astype(bool)
+        new = {"n_obs": pd.Series(1, index=pdf.index), "n_alerts": low, "n_true": low & wrong, "n_wrong": wrong,
+               "n_high": high, "n_high_wrong": high & wrong}
+        run = {k: v.astype("int64").cumsum() + counts.get(k, 0) for k, v in new.items()}
+        return {k: int(v.iloc[-1]) for k, v in run.items()}, pdf.assign(**run)
+
     def init(self) -> list:
         return [fixed.CISC_HIGH, fixed.CISC_LOW]
 
@@ -151,6 +163,9 @@ class Dedup:
     def __init__(self, window: int = fixed.ALERT_DEDUP_SECONDS):
         self.window = window
 
+    def number(self, counts: dict, pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        return counts, pdf
+
     def init(self) -> dict:
         return {"last": None}
 

@@ -1,8 +1,157 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming jobs.
+
+Keyed rules keep one small JSON state per key in the state store. A micro-batch is bounded by the
+source's limits; inside it the rows of a key are put in time order. Rows older than what a key has
+already taken come back marked late and change nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+import math
+import re
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from plumbline import fixed
+from plumbline.operators.models import fit_isotonic
+from plumbline.session import new_dir, written
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+class FoldProcessor(StatefulProcessor):
+    """Runs a fold per key."""
+
+    def __init__(self, fold, keys: Sequence[str], order: Sequence[str]):
+        self.fold, self.keys, self.order = fold, list(keys), list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", "state string, counts string, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.order)
+        got = self.state.get()
+        state, counts, last = (json.loads(got[0]), json.loads(got[1]), got[2]) if got is not None else (self.fold.init(), {}, -(1 << 62))
+        late, pdf = pdf[pdf["ts"] < last], pdf[pdf["ts"] >= last]
+        out = []
+        if len(pdf):
+            counts, pdf = self.fold.number(counts, pdf)
+            state, res = self.fold.run(state, pdf)
+            self.state.update((json.dumps(state), json.dumps(counts), int(pdf["ts"].max())))
+            out.append(res.assign(late=False))
+        if len(late):
+            names = [p.split()[0] for p in self.fold.out.split(", ")]
+            out.append(pd.DataFrame({n: late[n] if n in late.columns else None for n in names}).assign(late=True))
+        for part in out:
+            if len(part):
+                for i, k in enumerate(self.keys):
+                    part.insert(i, k, key[i])
+                yield part
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fold) -> DataFrame:
+    """Streaming form of a fold: drift detectors, adaptive thresholds, alert suppression."""
+    types = dict(stream.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + fold.out + ", late boolean"
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        FoldProcessor(fold, keys, order), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+_WORD = re.compile(r"[a-z]+")
+_STOP = set(fixed.NANO_STOP)
+
+
+def _tokens(text: str) -> set[str]:
+    return {w for w in _WORD.findall(text.lower()) if len(w) > 1 and w not in _STOP}
+
+
+class LiveChain(StatefulProcessor):
+    """Scores a chain after every step from sums that grow with the step, not with the chain."""
+
+    out = ("chain_id long, t int, risk_score double, risk string, abort boolean")
+
+    def __init__(self, idle_ms: int = 3_600_000, abort_at: float = 0.65):
+        self.idle, self.abort_at = idle_ms, abort_at
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("chain", "s string")
+
+    @staticmethod
+    def step(s: dict, row) -> tuple[dict, float]:
+        t, o = row.thought or "", row.observation or ""
+        tt, ot, n = _tokens(t), _tokens(o), s["n"] + 1
+        acts = s["acts"] if row.action_type in s["acts"] else [*s["acts"], row.action_type]
+        s = {**s, "n": n, "acts": acts}
+        if t and o:
+            both, union = len(tt & ot), len(tt | ot)
+            risk = 1 - both / max(union, 1)
+            if union:
+                s["gap"] = [s["gap"][0] + both / union, s["gap"][1] + 1]
+            s["used"] = [s["used"][0] + both / max(len(ot), 1), s["used"][1] + 1]
+            s["first"] = risk if s["first"] is None else s["first"]
+            s["last"], s["risks"] = risk, s["risks"] + 1
+        if t:
+            s["words"] = [s["words"][0] + len(t.split()), s["words"][1] + 1]
+        prev = s["prev"]
+        if prev is not None:
+            pt = _tokens(prev)
+            if pt | tt:
+                s["coh"] = [s["coh"][0] + len(pt & tt) / len(pt | tt), s["coh"][1] + 1]
+        s["prev"] = t
+        mean = lambda k: s[k][0] / s[k][1] if s[k][1] else 0.5
+        vals = [1 - len(acts) / n, min(n / 10, 1.0), 1 - mean("gap"), min(s["words"][0] / (50 * max(s["words"][1], 1)), 1.0), 0.5, 1.2]
+        weight = 6.2
+        if n >= 3:
+            vals += [1.3 * mean("used"), 1.3 * mean("coh")]
+            weight += 2.6
+            if s["risks"] >= 3:
+                vals.append(0.8 * (math.tanh(5 * (s["last"] - s["first"]) / max(n - 1, 1)) * 0.5 + 0.5))
+                weight += 0.8
+        return s, sum(vals) / weight
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = self.state.get()
+        s = json.loads(got[0]) if got is not None else {
+            "n": 0, "acts": [], "gap": [0.0, 0], "used": [0.0, 0], "coh": [0.0, 0], "words": [0, 0], "first": None, "last": None,
+            "risks": 0, "prev": None}
+        out = []
+        for row in pd.concat(list(rows)).sort_values("step_idx").itertuples():
+            if row.step_idx < s["n"]:
+                continue  # already counted
+            s, r = self.step(s, row)
+            own = 1 - r if s["n"] <= 2 else r
+            out.append((key[0], s["n"], r, "low" if r < 0.5 else "medium" if r < 0.7 else "high", own >= self.abort_at))
+        self.state.update((json.dumps(s),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + self.idle)
+        yield pd.DataFrame(out, columns=["chain_id", "t", "risk_score", "risk", "abort"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"chain_id": [], "t": [], "risk_score": [], "risk": [], "abort": []}).astype(
+            {"chain_id": "int64", "t": "int32", "risk_score": "float64", "risk": "object", "abort": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def live_scores(step_stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Prefix score of each chain as its steps arrive; idle chains leave the state."""
+    return step_stream.withWatermark("at", lateness).groupBy("chain_id").transformWithStateInPandas(
+        LiveChain(), outputStructType=LiveChain.out, outputMode="Append", timeMode="EventTime")
 
 
 def fan_out(joined: DataFrame) -> DataFrame:
@@ -15,3 +164,86 @@ def fan_out(joined: DataFrame) -> DataFrame:
     return joined.select("chain_id", F.concat(F.col("user_id").cast("string"), F.lit(":"), "domain").alias("cisc_key"),
                          wrong.alias("was_wrong"), F.col("risk_score").alias("score"),
                          F.when(wrong, 1).otherwise(0).alias("isotonic_label"), F.when(right, 1.0).otherwise(0.0).alias("reward"))
+
+
+def feedback_join(feedback: DataFrame, scored: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """Stream-stream join: a label finds its chain within the watermark."""
+    f = feedback.withWatermark("label_at", lateness)
+    s = scored.withWatermark("scored_at", lateness).withColumnRenamed("chain_id", "s_chain")
+    on = (F.col("chain_id") == F.col("s_chain")) & (F.col("label_at") >= F.col("scored_at")) & (
+        F.col("label_at") <= F.col("scored_at") + F.expr("INTERVAL 30 DAYS"))
+    return fan_out(f.join(s, on).drop("s_chain"))
+
+
+def windowed_series(stream: DataFrame, bucket: str = "1 day", lateness: str = "2 days") -> DataFrame:
+    """Tumbling counts and mean risk."""
+    g = stream.withWatermark("at", lateness).groupBy(F.window("at", bucket)).agg(
+        F.avg("risk_score").alias("avg_risk"), F.count(F.lit(1)).alias("n_chains"), F.count_if("needs_alert").alias("n_alerts"))
+    return g.select(F.unix_timestamp("window.start").alias("timestamp"), "avg_risk", "n_chains", "n_alerts")
+
+
+def alert_batches(stream: DataFrame, on_alert: Callable[[DataFrame, int], None], checkpoint: str):
+    """Hand every micro-batch of alerts to a callback."""
+    return stream.filter("needs_alert").writeStream.foreachBatch(on_alert).option("checkpointLocation", checkpoint)
+
+
+class OnlineIsotonic:
+    """Calibration that follows the labels: the last ``keep`` pairs, refitted every ``every`` new ones.
+
+    Counts rows seen, so it goes on refitting once the buffer is full.
+    """
+
+    def __init__(self, keep: int = 500, every: int = 10):
+        self.keep, self.every, self.buffer, self.seen, self.fitted, self.model, self.fits = keep, every, None, 0, 0, None, 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        n = batch.count()
+        if not n:
+            return
+        self.seen += n
+        rows = batch.select("ts", "chain_id", "score", "label")
+        rows = rows if self.buffer is None else rows.unionByName(self.buffer)
+        self.buffer = written(batch.sparkSession, rows.orderBy(F.desc("ts"), F.desc("chain_id")).limit(self.keep), "buffer")
+        if self.seen >= self.every and self.seen - self.fitted >= self.every:
+            self.model, self.fitted, self.fits = fit_isotonic(self.buffer, "score", "label"), self.seen, self.fits + 1
+
+
+class Snapshot:
+    """Keeps the newest value per key of an update-mode aggregation in a written table."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys, self.table = list(keys), None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        old = None if self.table is None else self.table.join(batch.select(*self.keys), self.keys, "left_anti")
+        self.table = written(batch.sparkSession, batch if old is None else old.unionByName(batch), "snapshot")
+
+
+def sliced(df: DataFrame, ts: str, slices: int = 4, files: int = 2) -> str:
+    """Write a table as time slices, one after the other, for a file stream to read in order."""
+    spark, path = df.sparkSession, new_dir(df.sparkSession, "slices")
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    width = max(1, -(-(hi - lo + 1) // slices))
+    for i in range(slices):
+        part = df.filter((F.col(ts) >= lo + i * width) & (F.col(ts) < lo + (i + 1) * width))
+        part.repartition(files).write.mode("append").parquet(path)
+    return path
+
+
+def stream_of(spark: SparkSession, path: str, schema, files: int = 2) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over everything there is and read what it wrote."""
+    spark = stream.sparkSession
+    out, check = new_dir(spark, "sink"), new_dir(spark, "check")
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
+    check = new_dir(stream.sparkSession, "check")
+    q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
