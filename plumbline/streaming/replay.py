@@ -67,7 +67,7 @@ def by_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold, bl
     exits_schema = _schema(d, id_cols, "entry string, exit string")
     names = [*keys, "_b", "entry", "exit"]
 
-    def end_state(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def end_state(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         entry = pdf["_entry"].iloc[0]
         state, _ = fold.run(json.loads(entry), pdf.sort_values(order))
         return pd.DataFrame([(*key, entry, json.dumps(state))], columns=names)
@@ -85,7 +85,7 @@ def by_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold, bl
     wanted = known.withColumn("want", F.coalesce(F.lag("exit").over(before), F.lit(start)))
     late = wanted.filter(F.col("want") != F.col("entry")).select(*keys).distinct()
 
-    def outputs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def outputs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, out = fold.run(json.loads(pdf["_entry"].iloc[0]), pdf.sort_values(order))
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
