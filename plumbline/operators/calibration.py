@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline import fixed
 from plumbline.functions import risk as R, text as T
-from plumbline.operators.ordered import histogram, running_sums, value_blocks
+from plumbline.operators.ordered import order_statistics, running_sums, value_blocks
+from plumbline.session import written
 
 
 def score_counts(df: DataFrame, score: str, wrong: str, keys: Sequence[str] = (), blocks: int = 256,
@@ -18,10 +21,11 @@ def score_counts(df: DataFrame, score: str, wrong: str, keys: Sequence[str] = ()
     hist = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.sum(F.when(F.col(wrong) == 1, one).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(F.col(wrong) == 1, 0).otherwise(one)).cast("double").alias("neg"))
+    hist = value_blocks(hist, score, blocks)
     total = hist.groupBy(*keys).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
-    run = running_sums(value_blocks(hist, score, blocks), keys, "_blk", [score],
-                       {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
-    return (run.join(F.broadcast(total), list(keys)) if keys else run.join(F.broadcast(total))).drop("_blk")
+    run = running_sums(hist, keys, "_blk", [score], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
+    # one row of totals without keys; per key the planner decides by size
+    return (run.join(total, list(keys)) if keys else run.join(F.broadcast(total))).drop("_blk")
 
 
 def auroc(df: DataFrame, score: str, wrong: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -36,29 +40,37 @@ def safe_auroc(a: Column) -> Column:
     return F.greatest(a, 1 - a)
 
 
-def bootstrap_auroc(df: DataFrame, row_id: str, score: str, wrong: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_auroc(df: DataFrame, row_id: str, score: str, wrong: str, resamples: int = 1000, seed: int = 42,
+                    rows_per_block: int = 20_000) -> DataFrame:
     """Mean AUROC with its 2.5 and 97.5 percentiles over Poisson-weighted resamples.
 
-    Weights come from a hash of row, resample and seed, so any partitioning gives the same numbers.
-    Rows first shrink to (resample, score) counts; resamples with one class only are left out.
+    Rows shrink to counts per distinct score first; the weight of ``c`` equal rows is one Poisson(c)
+    draw. Draws depend on score, class and seed only, so any partitioning gives the same numbers. A
+    block of scores returns three sums per resample; resamples with one class only are left out.
     """
-    reps = df.select(row_id, score, wrong, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    u = (F.pmod(F.xxhash64(F.col(row_id), F.col("rep"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight, cut, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 12):
-        weight = weight + (u > cut).cast("int")
-        p /= k
-        cut += p
-    counts = reps.withColumn("_wt", weight).filter("_wt > 0")
-    hist = counts.groupBy("rep", score).agg(
-        F.sum(F.when(F.col(wrong) == 1, F.col("_wt")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(wrong) == 1, 0).otherwise(F.col("_wt"))).alias("neg"))
-    tall = hist.select("rep", score, F.explode(F.array(
-        F.struct(F.lit(1).alias("y"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("w")))).alias("e"))
-    tall = tall.select("rep", score, F.col("e.y").alias("_y"), F.col("e.w").alias("_w")).filter("_w > 0")
-    per = auroc(tall, score, "_y", ["rep"], weight="_w").filter(F.col("auroc").isNotNull())
+    hist = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.count_if(F.col(wrong) == 1).alias("pos"), F.count_if(F.col(wrong) == 0).alias("neg"))
+    hist = written(df.sparkSession, hist, "scores")
+    hist = value_blocks(hist, "s", max(2, hist.count() // rows_per_block))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s")
+        pos, neg, won = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+        for s, p, n in zip(pdf["s"], pdf["pos"], pdf["neg"], strict=True):
+            key = [seed, int(np.float64(s).view(np.uint64))]
+            wp = np.random.Generator(np.random.Philox(key=np.array([key[0], key[1]], np.uint64))).poisson(p, resamples) if p else 0.0
+            wn = np.random.Generator(np.random.Philox(key=np.array([key[0] + 1, key[1]], np.uint64))).poisson(n, resamples) if n else 0.0
+            won += wp * (neg + wn / 2.0)
+            pos, neg = pos + wp, neg + wn
+        return pd.DataFrame({"blk": float(pdf["_blk"].iloc[0]), "rep": np.arange(resamples), "pos": pos, "neg": neg, "won": won})
+
+    per = hist.groupBy("_blk").applyInPandas(sums, "blk double, rep int, pos double, neg double, won double")
+    lower = W.partitionBy("rep").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("_below", F.coalesce(F.sum("neg").over(lower), F.lit(0.0)))
+    g = per.groupBy("rep").agg((F.sum("won") + F.sum(F.col("pos") * F.col("_below"))).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    g = g.select(F.try_divide(F.col("w"), F.col("p") * F.col("n")).alias("auroc")).filter("auroc IS NOT NULL")
     q = F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.975)))  # at most one value per resample
-    return per.agg(F.count(F.lit(1)).alias("resamples"), F.avg("auroc").alias("mean"), q.alias("_q")).select(
+    return g.agg(F.count(F.lit(1)).alias("resamples"), F.avg("auroc").alias("mean"), q.alias("_q")).select(
         "resamples", "mean", F.element_at("_q", 1).alias("lower"), F.element_at("_q", 2).alias("upper"))
 
 
@@ -102,7 +114,7 @@ def at_false_positive_rate(df: DataFrame, score: str, wrong: str, keys: Sequence
 
 def alert_quality(df: DataFrame, thresholds: DataFrame, score: str, wrong: str, key: str) -> DataFrame:
     """Precision and recall per key when each key alerts at its own threshold."""
-    d = df.join(F.broadcast(thresholds.select(key, "threshold")), key)
+    d = df.join(thresholds.select(key, "threshold"), key)
     fired = F.col(score) >= F.col("threshold")
     g = d.groupBy(key).agg(F.count_if(fired).alias("alerts"), F.count_if(fired & (F.col(wrong) == 1)).alias("hits"),
                            F.count_if(F.col(wrong) == 1).alias("wrong_rows"))
@@ -117,7 +129,6 @@ def agreement(a: Column, b: Column, c: Column) -> Column:
 
 def agreement_threshold(df: DataFrame, score: str, agree: str, at: float = 0.5, alpha: float = 0.10, min_rows: int = 10) -> DataFrame:
     """Quantile of the scores of chains whose agents agree; null when fewer than ``min_rows`` do."""
-    from plumbline.operators.ordered import order_statistics
     good = df.filter(F.col(agree) >= at)
     n = F.col("_n")
     q = F.least(F.lit(1.0), (1 + 1.0 / n) * (1 - alpha))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import fixed
 from plumbline.functions import risk as R, text as T
-from plumbline.operators.ordered import STEP_BLOCK, value_blocks  # noqa: F401
 
 GUARD_KINDS = ("action", "query", "obs_token", "answer_hit", "open_query")
 

@@ -12,15 +12,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.session import written
+
 STEP_BLOCK = 4096
 
 
 def with_previous(df: DataFrame, key: str, idx: str, cols: Mapping[str, str],
-                  block: int = STEP_BLOCK) -> DataFrame:
+                  block: int = STEP_BLOCK, keep_block: str | None = None) -> DataFrame:
     """Add the value of the row before (``idx - 1``) for each ``{new: old}`` in ``cols``.
 
     Rows must be numbered without gaps inside ``key``. The last row of a block is also sent to the
-    next block, so no window holds more than ``block + 1`` rows.
+    next block, so no window holds more than ``block + 1`` rows. ``keep_block`` names the block number in
+    the result, so that further work per block finds its rows already in place.
     """
     home = F.floor(F.col(idx) / block)
     copies = F.when(F.col(idx) % block == block - 1, F.array(home, home + 1)).otherwise(
@@ -28,7 +31,8 @@ def with_previous(df: DataFrame, key: str, idx: str, cols: Mapping[str, str],
     w = W.partitionBy(key, "_blk").orderBy(idx)
     out = df.withColumn("_blk", F.explode(copies))
     out = out.select("*", *[F.lag(old).over(w).alias(new) for new, old in cols.items()])
-    return out.filter(F.col("_blk") == home).drop("_blk")
+    out = out.filter(F.col("_blk") == home)
+    return out.withColumnRenamed("_blk", keep_block) if keep_block else out.drop("_blk")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[Column | str],
@@ -52,7 +56,11 @@ def running_sums(df: DataFrame, keys: Sequence[str], block: str, order: Sequence
 
 
 def value_blocks(df: DataFrame, col: str, blocks: int = 256, name: str = "_blk") -> DataFrame:
-    """Number rows by quantile ranges of ``col`` (at most ``blocks`` edges reach the driver)."""
+    """Number rows by quantile ranges of ``col`` (at most ``blocks`` edges reach the driver).
+
+    ``df`` is a histogram: it is written once, as the edges, the block totals and the rows each read it.
+    """
+    df = written(df.sparkSession, df, "histogram")
     probs = [i / blocks for i in range(1, blocks)]
     edges = sorted(set(df.approxQuantile(col, probs, 0.25 / blocks)))
     splits = [float("-inf"), *edges, float("inf")]

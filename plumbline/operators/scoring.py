@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+
 from plumbline import fixed
 from plumbline.functions import risk as R, text as T
 from plumbline.operators import failure as X, features as D
@@ -105,15 +106,18 @@ def evaluation_summary(scored: DataFrame) -> DataFrame:
                       *[F.count_if(t == x).alias(f"tier_{x}") for x in ("HIGH", "MEDIUM", "LOW", "UNKNOWN")])
 
 
-def relative_rank(df: DataFrame, score: str, name: str, blocks: int = 256) -> DataFrame:
-    """``rank / (n - 1)`` of a score in the whole table, ties at their lowest rank.
+def relative_ranks(df: DataFrame, scores: dict[str, str], blocks: int = 256) -> DataFrame:
+    """``rank / (n - 1)`` of scores in the whole table, ties at their lowest rank; ``{score: name}``.
 
     Ranks come from a histogram of distinct scores with block-wise running counts, never from one
     window over all rows.
     """
-    hist = value_blocks(histogram(df, score, [], {"_c": F.lit(1)}), score, blocks)
-    below = running_sums(hist, [], "_blk", [score], {"_below": F.col("_c")}, inclusive=False)
-    n = df.agg(F.count(score).alias("_n"))
-    ranked = below.join(F.broadcast(n)).select(
-        F.col(score).alias("_s"), (F.col("_below") / F.greatest(F.col("_n") - 1, F.lit(1))).alias(name))
-    return df.join(ranked, F.col(score) == F.col("_s")).drop("_s")
+    out = df
+    for score, name in scores.items():
+        hist = value_blocks(histogram(df, score, [], {"_c": F.lit(1)}), score, blocks)
+        below = running_sums(hist, [], "_blk", [score], {"_below": F.col("_c")}, inclusive=False)
+        n = hist.agg(F.sum("_c").alias("_n"))
+        ranked = below.join(F.broadcast(n)).select(
+            F.col(score).alias("_s"), (F.col("_below") / F.greatest(F.col("_n") - 1, F.lit(1))).alias(name))
+        out = out.join(ranked, F.col(score) == F.col("_s")).drop("_s")
+    return out

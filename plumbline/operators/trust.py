@@ -15,12 +15,12 @@ SIGNED = ["answer", "risk_score", "confidence_tier", "failure_mode", "step_count
           "should_rewrite", "issued_at", "ttl"]
 
 
-def envelopes(scored: DataFrame, components: tuple[str, ...] = (), ttl: int = 300) -> DataFrame:
-    """Unsigned envelopes from scored chains."""
+def envelopes(scored: DataFrame, components: tuple[str, ...] = (), ttl: int = 300, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Unsigned envelopes from scored chains; ``keep`` names further columns to carry along."""
     parts = [x for c in components for x in (F.lit(c), F.round(F.col(c), 4))]
     comp = (F.map_filter(F.create_map(*parts), lambda k, v: v.isNotNull()) if parts else F.lit(None)).cast("map<string,double>")
     return scored.select(
-        "chain_id", F.col("final_answer").alias("answer"), F.round("risk_score", 4).alias("risk_score"),
+        "chain_id", *keep, F.col("final_answer").alias("answer"), F.round("risk_score", 4).alias("risk_score"),
         F.col("tier").alias("confidence_tier"), "failure_mode", F.col("step_count").cast("int").alias("step_count"), "judge_label",
         R.linear_trust_hint(F.col("tier"), F.col("judge_label"), F.col("failure_mode")).alias("downstream_hint"),
         (F.col("tier") == "LOW").alias("should_rewrite"), comp.alias("behavioral_components"),
@@ -99,15 +99,15 @@ def add_hop(env: DataFrame, keys: DataFrame, agent: str, ts: Column, card: Colum
 
 
 def verify_chain(env: DataFrame, keys: DataFrame) -> DataFrame:
-    """Row per envelope with ``chain_valid``; no hops is valid, an unknown agent is not."""
-    hops = env.select("chain_id", "trust_chain", F.posexplode("trust_chain").alias("pos", "h"))
-    prev = chain_hash(F.slice("trust_chain", F.lit(1), F.col("pos")))
+    """``chain_id, chain_valid``; no hops is valid, an unknown agent is not. One pass over the envelopes."""
+    hops = env.select("chain_id", "trust_chain", F.posexplode_outer("trust_chain").alias("pos", "h"))
+    prev = chain_hash(F.slice("trust_chain", F.lit(1), F.coalesce("pos", F.lit(0))))
     hops = hops.select("chain_id", "h", prev.alias("prev"), F.col("h.agent_id").alias("hop_agent"))
     d = _with_keys(hops, keys, "hop_agent")
     msg = _hop_message(F.col("prev"), F.col("h.agent_id"), F.col("h.risk_score"), F.col("h.timestamp"))
-    ok = F.coalesce(F.col("h.hop_signature") == G.hmac_sha256(msg, F.col("ipad"), F.col("opad")), F.lit(False))
-    good = d.select("chain_id", ok.alias("ok")).groupBy("chain_id").agg(F.bool_and("ok").alias("_ok"))
-    return env.join(good, "chain_id", "left").withColumn("chain_valid", F.coalesce("_ok", F.lit(True))).drop("_ok")
+    same = F.coalesce(F.col("h.hop_signature") == G.hmac_sha256(msg, F.col("ipad"), F.col("opad")), F.lit(False))
+    ok = F.when(F.col("h").isNull(), True).otherwise(same)
+    return d.select("chain_id", ok.alias("ok")).groupBy("chain_id").agg(F.bool_and("ok").alias("chain_valid"))
 
 
 def handoffs(env: DataFrame) -> DataFrame:

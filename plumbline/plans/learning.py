@@ -138,7 +138,7 @@ def g14(spark, base):
     s = V.scored(spark, base).select("domain", "chain_id", "ts")
     d = numbered(s, ["domain"], "ts", "chain_id")
     n = s.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"))
-    pool = d.join(F.broadcast(n), "domain").withColumn("age", F.col("_n") - F.col("seen"))
+    pool = d.join(n, "domain").withColumn("age", F.col("_n") - F.col("seen"))
     return G.decay_sample(pool, ["domain"], "chain_id", "age", 200).select("domain", "chain_id")
 
 

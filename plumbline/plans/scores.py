@@ -9,9 +9,9 @@ from plumbline.functions import risk as R, text as T
 from plumbline.operators import failure as X, features as D, knn as K, scoring as Z
 from plumbline.operators.ordered import order_statistics, top_per_key
 from plumbline.plans import views as V
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query
 from plumbline.plans.traces import prefix_sql, r6
-from plumbline.plans.views import sql_caps, sql_shared, sql_tier, sql_tokens, sql_words, with_views
+from plumbline.plans.views import sql_shared, sql_tier, sql_tokens, sql_words, with_views
 
 
 def sql_case(key: str, pairs: dict, default: str | None = None) -> str:
@@ -58,7 +58,12 @@ def e4(spark, base):
     return d.select("chain_id", X.documented_mode().alias("failure_mode"))
 
 
-@query("e5_taxonomy", None)
+@query("e5_taxonomy", with_views(f"""
+, m AS (SELECT *, CASE WHEN n_search <= 1 AND NOT finished THEN 'PREMATURE_STOP' WHEN n_search > 4 THEN 'EXCESSIVE_SEARCH' WHEN retrieval_conf < 0.05 AND empty_obs > 0.5 THEN 'RETRIEVAL_FAILURE'
+ WHEN semantic_gap > 0.95 AND sc5_backtrack_rate < 0.5 AND n_search >= 2 THEN 'CONFLICTING_EVIDENCE' WHEN retrieval_conf < 0.05 AND n_search >= 2 THEN 'INSUFFICIENT_EVIDENCE'
+ WHEN {sql_shared(sql_tokens('final_answer'), sql_tokens('obs_all'))} = 0 THEN 'ANSWER_UNSUPPORTED' ELSE 'LOW_RISK' END AS mode FROM d4_full JOIN (SELECT chain_id, count(CASE WHEN action_type='Search' THEN 1 END) AS n_search,
+ bool_or(action_type='Finish') AS finished FROM steps_v GROUP BY chain_id) USING (chain_id))
+SELECT chain_id, mode, {sql_case('mode', dict(X.TAXONOMY_REPAIR))} AS repair FROM m""", "d4_full"))
 def e5(spark, base):
     s, c = V.steps(spark, base), V.chains(spark, base)
     d = D.nine_features(s, c)
@@ -347,7 +352,7 @@ def f17(spark, base):
 @query("f18_rank_blend", with_views("""SELECT chain_id, round(0.5 * percent_rank() OVER (ORDER BY n_steps) + 0.5 * percent_rank() OVER (ORDER BY risk_score), 6) AS risk FROM scored_v""", "scored_v"))
 def f18(spark, base):
     d = V.scored(spark, base).select("chain_id", F.col("n_steps").cast("double").alias("n_steps"), "risk_score")
-    d = Z.relative_rank(Z.relative_rank(d, "n_steps", "r1"), "risk_score", "r2")
+    d = Z.relative_ranks(d, {"n_steps": "r1", "risk_score": "r2"})
     return d.select("chain_id", F.round(0.5 * F.col("r1") + 0.5 * F.col("r2"), 6).alias("risk"))
 
 

@@ -371,7 +371,7 @@ def scored_envelopes(spark, base):
     """Envelopes of the scored chains of the event table."""
     s = V.scored(spark, base)
     s = s.withColumns({"final_answer": F.concat(F.lit('é "a"\\ '), "domain", F.lit("\n"), F.col("k").cast("string")), "step_count": F.col("n_steps")})
-    return K.envelopes(s)
+    return K.envelopes(s, keep=("ts", "k"))
 
 
 def signer():
@@ -423,9 +423,8 @@ def k2(spark, base):
 
 
 def signed(spark, base):
-    ts = V.scored(spark, base).select("chain_id", F.col("ts").alias("_at"))
-    e = scored_envelopes(spark, base).join(ts, "chain_id").withColumn("signer", signer())
-    return K.sign(e, G.key_table(spark, SECRETS), "signer", F.col("_at") + F.lit(0.25))
+    e = scored_envelopes(spark, base).withColumn("signer", signer())
+    return K.sign(e, G.key_table(spark, SECRETS), "signer", F.col("ts") + F.lit(0.25))
 
 
 @query("k3_sign", with_views("SELECT chain_id, sig AS trust_signature FROM signed_v", "signed_v"))
@@ -439,7 +438,7 @@ def k4(spark, base):
     d = signed(spark, base)
     d = d.withColumns({"risk_score": F.when(F.col("chain_id") % 5 == 0, F.col("risk_score") + 0.5).otherwise(F.col("risk_score")),
                        "trust_signature": F.when(F.col("chain_id") % 7 != 0, F.col("trust_signature"))})
-    now = d.agg(F.max("issued_at").alias("_now"))
+    now = V.scored(spark, base).agg((F.max("ts") + 0.25).alias("_now"))
     # a longer life for the check, as the signed ttl field itself must stay untouched
     e = K.verify(d, G.key_table(spark, SECRETS), "signer").join(F.broadcast(now))
     return e.select("chain_id", (F.col("valid") & (F.col("_now") - F.col("issued_at") <= 1000000)).alias("valid"))
@@ -447,10 +446,9 @@ def k4(spark, base):
 
 def hopped(spark, base):
     keys = G.key_table(spark, SECRETS)
-    ts = V.scored(spark, base).select("chain_id", F.col("ts").alias("_at"))
-    e = scored_envelopes(spark, base).join(ts, "chain_id")
-    e = K.add_hop(e.withColumn("agent", F.lit("searcher")), keys, "agent", F.col("_at") + 0.5)
-    return K.add_hop(e.withColumn("agent", F.lit("writer")), keys, "agent", F.col("_at") + 1.125, F.lit("card:w"))
+    e = scored_envelopes(spark, base)
+    e = K.add_hop(e.withColumn("agent", F.lit("searcher")), keys, "agent", F.col("ts") + 0.5)
+    return K.add_hop(e.withColumn("agent", F.lit("writer")), keys, "agent", F.col("ts") + 1.125, F.lit("card:w"))
 
 
 def sql_hop_msg(agent, prev, ts):
@@ -471,9 +469,8 @@ def k5(spark, base):
 @query("k6_verify_hops", with_views("SELECT chain_id, k % 4 <> 1 AND k % 4 <> 2 AS chain_valid FROM scored_v", "scored_v"))
 def k6(spark, base):
     """Tampered risk in one quarter, an unknown agent in another, no hops in a third."""
-    k = V.scored(spark, base).select("chain_id", F.col("k").alias("kk"))
-    d = hopped(spark, base).join(k, "chain_id")
-    kk = F.col("kk") % 4
+    d = hopped(spark, base)
+    kk = F.col("k") % 4
     bent = F.transform("trust_chain", lambda h: F.when(kk == 1, h.withField("risk_score", h["risk_score"] + 0.5))
                        .when(kk == 2, h.withField("agent_id", F.lit("stranger"))).otherwise(h))
     d = d.withColumn("trust_chain", F.when(kk == 3, F.array().cast(f"array<{K.HOP}>")).otherwise(bent))

@@ -16,7 +16,8 @@ def build(name: str = "plumbline", master: str | None = None, **conf: str) -> Sp
     if master:
         b = b.master(master)
     for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
-                 "spark.sql.adaptive.skewJoin.enabled": "true", **conf}.items():
+                 "spark.sql.adaptive.skewJoin.enabled": "true",
+                 "spark.python.sql.dataFrameDebugging.enabled": "false", **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
 

@@ -70,8 +70,7 @@ def from_messages(raw: DataFrame) -> DataFrame:
         "chain_id", "pos", "role", T.text("content").alias("content"),
         (first_call["name"] if calls else F.lit(None).cast("string")).alias("tool"),
         (first_call["arguments"] if calls else F.lit(None).cast("string")).alias("args"))
-    m = with_previous(m, "chain_id", "pos", {"prev_role": "role"}, MESSAGE_BLOCK)
-    m = m.withColumn("blk", F.floor(F.col("pos") / MESSAGE_BLOCK))
+    m = with_previous(m, "chain_id", "pos", {"prev_role": "role"}, MESSAGE_BLOCK, keep_block="blk")
     opens = F.col("role") == "assistant"
     m = running_sums(m, ["chain_id"], "blk", ["pos"], {"sid": opens.cast("long")})
     reply = F.col("role").isin("tool", "user") & (F.col("sid") > 0)
@@ -118,10 +117,9 @@ def from_autogen(raw: DataFrame) -> DataFrame:
     replies = r.isin("tool", "function", "user") | s.isin("user", "human", "tool", "userproxyagent")
     m = raw.select("chain_id", "pos", T.text("content").alias("content"),
                    agent.alias("agent"), replies.alias("replies"))
-    m = with_previous(m, "chain_id", "pos", {"p_agent": "agent"}, MESSAGE_BLOCK)
+    m = with_previous(m, "chain_id", "pos", {"p_agent": "agent"}, MESSAGE_BLOCK, keep_block="blk")
     # a link: this row could be consumed by the row before it
     m = m.withColumn("link", F.coalesce(F.col("p_agent") & F.col("replies"), F.lit(False)))
-    m = m.withColumn("blk", F.floor(F.col("pos") / MESSAGE_BLOCK))
     m = running_sums(m, ["chain_id"], "blk", ["pos"], {"run": (~F.col("link")).cast("long")})
     start = m.groupBy("chain_id", "run").agg(F.min("pos").alias("run_at"))
     m = m.join(start, ["chain_id", "run"])
@@ -165,8 +163,8 @@ def from_events(events: DataFrame) -> DataFrame:
     """
     e = with_previous(events, "chain_id", "pos",
                       {"p_kind": "kind", "p_log": "log", "p_tool": "tool", "p_input": "tool_input"},
-                      MESSAGE_BLOCK)
-    e = e.filter(F.col("kind") != "action").withColumn("blk", F.floor(F.col("pos") / MESSAGE_BLOCK))
+                      MESSAGE_BLOCK, keep_block="blk")
+    e = e.filter(F.col("kind") != "action")
     e = running_sums(e, ["chain_id"], "blk", ["pos"], {"k": F.lit(1)})
     acted = F.col("p_kind") == "action"
     log = T.text("p_log")

@@ -98,18 +98,20 @@ def fired_alerts(alerts: DataFrame, keys: Sequence[str] = ("user_id", "domain",
 
 
 def match_guardrails(chains: DataFrame, rules: DataFrame) -> DataFrame:
-    """First matching rule per chain: exact domain and ``*`` rules as two equi-joins on a small table.
+    """First matching rule per chain, by rule number; named domains and ``*`` compete.
 
-    Each side keeps its lowest rule number per chain, so nothing is grouped twice.
+    Of the rules of one domain only those can come first whose threshold lies below all thresholds
+    before them. That short falling staircase is what meets the chains, never rule by rule.
     """
-    on = rules.filter("enabled")
+    on = rules.filter("enabled").select("rule_id", F.col("rule_domain").alias("domain"), "threshold", "action")
+    before = W.partitionBy("domain").orderBy("rule_id").rowsBetween(W.unboundedPreceding, -1)
+    stairs = on.withColumn("_low", F.min("threshold").over(before)).filter("_low IS NULL OR threshold < _low")
     packed = lambda r: F.array_sort(F.collect_list(F.struct("rule_id", "threshold", "action"))).alias(r)
-    named = on.filter("rule_domain <> '*'").groupBy(F.col("rule_domain").alias("domain")).agg(packed("own"))
-    star = on.filter("rule_domain = '*'").agg(packed("every"))
-    d = chains.join(F.broadcast(named), "domain", "left").join(F.broadcast(star))
-    none = F.array().cast("array<struct<rule_id:int,threshold:double,action:string>>")
-    both = F.array_sort(F.concat(F.coalesce("own", none), F.coalesce("every", none)))
-    hit = F.get(F.filter(both, lambda r: F.col("risk_score") >= r["threshold"]), F.lit(0))
+    named = stairs.filter("domain <> '*'").groupBy("domain").agg(packed("own"))
+    star = stairs.filter("domain = '*'").agg(packed("every"))
+    d = chains.join(named, "domain", "left").join(F.broadcast(star))
+    first = lambda c: F.get(F.filter(c, lambda r: F.col("risk_score") >= r["threshold"]), F.lit(0))
+    hit = F.least(first("own"), first("every"))
     return d.withColumn("_h", hit).filter("_h IS NOT NULL").select(*chains.columns, "_h.rule_id", "_h.action")
 
 
