@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from plumbline import fixed
 from plumbline.functions import text as T
 from plumbline.operators.ordered import running_sums, with_previous
+from plumbline.session import written
 
 STEP_FIELDS = ["thought", "action_type", "action_arg", "observation"]
 
@@ -347,17 +348,20 @@ def prefix_signals(steps: DataFrame, chains: DataFrame, pending: bool = False,
                    block: int = 1024) -> DataFrame:
     """Behavioural score of every prefix of every chain (no final answer yet), in one pass.
 
-    Running sums per block replace a join of each step with all steps before it. With ``pending``
+    Running sums per block replace a join of each step with all steps before it; the measures of a
+    step are written once, as five branches read them. With ``pending``
     each prefix also counts one Search step that has been announced but not run.
     """
-    s = step_overlaps(steps)
+    s = step_overlaps(steps).select(
+        "chain_id", "step_idx", "action_type", "gap", "used", "coh", "step_risk", "th_words",
+        (F.size(T.content_tokens(F.col("thought"))) > 0).alias("th_any"))
+    s = written(s.sparkSession, s, "measures")
     first = s.groupBy("chain_id", "action_type").agg(F.min("step_idx").alias("_first"))
     ends = s.groupBy("chain_id").agg(
         F.min_by("step_risk", F.when(F.col("step_risk").isNotNull(), F.col("step_idx"))).alias("risk_first"))
     s = s.join(first, ["chain_id", "action_type"]).withColumn("blk", F.floor(F.col("step_idx") / block))
     s = s.select("chain_id", "step_idx", "blk", "gap", "used", "coh", "step_risk", "th_words",
-                 (F.size(T.content_tokens(F.col("thought"))) > 0).alias("th_any"),
-                 (F.col("action_type") == "Search").cast("long").alias("is_search"),
+                 "th_any", (F.col("action_type") == "Search").cast("long").alias("is_search"),
                  (F.col("step_idx") == F.col("_first")).cast("long").alias("new_action"))
     cnt = lambda c: F.col(c).isNotNull().cast("long")
     val = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")

@@ -280,7 +280,7 @@ def before_after(train: DataFrame, extra: DataFrame, test: DataFrame, row_id: st
     return ci(a, "before").join(F.broadcast(ci(b, "after"))).withColumn("significant", F.col("after_lower") > F.col("before_upper"))
 
 
-def pool_triggers(labels: DataFrame, keys: list[str], question: str, width: int = 86400, heal: int = 5, fit_every: int = 50,
+def pool_triggers(labels: DataFrame, keys: list[str], question: str, width: int = 600, heal: int = 5, fit_every: int = 50,
                   min_class: int = 10) -> DataFrame:
     """Growth of the known-good pool and the refits each label sets off, all from running counts."""
     good = F.col("is_correct")

@@ -221,8 +221,8 @@ def h18(spark, base):
 , s AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, chain_id) AS seen FROM scored_v), z AS (SELECT *, CASE WHEN seen < 10 THEN 'COLD' WHEN seen < 50 THEN 'WARMING' ELSE 'DEPLOYED' END AS stage FROM s)
 SELECT chain_id, domain, seen, stage, risk_score > CASE stage WHEN 'COLD' THEN 0.70 WHEN 'WARMING' THEN 0.60 ELSE 0.55 END AS alert FROM z""", "scored_v"))
 def h19(spark, base):
-    s = V.scored(spark, base).select("chain_id", "domain", "ts", "risk_score", F.floor(F.col("ts") / 3600).alias("hour"))
-    d = running_sums(s, ["domain"], "hour", ["ts", "chain_id"], {"seen": F.lit(1)})
+    s = V.scored(spark, base).select("chain_id", "domain", "ts", "risk_score", F.floor(F.col("ts") / 60).alias("minute"))
+    d = running_sums(s, ["domain"], "minute", ["ts", "chain_id"], {"seen": F.lit(1)})
     stage, cut = C.lifecycle(F.col("seen"))
     return d.select("chain_id", "domain", "seen", stage.alias("stage"), (F.col("risk_score") > cut).alias("alert"))
 

@@ -437,7 +437,7 @@ SELECT chain_id, n_steps, completed, n_search, n_finish, round(coalesce(slope, 0
  round(ol, 6) AS avg_obs_len, CAST(len({sql_words('final_answer')}) AS INTEGER) AS answer_len, round(len(regexp_extract_all(final_answer, '[0-9A-Z]'))::DOUBLE / greatest(length(final_answer), 1), 6) AS answer_specificity, uq AS n_unique_queries,
  round(coalesce(uq::DOUBLE / nullif(n_search, 0), 0), 6) AS query_diversity, round(1 - coalesce(uq::DOUBLE / nullif(n_search, 0), 0), 6) AS repeat_rate, round(coalesce(n_steps::DOUBLE / nullif(th, 0), 0), 6) AS steps_per_thought,
  round(coalesce(late::DOUBLE / nullif(n_search, 0), 0), 6) AS late_search_rate FROM chains_v JOIN (SELECT chain_id, count(*) AS n_steps, max(CASE WHEN action_type='Finish' THEN 1 ELSE 0 END) AS completed, count(CASE WHEN action_type='Search' THEN 1 END) AS n_search,
- count(CASE WHEN action_type='Finish' THEN 1 END) AS n_finish, regr_slope(len({sql_words('thought')}), step_idx) AS slope, avg(least(len(regexp_extract_all(thought, {HEDGE_SQL})) / (greatest(len({sql_words('thought')}),1) / 10.0::DOUBLE + 1e-6), 1.0)) AS clarity,
+ count(CASE WHEN action_type='Finish' THEN 1 END) AS n_finish, CASE WHEN count(*) > 1 THEN regr_slope(len({sql_words('thought')}), step_idx) END AS slope, avg(least(len(regexp_extract_all(thought, {HEDGE_SQL})) / (greatest(len({sql_words('thought')}),1) / 10.0::DOUBLE + 1e-6), 1.0)) AS clarity,
  avg(len({sql_words('thought')})) AS tl, avg(CASE WHEN len({sql_words('observation')}) >= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cov, avg(len({sql_words('observation')})) AS ol, count(DISTINCT CASE WHEN action_type='Search' THEN trim(lower(action_arg)) END) AS uq,
  count(CASE WHEN len({sql_words('thought')}) > 0 THEN 1 END) AS th, count(CASE WHEN action_type='Search' AND step_idx >= 3 THEN 1 END) AS late FROM steps_v GROUP BY chain_id) USING (chain_id)""", "steps_v", "chains_v"))
 def d11(spark, base):
@@ -460,7 +460,7 @@ def d11(spark, base):
         "chain_id", "n_steps", "completed", "n_search", "n_finish", F.coalesce("thought_progression", F.lit(0.0)).alias("thought_progression"),
         "thought_clarity_words", "avg_thought_len", "obs_coverage", "avg_obs_len", T.word_count(F.col("final_answer")).alias("answer_len"),
         (F.regexp_count("final_answer", F.lit(r"[0-9A-Z]")) / chars).alias("answer_specificity"),
-        F.col("d_query").alias("n_unique_queries"), share("d_query", "c_query").alias("query_diversity"),
+        F.coalesce("d_query", F.lit(0)).alias("n_unique_queries"), share("d_query", "c_query").alias("query_diversity"),
         (1 - share("d_query", "c_query")).alias("repeat_rate"), share("n_steps", "_thoughts").alias("steps_per_thought"),
         share("_late", "n_search").alias("late_search_rate"))
     return out.withColumns({n: F.round(n, 6) for n, t in out.dtypes if t == "double"})

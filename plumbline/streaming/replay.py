@@ -12,7 +12,7 @@ from plumbline.operators.ordered import running_sums
 from plumbline.session import written
 
 
-def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, width: int = 3600, name: str = "seen") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, width: int = 60, name: str = "seen") -> DataFrame:
     """Number the rows of a key from 1 in time order, block by block."""
     d = df.withColumn("_hr", F.floor(F.col(ts) / width))
     return running_sums(d, keys, "_hr", [ts, tie], {name: F.lit(1).cast("long")}).drop("_hr")

@@ -62,7 +62,7 @@ def domain_thresholds(events: DataFrame, manual: DataFrame | None = None) -> Dat
     return t.select("domain", F.coalesce("learnt", F.lit(fixed.ALERT_AT)).alias("threshold"))
 
 
-def cisc_counters(outcomes: DataFrame, keys: Sequence[str], width: int = 3600) -> DataFrame:
+def cisc_counters(outcomes: DataFrame, keys: Sequence[str], width: int = 60) -> DataFrame:
     """Running counters per key in time order."""
     low, high, wrong = F.col("tier") == "LOW", F.col("tier") == "HIGH", F.col("was_wrong")
     one = lambda c: c.cast("long")
@@ -115,7 +115,7 @@ def match_guardrails(chains: DataFrame, rules: DataFrame) -> DataFrame:
     return d.withColumn("_h", hit).filter("_h IS NOT NULL").select(*chains.columns, "_h.rule_id", "_h.action")
 
 
-def retrain_triggers(labels: DataFrame, every: int = 20, width: int = 86400) -> DataFrame:
+def retrain_triggers(labels: DataFrame, every: int = 20, width: int = 600) -> DataFrame:
     """Labels at which a user's count passes a multiple of ``every``."""
     d = labels.withColumn("_d", F.floor(F.col("fts") / width))
     d = running_sums(d, ["user_id"], "_d", ["fts", "chain_id"], {"n_labels": F.lit(1)})
@@ -139,7 +139,8 @@ def rate_check(calls: DataFrame, keys: Sequence[str], seconds: int = 3600, limit
 
 def monthly_usage(chains: DataFrame, limit: int = 500) -> DataFrame:
     """Chains per user and calendar month with the share of the plan's limit."""
-    month = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM")
+    # calendar months of UTC, whatever the session time zone
+    month = F.expr("date_format(timestampadd(SECOND, ts, TIMESTAMP_NTZ '1970-01-01 00:00:00'), 'yyyy-MM')")
     g = chains.groupBy("user_id", month.alias("month")).agg(F.count(F.lit(1)).alias("used"))
     return g.withColumns({"share": F.col("used") / limit, "over": F.col("used") > limit})
 
