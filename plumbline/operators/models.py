@@ -76,7 +76,7 @@ def fit_linear(df: DataFrame, names: list[str], label: str = "wrong", balanced:
     w = F.when(y == 1, n / (2.0 * wrong)).otherwise(n / (2.0 * right)) if balanced else F.lit(1.0)
     data = df.select(scaled(names, mean, std).alias("x"), y.alias("y"), w.alias("w"))
     m = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                           standardization=False, maxIter=200, tol=1e-8).fit(data)
+                           standardization=False, maxIter=100, tol=1e-6).fit(data)
     return Linear(list(names), mean, std, [float(v) for v in m.coefficients], float(m.intercept), wrong, right)
 
 

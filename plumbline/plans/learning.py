@@ -55,14 +55,25 @@ def g4(spark, base):
     return G.rescaled(target, STRUCTURE, scale).select("chain_id", F.round(m.risk(), 6).alias("risk"))
 
 
-@query("g5_isotonic")
+def isotonic_sql(view: str, fit_score: str, score: str) -> str:
+    """Max-min form of the monotone fit on distinct scores, linear between them."""
+    return f"""
+, p AS (SELECT {fit_score} AS x, avg(wrong) AS y, count(*) AS w FROM {view} GROUP BY 1), c AS (SELECT x, sum(y*w) OVER (ORDER BY x) AS cy, sum(w) OVER (ORDER BY x) AS cw, y*w AS yw, w FROM p),
+seg AS (SELECT a.x AS i, b.x AS j, (b.cy - a.cy + a.yw) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON a.x <= b.x),
+f AS (SELECT k, max(m) AS fit FROM (SELECT p.x AS k, i, min(m) AS m FROM p JOIN seg ON i <= p.x AND j >= p.x GROUP BY p.x, i) GROUP BY k),
+n AS (SELECT k, fit, lead(k) OVER (ORDER BY k) AS k2, lead(fit) OVER (ORDER BY k) AS fit2, min(k) OVER () AS k0, max(k) OVER () AS k1 FROM f)
+SELECT chain_id, round(CASE WHEN n.k2 IS NULL OR {score} <= n.k THEN n.fit ELSE n.fit + (n.fit2 - n.fit) * ({score} - n.k) / (n.k2 - n.k) END, 6) AS calibrated
+FROM {view} JOIN n ON ({score} >= n.k AND ({score} < n.k2 OR n.k2 IS NULL)) OR ({score} < n.k0 AND n.k = n.k0)"""
+
+
+@query("g5_isotonic", with_views(isotonic_sql("scored_v", "round(risk_score, 2)", "risk_score"), "scored_v"))
 def g5(spark, base):
     s = V.scored(spark, base).select("chain_id", "risk_score", "wrong")
     fit = G.fit_isotonic(s.withColumn("risk_score", F.round("risk_score", 2)), "risk_score", "wrong", 10)
     return fit(s, "risk_score").select("chain_id", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query("g6_quick_calibration")
+@query("g6_quick_calibration", with_views(", ln AS (SELECT chain_id, behaviour, wrong FROM nano_v JOIN labelled_v USING (chain_id))" + isotonic_sql("ln", "behaviour", "behaviour"), "nano_v", "labelled_v"))
 def g6(spark, base):
     d = D.nano_signals(V.steps(spark, base), V.labelled_chains(spark, base), ("action", "answer_hit")).select("chain_id", "behaviour", "wrong")
     d = written(spark, d, "nano")
