@@ -189,9 +189,9 @@ def j1(spark, base):
     return d.select("chain_id", "user_id", "domain", "tier", "ts", "feedback", *r6("risk_score"))
 
 
-@query("j2_domain_rollup", with_views("SELECT user_id, domain, count(*) AS chain_count, max(ts) AS last_seen, round(avg(risk_score), 6) AS avg_risk, count(CASE WHEN needs_alert THEN 1 END) AS n_alerts FROM scored_v GROUP BY user_id, domain", "scored_v"))
+@query("j2_domain_rollup", with_views("SELECT user_id, domain, count(*) AS chain_count, max(ts) AS last_seen, round(avg(risk_score) + 1e-9, 6) AS avg_risk, count(CASE WHEN needs_alert THEN 1 END) AS n_alerts FROM scored_v GROUP BY user_id, domain", "scored_v"))
 def j2(spark, base):
-    return A.domain_rollup(V.scored(spark, base), ("user_id", "domain")).withColumn("avg_risk", F.round("avg_risk", 6))
+    return A.domain_rollup(V.scored(spark, base), ("user_id", "domain")).withColumn("avg_risk", F.round(F.col("avg_risk") + 1e-9, 6))
 
 
 @query("j3_time_series", with_views(" UNION ALL ".join(

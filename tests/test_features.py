@@ -96,3 +96,20 @@ def test_retry_advice(spark):
              ([0.7, 0.7], "retry"), ([0.5, 0.5], "accept_uncertainty"), ([0.5], "retry"), ([], "retry")]
     d = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, risks array<double>")
     assert [r.action for r in X.retry_advice(d).orderBy("i").collect()] == [a for _, a in cases]
+
+
+def test_one_chain_with_most_steps(spark, monkeypatch):
+    import random
+    from plumbline.operators import ordered
+    rnd = random.Random(9)
+    vocab = "river tower paris result maybe history garden music table window".split()
+    text = lambda k: " ".join(rnd.choice(vocab) for _ in range(k))
+    hot = [step(text(6), rnd.choice(["Search", "Lookup"]), text(2), text(7)) for _ in range(1500)]
+    small = {k: ("Which river?", [step(text(5), "Search", text(2), text(4))] * 2, "Paris river") for k in range(2, 12)}
+    chains = {1: ("Which tower in Paris?", hot, "history of the tower"), **small}
+    monkeypatch.setattr(ordered.with_previous, "__defaults__", (64, None))
+    got = rows(D.nano_signals(*frames(spark, chains)))
+    for c, (q, ss, a) in chains.items():
+        assert got[c]["behaviour"] == pytest.approx(behaviour(q, ss, a), abs=1e-9)
+    last = {r.chain_id: r.behaviour for r in D.prefix_signals(*frames(spark, chains), block=100).filter("t = 1500").collect()}
+    assert last[1] == pytest.approx(behaviour(chains[1][0], hot, ""), abs=1e-9)

@@ -172,3 +172,17 @@ def test_online_calibration_keeps_refitting(spark):
     for b in range(12):
         online(spark.createDataFrame([(b * 10 + i, b * 10 + i, i / 10, int(i > 5)) for i in range(10)], "ts long, chain_id long, score double, label int"), b)
     assert online.fits == 12 and online.buffer.count() == 50
+
+
+def test_guardrail_staircase_equals_every_rule(spark):
+    rnd = random.Random(8)
+    rules = [(i, rnd.choice(["a", "b", "*"]), round(rnd.random(), 2), f"act{i}", rnd.random() < 0.7) for i in range(60)]
+    chains = [(i, rnd.choice(["a", "b", "c"]), round(rnd.random(), 3)) for i in range(300)]
+    r = spark.createDataFrame(rules, "rule_id int, rule_domain string, threshold double, action string, enabled boolean")
+    c = spark.createDataFrame(chains, "chain_id int, domain string, risk_score double")
+    want = {}
+    for i, d, s in chains:
+        hit = [x for x in rules if x[4] and x[1] in ("*", d) and s >= x[2]]
+        if hit:
+            want[i] = (min(hit)[0], min(hit)[3])
+    assert {x.chain_id: (x.rule_id, x.action) for x in M.match_guardrails(c, r).collect()} == want
