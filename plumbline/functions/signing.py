@@ -29,7 +29,7 @@ def json_string(c: Column) -> Column:
 
 def json_number(c: Column) -> Column:
     """A float with at least one and at most seven decimals; null stays null."""
-    digits = F.regexp_replace(c.cast("decimal(20,7)").cast("string"), r"0+$", "")
+    digits = F.rtrim(c.cast("decimal(20,7)").cast("string"), F.lit("0"))
     return F.coalesce(F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits), F.lit("null"))
 
 

@@ -85,7 +85,8 @@ def chain_hash(hops: Column) -> Column:
 
 
 def _hop_message(prev: Column, agent: Column, risk: Column, ts: Column) -> Column:
-    return G.json_object({"prev_hash": G.json_string(prev), "agent_id": G.json_string(agent),
+    quoted = F.concat(F.lit('"'), prev, F.lit('"'))  # hex digits need no escapes
+    return G.json_object({"prev_hash": quoted, "agent_id": G.json_string(agent),
                           "risk_score": G.json_number(F.round(risk, 4)), "timestamp": G.json_number(F.round(ts, 3))})
 
 
@@ -113,7 +114,9 @@ def verify_chain(env: DataFrame, keys: DataFrame) -> DataFrame:
 def handoffs(env: DataFrame) -> DataFrame:
     """Audit rows: who handed over to whom, with risk and chain length."""
     n = F.size("trust_chain")
-    return env.filter(n > 0).select(
-        "chain_id", F.when(n >= 2, F.try_element_at("trust_chain", F.lit(-2))["agent_id"]).otherwise("upstream").alias("from_agent"),
-        F.element_at("trust_chain", -1)["agent_id"].alias("to_agent"), "risk_score", "confidence_tier", n.alias("chain_length"),
-        F.element_at("trust_chain", -1)["timestamp"].alias("ts"))
+    # the filter stands on the exploded hop: on the chain itself it would sink below the signing and repeat it
+    last = env.select("chain_id", "risk_score", "confidence_tier", n.alias("chain_length"),
+                      F.try_element_at("trust_chain", F.lit(-2))["agent_id"].alias("before"), F.explode_outer(F.slice("trust_chain", -1, 1)).alias("h"))
+    return last.filter("h IS NOT NULL").select(
+        "chain_id", F.coalesce("before", F.lit("upstream")).alias("from_agent"), F.col("h.agent_id").alias("to_agent"), "risk_score",
+        "confidence_tier", "chain_length", F.col("h.timestamp").alias("ts"))
