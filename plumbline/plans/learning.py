@@ -20,7 +20,7 @@ def labelled_features(spark, base, kind="fifteen"):
     return written_once(spark, f"{kind}:{base}", lambda: fn(V.steps(spark, base), V.labelled_chains(spark, base)))
 
 
-@query("g1_mini_judge")
+@query("g1_eleven_feature_model")
 def g1(spark, base):
     d = labelled_features(spark, base, "eleven")
     cv = G.cross_validated(d, "chain_id", D.ELEVEN)
