@@ -66,10 +66,10 @@ SELECT chain_id, round(CASE WHEN n.k2 IS NULL OR {score} <= n.k THEN n.fit ELSE
 FROM {view} JOIN n ON ({score} >= n.k AND ({score} < n.k2 OR n.k2 IS NULL)) OR ({score} < n.k0 AND n.k = n.k0)"""
 
 
-@query("g5_isotonic", with_views(isotonic_sql("scored_v", "round(risk_score, 2)", "risk_score"), "scored_v"))
+@query("g5_isotonic", with_views(isotonic_sql("scored_v", "floor(risk_score * 100) / 100", "risk_score"), "scored_v"))
 def g5(spark, base):
     s = V.scored(spark, base).select("chain_id", "risk_score", "wrong")
-    fit = G.fit_isotonic(s.withColumn("risk_score", F.round("risk_score", 2)), "risk_score", "wrong", 10)
+    fit = G.fit_isotonic(s.withColumn("risk_score", F.floor(F.col("risk_score") * 100) / 100), "risk_score", "wrong", 10)
     return fit(s, "risk_score").select("chain_id", F.round("calibrated", 6).alias("calibrated"))
 
 
