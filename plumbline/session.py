@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build(name: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +25,23 @@ def build(name: str = "plumbline", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; Spark serves the archive from the driver."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="plumbline-")), "plumbline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "plumbline")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables and checkpoints: ``spark.checkpoint.dir`` where it is set.
 
