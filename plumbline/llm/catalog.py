@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from plumbline.llm import exact_dedup, line_dedup  # noqa: F401
+from plumbline.llm import exact_dedup, line_dedup, packing  # noqa: F401
 from plumbline.llm.base import ORACLE, QUERIES  # noqa: F401
