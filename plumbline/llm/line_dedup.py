@@ -49,10 +49,10 @@ def drop_site_lines(docs: DataFrame, max_ratio: float = 0.05, min_pages: int = 5
     pages = _page_lines(docs, id_col, site_col, text_col)
     hits = (pages.join(c, F.col("site").eqNullSafe(F.col("of")) & (F.col("key") == F.col("bad")), "left_semi")
             .groupBy("id", "site").agg(F.collect_set("key").alias("bad")))
-    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.col(site_col).alias("of"), text_of(text_col).alias("text"))
-    lines = F.split("text", "\n")
+    d = docs.select(F.struct("*").alias("row"))
+    lines = F.split(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains("bad", _key(x)))
-    return (d.join(hits, F.col("doc").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("site")), "left")
+    return (d.join(hits, F.col("row")[id_col].eqNullSafe(F.col("id")) & F.col("row")[site_col].eqNullSafe(F.col("site")), "left")
             .withColumn("kept", F.when(F.col("bad").isNull(), lines).otherwise(kept))
             .select("row", F.size(lines).cast("long").alias("n_lines"),
                     (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")))

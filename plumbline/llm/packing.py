@@ -10,6 +10,7 @@ Each task packs the rows it scans, so no token crosses the network.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -26,38 +27,73 @@ COLUMNS = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
            "sequence_length long")
 
 
-class ChunkIds(dict):
+#: Marks of ASCII but the apostrophe, which may take letters to its token.
+MARKS = string.punctuation.replace("'", "")
+
+
+class ChunkIds:
     """Ids, as little-endian 32-bit bytes, of a text between spaces and line ends.
 
     The tokenizer never joins tokens over white space, nor letters and marks, so chunks are looked up one by
-    one. It lower-cases, so A-Z may be lower-cased before. At most ``most`` chunks are kept in each of two
-    generations; an older one answers before the tokenizer does, which changes no id.
+    one. It lower-cases, so A-Z may be lower-cased before. New words of a text are encoded together and told apart
+    by the tokens that end a word. At most ``most`` chunks are kept in each of two generations; that changes no id.
     """
 
     def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
         from tokenizers import Tokenizer
-        self.encode, self.most, self.old = Tokenizer.from_file(path).encode, most, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(chunk)
-        if ids is None:
-            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-                ids = self[chunk[:-1]] + self[chunk[-1]]
-            else:
-                ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+        t = Tokenizer.from_file(path)
+        self.encode, self.most, self.new, self.old = t.encode, most, {}, {}
+        self.ends = np.zeros(t.get_vocab_size(), bool)
+        self.ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Take in chunks of letters alone."""
+        ids = np.array(self.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words) and cuts[-1] == len(ids):
+            data, at = ids.tobytes(), 0
+            for word, cut in zip(words, (4 * cuts).tolist()):
+                self.new[word] = data[at:cut]
+                at = cut
+        else:
+            self.new.update((w, self._one(w)) for w in words)
 
     def ids(self, text: str) -> bytes:
         if "<|" not in text:  # else it might come to spell a special token
             text = text.lower() if text.isascii() else text.encode().translate(LOWER).decode()
-        look = self.__getitem__
-        return b"".join([look(c) for line in text.split("\n") for c in line.split(" ") if c])
+        chunks = [c for line in text.split("\n") for c in line.split(" ") if c]
+        if len(self.new) + len(chunks) > 2 * self.most or len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        got = list(map(self.new.get, chunks))
+        if None in got:
+            lost = [i for i, g in enumerate(got) if g is None]
+            self._learn({chunks[i] for i in lost})
+            for i in lost:
+                got[i] = self.new[chunks[i]]
+        return b"".join(got)
+
+    def _learn(self, chunks: set[str]) -> None:
+        new, old, marked, words, rest = self.new, self.old, [], {}, set()
+        for c in chunks:
+            if c in old:
+                new[c] = old[c]
+            elif c.isalpha():
+                words[c] = None
+            elif (stem := c.rstrip(MARKS)).isalpha():  # one run of letters, one of marks
+                marked.append((c, stem, c[len(stem):]))
+            else:
+                rest.add(c)
+        words |= {stem: None for _, stem, _ in marked if stem not in new}
+        rest.update(tail for _, _, tail in marked if tail not in new)
+        for c in rest:
+            new[c] = self._one(c)
+        if words:
+            self._words(list(words))
+        for c, stem, tail in marked:
+            new[c] = new[stem] + new[tail]
 
 
 _CHUNKS: dict[str, ChunkIds] = {}
