@@ -1,8 +1,8 @@
 """Unigram encoding: the best split of a text into scored pieces, found by Viterbi over a double-array trie.
 
 Spaces become the marker U+2581 and a text gets one in front. No piece joins a marker to what stands before
-it, nor holds a line end, so a text falls into chunks that are solved one by one and remembered. A
-character without a piece becomes its UTF-8 bytes' pieces, at the lowest score less a penalty.
+it, nor holds a line end, so a text falls into chunks that are solved one by one and remembered; a chunk falls
+apart between two characters that stand side by side in no piece. A character without a piece becomes its UTF-8 bytes' pieces, at the lowest score less a penalty.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from plumbline.llm.base import id_of, query, rows, table, text_of
 
 MARK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
+MOST = 350_000  # chunks remembered in each of two generations
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_byte_tokens", pa.int64()), ("score", pa.float64()), ("round_trip", pa.bool_()),
@@ -97,7 +98,9 @@ class Pieces:
         self.trie = DoubleArray({p.encode(): i for p, i in ids.items()})
         self.bytes = {i: p.replace(MARK, " ").encode() for p, i in ids.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.is_byte = set(byte_ids.values())
+        self.pairs = {p[i:i + 2] for p in ids for i in range(len(p) - 1)}
         self.seen: dict[str, tuple[bytes, float, int, int]] = {}
+        self.old: dict[str, tuple[bytes, float, int, int]] = {}
 
     def best(self, text: str) -> tuple[list[int], float]:
         """Ids and score of the best split; of equal ones that with the longest last piece, and so on forward."""
@@ -131,21 +134,39 @@ class Pieces:
             at = start
         return out[::-1], top[n]
 
-    def chunk(self, text: str) -> tuple[bytes, float, int, int]:
-        """Ids as bytes, score, number of ids, number of byte pieces."""
+    def _solved(self, text: str) -> tuple[bytes, float, int, int]:
         ids, score = self.best(text)
-        got = np.array(ids, "<i4").tobytes(), score, len(ids), sum(i in self.is_byte for i in ids)
+        return np.array(ids, "<i4").tobytes(), score, len(ids), sum(i in self.is_byte for i in ids)
+
+    def _keep(self, text: str, got: tuple[bytes, float, int, int]) -> tuple[bytes, float, int, int]:
+        """Remember a chunk; the last ``MOST`` and those of the generation before are kept."""
         if len(text) < 64:
-            if len(self.seen) >= 300_000:
-                self.seen.clear()
+            if len(self.seen) >= MOST:
+                self.old, self.seen = self.seen, {}
             self.seen[text] = got
         return got
 
+    def chunk(self, text: str) -> tuple[bytes, float, int, int]:
+        """Ids as bytes, score, number of ids, number of byte pieces. Solved between pairs of characters that no piece holds."""
+        got = self.old.get(text)
+        if got is None:
+            at, parts = 0, []
+            for i in range(1, len(text)):
+                if text[i - 1:i + 1] not in self.pairs:
+                    parts.append(text[at:i])
+                    at = i
+            if not parts:
+                got = self._solved(text)
+            else:
+                parts.append(text[at:])
+                each = [self.seen.get(p) or self.old.get(p) or self._keep(p, self._solved(p)) for p in parts]
+                got = b"".join([e[0] for e in each]), sum([e[1] for e in each]), sum([e[2] for e in each]), sum([e[3] for e in each])
+        return self._keep(text, got)
+
     def encode(self, text: str) -> list[tuple[bytes, float, int, int]]:
         if not text:
             return []
-        seen, chunk = self.seen.get, self.chunk
-        return [seen(c) or chunk(c) for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+        return [self.seen.get(c) or self.chunk(c) for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: pieces and bytes joined, the marker in front taken off, the others spaces."""
