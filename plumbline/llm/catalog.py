@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from plumbline.llm import exact_dedup, license_scan, line_dedup, packing, unigram  # noqa: F401
+from plumbline.llm import exact_dedup, fingerprint, html_text, license_scan, line_dedup, near_dedup, packing, quality, suffix_dedup, unigram  # noqa: F401
 from plumbline.llm.base import ORACLE, QUERIES  # noqa: F401
