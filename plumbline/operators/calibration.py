@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -148,6 +149,32 @@ def kalman(risks: Column, q: float = 0.2, r: float = 0.05) -> Column:
     return F.when(F.size(risks) > 0, out).otherwise(0.5)
 
 
+def kalman_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], risk: str, q: float = 0.2, r: float = 0.05, settled: int = 64) -> DataFrame:
+    """The filter over all rows of a key in order, as one weighted sum; rows tie by ``order`` alone.
+
+    Gains depend on a row's place only, and stay the same from place ``settled`` on (they do so to the last bit), so a row
+    counts with its gain times what the later rows leave of it, both by its place and the key's number of rows. Places come
+    from running counts, so no task holds a key.
+    """
+    gains, p = [1.0], 1.0
+    while len(gains) < settled:
+        p += q
+        gains.append(p / (p + r))
+        p *= 1.0 - gains[-1]
+    left = [0.0]  # logarithm of what the gains up to a place leave
+    for g in gains[1:]:
+        left.append(left[-1] + math.log(1.0 - g))
+    d = df.select(*keys, *order, F.col(risk).cast("double").alias("_z")).where(F.col("_z").isNotNull())
+    d = value_blocks(d, order[0])
+    d = running_sums(d, keys, "_blk", order, {"_t": F.lit(1)})
+    d = d.join(d.groupBy(*keys).agg(F.max("_t").alias("_n")), list(keys))
+    at = lambda values, place: F.element_at(F.array(*[F.lit(v) for v in values]), F.least(place, F.lit(settled)).cast("int"))
+    beyond = lambda place: F.greatest(place - settled, F.lit(0)) * math.log(1.0 - gains[-1])
+    log = lambda place: at(left, place) + beyond(place)
+    weight = at(gains, F.col("_t")) * F.exp(log(F.col("_n")) - log(F.col("_t")))
+    return d.groupBy(*keys).agg(T.clip01(F.sum(weight * F.col("_z"))).alias(risk))
+
+
 def majority(answers: DataFrame, key: str = "chain_id", answer: str = "answer") -> DataFrame:
     """Most frequent answer per key and its share; equal counts go to the later answer in order."""
     c = answers.groupBy(key, answer).agg(F.count(F.lit(1)).alias("n"))

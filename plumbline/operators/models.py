@@ -167,10 +167,13 @@ def ensemble_risk(train: DataFrame, score: DataFrame, row_id: str, names: list[s
     train = written(train.sparkSession, train.select(row_id, label, *names), "train")
     def member(i: int):
         u = (F.pmod(F.xxhash64(F.col(row_id), F.lit(i), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        times, cut, p = F.lit(0), math.exp(-share), math.exp(-share)
-        for k in range(1, 9):
+        times, cut, p, k = F.lit(0), math.exp(-share), math.exp(-share), 0
+        while p > 0 and cut < 1.0:  # inverse of the distribution, down to the last cut that a double tells from one
             times = times + (u > cut).cast("int")
+            k += 1
             p *= share / k
+            if cut + p == cut:
+                break
             cut += p
         rows = train.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter(times > 0)
         return fit_network(rows, names, label, (16,), seed + i, 25)

@@ -51,7 +51,7 @@ def pair_median(vectors: DataFrame, tile: int = 2048, narrow: int = 200_000) ->
     norm = vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     low, high, below, bins = 0.0, 2.0 * norm * (1 + 1e-9) + 1e-12, 0, 4096
     while True:
-        edges = np.linspace(low, high, bins + 1)
+        edges = np.unique(np.linspace(low, high, bins + 1))
 
         def count(pdf: pd.DataFrame) -> pd.DataFrame:
             h, _ = np.histogram(distances(pdf), bins=edges)
@@ -59,22 +59,26 @@ def pair_median(vectors: DataFrame, tile: int = 2048, narrow: int = 200_000) ->
             return pd.DataFrame({"bin": at.astype("int32"), "c": h[at].astype("int64")})
 
         hist = tiles.groupBy("a", "b").applyInPandas(count, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toPandas()
-        full = np.zeros(bins, dtype=np.int64)
+        full = np.zeros(len(edges) - 1, dtype=np.int64)
         full[hist["bin"]] = hist["c"]
         cum = below + np.cumsum(full)
         b0, b1 = (int(np.searchsorted(cum, w, side="right")) for w in want)
-        inside = int(full[b0:b1 + 1].sum())
         start = below if b0 == 0 else int(cum[b0 - 1])
-        if inside <= narrow or high - low < 1e-12:
-            lo, hi, last = edges[b0], edges[b1 + 1], b1 == bins - 1
+        lo, hi, last = edges[b0], edges[b1 + 1], b1 == len(full) - 1
+        ulp = np.spacing(max(abs(low), abs(high)))
+        if int(full[b0:b1 + 1].sum()) <= narrow or hi - lo <= 4 * ulp or (lo, hi) == (low, high):
 
             def values(pdf: pd.DataFrame) -> pd.DataFrame:
-                d = distances(pdf)
-                return pd.DataFrame({"d": d[(d >= lo) & ((d <= hi) if last else (d < hi))]})
-
-            got = tiles.groupBy("a", "b").applyInPandas(values, "d double").orderBy("d").limit(narrow + 1).toPandas()["d"].to_numpy()
-            return float((got[want[0] - start] + got[want[1] - start]) / 2)
-        low, high, below = float(edges[b0]), float(edges[b1 + 1]), start
+                d, c = np.unique(distances(pdf), return_counts=True)
+                at = (d >= lo) & ((d <= hi) if last else (d < hi))
+                return pd.DataFrame({"d": d[at], "c": c[at].astype("int64")})
+
+            # Equal distances are one row: at most ``narrow`` rows, or the few numbers between two neighbouring edges.
+            got = tiles.groupBy("a", "b").applyInPandas(values, "d double, c long").groupBy("d").agg(F.sum("c").alias("c")).orderBy("d").toPandas()
+            upto = start + got["c"].cumsum().to_numpy()
+            d = got["d"].to_numpy()
+            return float(sum(d[int(np.searchsorted(upto, w, side="right"))] for w in want) / 2)
+        low, high, below = float(lo), float(hi), start
 
 
 def novelty(new: DataFrame, known: DataFrame) -> DataFrame:

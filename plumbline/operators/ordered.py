@@ -19,20 +19,21 @@ STEP_BLOCK = 4096
 
 def with_previous(df: DataFrame, key: str, idx: str, cols: Mapping[str, str],
                   block: int = STEP_BLOCK, keep_block: str | None = None) -> DataFrame:
-    """Add the value of the row before (``idx - 1``) for each ``{new: old}`` in ``cols``.
+    """Add the value of the row before in ``idx`` order for each ``{new: old}`` in ``cols``.
 
-    Rows must be numbered without gaps inside ``key``. The last row of a block is also sent to the
-    next block, so no window holds more than ``block + 1`` rows. ``keep_block`` names the block number in
-    the result, so that further work per block finds its rows already in place.
+    Numbers may have gaps. A window holds one block of ``block`` numbers; a block's first row takes its values from
+    the last row of the block before that has any, by one summary row per block. ``keep_block`` names the block
+    number in the result, so that further work per block finds its rows already in place.
     """
-    home = F.floor(F.col(idx) / block)
-    copies = F.when(F.col(idx) % block == block - 1, F.array(home, home + 1)).otherwise(
-        F.array(home))
-    w = W.partitionBy(key, "_blk").orderBy(idx)
-    out = df.withColumn("_blk", F.explode(copies))
-    out = out.select("*", *[F.lag(old).over(w).alias(new) for new, old in cols.items()])
-    out = out.filter(F.col("_blk") == home)
-    return out.withColumnRenamed("_blk", keep_block) if keep_block else out.drop("_blk")
+    name = keep_block or "_blk"
+    b = df.withColumn(name, F.floor(F.col(idx) / block))
+    ends = b.groupBy(key, name).agg(F.max_by(F.struct(*[F.col(old).alias(new) for new, old in cols.items()]), F.col(idx)).alias("_end"))
+    ends = ends.select(key, name, F.lag("_end").over(W.partitionBy(key).orderBy(name)).alias("_end"))
+    w = W.partitionBy(key, name).orderBy(idx)
+    inner = b.select("*", F.struct(*[F.lag(old).over(w).alias(new) for new, old in cols.items()]).alias("_in"), F.row_number().over(w).alias("_at"))
+    out = inner.join(ends, [key, name], "left")
+    out = out.select(*[F.col(c) for c in b.columns], *[F.when(F.col("_at") > 1, F.col("_in")[new]).otherwise(F.col("_end")[new]).alias(new) for new in cols])
+    return out if keep_block else out.drop("_blk")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[Column | str],

@@ -103,11 +103,14 @@ def h8(spark, base):
     return C.agreement_threshold(d, "behaviour", "agree").select("n", *r6("threshold"))
 
 
-@query("h9_kalman", with_views("""
-SELECT user_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN n >= 3 THEN x2 + k3 * (r[3] - x2) WHEN n >= 2 THEN x2 ELSE r[1] END)), 6) AS risk FROM (
- SELECT *, p2 + 0.2 AS p3, (p2 + 0.2) / (p2 + 0.25) AS k3 FROM (SELECT *, r[1] + (1.2::DOUBLE/1.25) * (coalesce(r[2],0) - r[1]) AS x2, (1 - 1.2::DOUBLE/1.25) * 1.2 AS p2 FROM attempts_v))""", "attempts_v"))
+@query("h9_kalman", "WITH RECURSIVE " + with_views("""
+, z AS (SELECT user_id, risk_score AS z, row_number() OVER (PARTITION BY user_id ORDER BY ts, chain_id) AS t FROM scored_v),
+k AS (SELECT user_id, t, z::DOUBLE AS x, 1.0::DOUBLE AS p FROM z WHERE t = 1
+ UNION ALL SELECT z.user_id, z.t, k.x + (k.p + 0.2) / (k.p + 0.25) * (z.z - k.x), (1 - (k.p + 0.2) / (k.p + 0.25)) * (k.p + 0.2) FROM k JOIN z ON z.user_id = k.user_id AND z.t = k.t + 1)
+SELECT user_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, arg_max(x, t))), 6) AS risk FROM k GROUP BY user_id""", "scored_v").strip().removeprefix("WITH"))
 def h9(spark, base):
-    return attempts(spark, base).select("user_id", F.round(C.kalman(F.col("risks")), 6).alias("risk"))
+    s = V.scored(spark, base).select("user_id", "ts", "chain_id", "risk_score")
+    return C.kalman_by_key(s, ["user_id"], ["ts", "chain_id"], "risk_score").select("user_id", F.round("risk_score", 6).alias("risk"))
 
 
 F1M = sql_f1("a.tok", "b.tok")
@@ -151,7 +154,7 @@ MODES_SQL = "(VALUES " + ",".join(f"({i},'{m}')" for i, m in enumerate(fixed.FAI
 , v AS (SELECT user_id, failure_mode, domain, avg(wrong) AS share FROM scored_v WHERE failure_mode IS NOT NULL GROUP BY ALL),
 l AS (SELECT failure_mode, domain, CASE WHEN share >= 0.67 THEN 1.0::DOUBLE WHEN share >= 0.33 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM v),
 d AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS dp FROM (SELECT DISTINCT domain FROM scored_v)),
-s AS (SELECT mp * 5 + dp AS pos, m.failure_mode, d.domain, count(reward) AS pulls, coalesce(avg(reward), 0) AS mean_reward FROM {MODES_SQL} CROSS JOIN d LEFT JOIN l ON l.failure_mode = m.failure_mode AND l.domain = d.domain GROUP BY ALL),
+s AS (SELECT mp * (SELECT count(*) FROM d) + dp AS pos, m.failure_mode, d.domain, count(reward) AS pulls, coalesce(avg(reward), 0) AS mean_reward FROM {MODES_SQL} CROSS JOIN d LEFT JOIN l ON l.failure_mode = m.failure_mode AND l.domain = d.domain GROUP BY ALL),
 u AS (SELECT *, mean_reward + sqrt(ln(sum(pulls) OVER ()) / nullif(pulls,0)) AS bound FROM s)
 SELECT failure_mode, domain, CAST(pos AS INTEGER) AS pos, pulls, round(mean_reward, 6) AS mean_reward, round(bound, 6) AS bound, pos = (SELECT pos FROM u ORDER BY coalesce(bound, 1e300) DESC, pos LIMIT 1) AS next FROM u""", "scored_v"))
 def h12(spark, base):
@@ -160,8 +163,9 @@ def h12(spark, base):
     log = share.withColumn("reward", C.diversity_reward(F.col("share")))
     # the arms: every mode for every domain that occurs (a dimension of the chain table)
     dom = s.select("domain").distinct().withColumn("dp", F.row_number().over(W.orderBy("domain")) - 1)
+    n_dom = F.lit(s.agg(F.countDistinct("domain")).first()[0])
     modes = F.array(*[F.struct(F.lit(i).alias("mp"), F.lit(m).alias("failure_mode")) for i, m in enumerate(fixed.FAILURE_MODES)])
-    arms = dom.select("domain", "dp", F.explode(modes).alias("m")).select("domain", "m.failure_mode", (F.col("m.mp") * 5 + F.col("dp")).alias("pos"))
+    arms = dom.select("domain", "dp", F.explode(modes).alias("m")).select("domain", "m.failure_mode", (F.col("m.mp") * n_dom + F.col("dp")).cast("int").alias("pos"))
     return C.bandit_arms(log, arms, ["failure_mode", "domain"], "reward", 1.0).select("failure_mode", "domain", "pos", "pulls", "next", *r6("mean_reward", "bound"))
 
 

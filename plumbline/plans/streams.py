@@ -59,10 +59,11 @@ def i13_stream(spark, base):
 
 @query("i14_live_scores", prefix_sql("SELECT chain_id, t, round(behaviour, 6) AS risk_score, CASE WHEN behaviour < 0.5 THEN 'low' WHEN behaviour < 0.7 THEN 'medium' ELSE 'high' END AS risk, CASE WHEN t <= 2 THEN 1 - behaviour ELSE behaviour END >= 0.65 AS abort FROM pv"))
 def i14_stream(spark, base):
+    """Steps reach the stream in files dealt by a hash, so that many come before the ones they follow."""
     s = V.steps(spark, base).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("step_idx") * 600))
-    s = written(spark, s, "steps").withColumn("ts", F.col("step_idx"))
-    d = J.run_now(J.live_scores(as_stream(s, "ts", 3).drop("ts")))
-    return d.select("chain_id", "t", "risk", "abort", *r6("risk_score"))
+    s = written(spark, s, "steps").withColumn("ts", F.pmod(F.xxhash64("chain_id", "step_idx"), F.lit(3)))
+    d = J.run_now(J.live_scores(as_stream(s, "ts", 3).drop("ts"), "30 days"))
+    return d.where("status <> 'late'").select("chain_id", "t", "risk", "abort", *r6("risk_score"))
 
 
 @query("a15_metric_stream", ORACLE["a15_metric_snapshot"])

@@ -107,10 +107,9 @@ def store_rows(scored: DataFrame) -> DataFrame:
         "cost": judge_cost(F.col("judge_label"))})
 
 
-def append_chains(scored: DataFrame, path: str, files_per_domain: int = 16) -> None:
-    """Append by domain; a salt keeps one hot domain from going through a single writer."""
-    salt = F.pmod(F.xxhash64("chain_id"), F.lit(files_per_domain))
-    store_rows(scored).repartition("domain", salt).write.mode("append").partitionBy("domain").parquet(path)
+def append_chains(scored: DataFrame, path: str) -> None:
+    """Append by domain; partitions are rebalanced by size, so a hot domain gets as many writers as it fills."""
+    store_rows(scored).hint("rebalance", "domain").write.mode("append").partitionBy("domain").parquet(path)
 
 
 def latest_feedback(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -131,25 +131,68 @@ class Cisc:
     def clamp(v: float) -> float:
         return max(fixed.CISC_MIN, min(fixed.CISC_MAX, round(v, 3)))
 
+    def states(self) -> list[list]:
+        """All pairs of thresholds that moves can lead to from the first one."""
+        if not hasattr(self, "_all"):
+            seen, todo = {tuple(self.init())}, [tuple(self.init())]
+            while todo:
+                s = todo.pop()
+                for low in (0, 1, -1):
+                    for high in (0, 1, 2):
+                        t = self.move(*s, low, high)
+                        if t not in seen:
+                            seen.add(t)
+                            todo.append(t)
+            self._all = [list(s) for s in sorted(seen)]
+        return self._all
+
+    def move(self, ht: float, lt: float, low: int, high: int) -> tuple[float, float]:
+        """One outcome's effect: ``low`` -1 or 1 moves the low threshold, ``high`` 1 lowers the high one, 2 raises it if there is room."""
+        if low:
+            lt = self.clamp(lt + low * fixed.CISC_STEP)
+        if high == 1:
+            ht = self.clamp(ht - fixed.CISC_STEP)
+        elif high == 2 and ht < lt - 0.10:
+            ht = self.clamp(ht + fixed.CISC_STEP)
+        return (ht, self.clamp(ht + 0.10)) if ht >= lt - 0.10 else (ht, lt)
+
+    def moves(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row whether any rule applies, and its moves."""
+        col = lambda c: pdf[c].to_numpy(float)
+        p = (col("n_true") + 1) / (col("n_alerts") + 2) - self.tp
+        r = (col("n_true") + 1) / (col("n_wrong") + 2) - self.tr
+        h = np.divide(col("n_high_wrong"), col("n_high"), out=np.zeros(len(pdf)), where=col("n_high") > 0)
+        low = np.where((p > 0.05) & (r < -0.05), -1, np.where(p < -0.05, 1, 0))
+        return col("n_obs") >= self.min, low, np.where(h > 0.35, 1, np.where(h < 0.10, 2, 0))
+
+    def table(self, pdf: pd.DataFrame) -> np.ndarray:
+        """The state that the rows leave for each state; equal moves in a row are applied until they change nothing."""
+        states = [tuple(s) for s in self.states()]
+        at = {s: i for i, s in enumerate(states)}
+        steps = {}
+        on, low, high = self.moves(pdf)
+        kinds = (3 * (low[on] + 1) + high[on]).tolist()
+        m, i = np.arange(len(states)), 0
+        while i < len(kinds):
+            k, j = kinds[i], i
+            while j < len(kinds) and kinds[j] == k:
+                j += 1
+            if k not in steps:
+                steps[k] = np.array([at[self.move(*s, k // 3 - 1, k % 3)] for s in states])
+            for _ in range(j - i):
+                new = steps[k][m]
+                if (new == m).all():
+                    break
+                m = new
+            i = j
+        return m
+
     def run(self, s: list, pdf: pd.DataFrame) -> tuple[list, pd.DataFrame]:
         ht, lt = s
-        col = lambda c: pdf[c].to_numpy(float)
-        pg = (col("n_true") + 1) / (col("n_alerts") + 2) - self.tp
-        rg = (col("n_true") + 1) / (col("n_wrong") + 2) - self.tr
-        high = np.divide(col("n_high_wrong"), col("n_high"), out=np.zeros(len(pdf)), where=col("n_high") > 0)
         hs, ls = [], []
-        for n, p, r, h in zip(pdf["n_obs"].tolist(), pg.tolist(), rg.tolist(), high.tolist(), strict=True):
-            if n >= self.min:
-                if p > 0.05 and r < -0.05:
-                    lt = self.clamp(lt - fixed.CISC_STEP)
-                elif p < -0.05:
-                    lt = self.clamp(lt + fixed.CISC_STEP)
-                if h > 0.35:
-                    ht = self.clamp(ht - fixed.CISC_STEP)
-                elif h < 0.10 and ht < lt - 0.10:
-                    ht = self.clamp(ht + fixed.CISC_STEP)
-                if ht >= lt - 0.10:
-                    lt = self.clamp(ht + 0.10)
+        for on, low, high in zip(*(x.tolist() for x in self.moves(pdf)), strict=True):
+            if on:
+                ht, lt = self.move(ht, lt, low, high)
             hs.append(ht)
             ls.append(lt)
         return [ht, lt], pd.DataFrame({"seq": pdf["n_obs"].to_numpy("int64"), "high_threshold": hs, "low_threshold": ls})

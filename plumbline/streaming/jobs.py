@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import json
 import math
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from plumbline import fixed
+from plumbline.functions import text as T
 from plumbline.operators.models import fit_isotonic
 from plumbline.session import new_dir, written
 
@@ -68,18 +67,16 @@ def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fol
         FoldProcessor(fold, keys, order), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-_WORD = re.compile(r"[a-z]+")
-_STOP = set(fixed.NANO_STOP)
-
-
-def _tokens(text: str) -> set[str]:
-    return {w for w in _WORD.findall(text.lower()) if len(w) > 1 and w not in _STOP}
-
-
 class LiveChain(StatefulProcessor):
-    """Scores a chain after every step from sums that grow with the step, not with the chain."""
+    """Scores a chain after every step from sums that grow with the step, not with the chain.
+
+    Steps are taken in the order of their numbers. One that is ahead waits in the state until those before it have
+    come, or until the chain has been idle for ``idle_ms`` of event time beyond its latest step; then it is scored as
+    the next one there is, with status ``gap``. A number that was taken already comes back as ``late`` without a score.
+    """
 
-    out = ("chain_id long, t int, risk_score double, risk string, abort boolean")
+    out = ("chain_id long, t int, risk_score double, risk string, abort boolean, status string")
+    names = ["chain_id", "t", "risk_score", "risk", "abort", "status"]
 
     def __init__(self, idle_ms: int = 3_600_000, abort_at: float = 0.65):
         self.idle, self.abort_at = idle_ms, abort_at
@@ -89,29 +86,28 @@ class LiveChain(StatefulProcessor):
         self.state = handle.getValueState("chain", "s string")
 
     @staticmethod
-    def step(s: dict, row) -> tuple[dict, float]:
-        t, o = row.thought or "", row.observation or ""
-        tt, ot, n = _tokens(t), _tokens(o), s["n"] + 1
-        acts = s["acts"] if row.action_type in s["acts"] else [*s["acts"], row.action_type]
-        s = {**s, "n": n, "acts": acts}
-        if t and o:
-            both, union = len(tt & ot), len(tt | ot)
-            risk = 1 - both / max(union, 1)
-            if union:
-                s["gap"] = [s["gap"][0] + both / union, s["gap"][1] + 1]
-            s["used"] = [s["used"][0] + both / max(len(ot), 1), s["used"][1] + 1]
-            s["first"] = risk if s["first"] is None else s["first"]
-            s["last"], s["risks"] = risk, s["risks"] + 1
-        if t:
-            s["words"] = [s["words"][0] + len(t.split()), s["words"][1] + 1]
-        prev = s["prev"]
-        if prev is not None:
-            pt = _tokens(prev)
-            if pt | tt:
-                s["coh"] = [s["coh"][0] + len(pt & tt) / len(pt | tt), s["coh"][1] + 1]
-        s["prev"] = t
+    def fresh() -> dict:
+        return {"n": 0, "acts": [], "gap": [0.0, 0], "used": [0.0, 0], "coh": [0.0, 0], "words": [0, 0], "first": None, "last": None,
+                "risks": 0, "prev": None, "next": 0, "held": {}, "at": 0}
+
+    @staticmethod
+    def step(s: dict, row: dict) -> float:
+        n = s["n"] = s["n"] + 1
+        if row["action_type"] not in s["acts"]:
+            s["acts"].append(row["action_type"])
+        for k, v in (("gap", row["gap"]), ("used", row["used"]), ("words", row["th_words"])):
+            if v is not None:
+                s[k] = [s[k][0] + v, s[k][1] + 1]
+        if row["step_risk"] is not None:
+            s["first"] = row["step_risk"] if s["first"] is None else s["first"]
+            s["last"], s["risks"] = row["step_risk"], s["risks"] + 1
+        if s["prev"] is not None:
+            a, b = set(s["prev"]), set(row["tt"])
+            if a | b:
+                s["coh"] = [s["coh"][0] + len(a & b) / len(a | b), s["coh"][1] + 1]
+        s["prev"] = row["tt"]
         mean = lambda k: s[k][0] / s[k][1] if s[k][1] else 0.5
-        vals = [1 - len(acts) / n, min(n / 10, 1.0), 1 - mean("gap"), min(s["words"][0] / (50 * max(s["words"][1], 1)), 1.0), 0.5, 1.2]
+        vals = [1 - len(s["acts"]) / n, min(n / 10, 1.0), 1 - mean("gap"), min(s["words"][0] / (50 * max(s["words"][1], 1)), 1.0), 0.5, 1.2]
         weight = 6.2
         if n >= 3:
             vals += [1.3 * mean("used"), 1.3 * mean("coh")]
@@ -119,39 +115,65 @@ class LiveChain(StatefulProcessor):
             if s["risks"] >= 3:
                 vals.append(0.8 * (math.tanh(5 * (s["last"] - s["first"]) / max(n - 1, 1)) * 0.5 + 0.5))
                 weight += 0.8
-        return s, sum(vals) / weight
+        return sum(vals) / weight
+
+    def _scored(self, key, s: dict, idx: int, row: dict, status: str) -> tuple:
+        r = self.step(s, row)
+        s["next"] = idx + 1
+        own = 1 - r if s["n"] <= 2 else r
+        return key[0], s["n"], r, "low" if r < 0.5 else "medium" if r < 0.7 else "high", own >= self.abort_at, status
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = self.state.get()
-        s = json.loads(got[0]) if got is not None else {
-            "n": 0, "acts": [], "gap": [0.0, 0], "used": [0.0, 0], "coh": [0.0, 0], "words": [0, 0], "first": None, "last": None,
-            "risks": 0, "prev": None}
+        s = json.loads(got[0]) if got is not None else self.fresh()
         out = []
-        for row in pd.concat(list(rows)).sort_values("step_idx").itertuples():
-            if row.step_idx < s["n"]:
-                continue  # already counted
-            s, r = self.step(s, row)
-            own = 1 - r if s["n"] <= 2 else r
-            out.append((key[0], s["n"], r, "low" if r < 0.5 else "medium" if r < 0.7 else "high", own >= self.abort_at))
+        for pdf in rows:
+            for row in pdf.to_dict("records"):
+                idx, at = int(row.pop("step_idx")), int(pd.Timestamp(row.pop("at")).timestamp() * 1000)
+                s["at"] = max(s["at"], at)
+                if idx < s["next"] or str(idx) in s["held"]:
+                    out.append((key[0], idx + 1, None, None, None, "late"))
+                    continue
+                row["tt"] = [str(w) for w in row["tt"]]
+                s["held"][str(idx)] = {k: None if k != "tt" and pd.isna(v) else v for k, v in row.items() if k != "chain_id"}
+        while str(s["next"]) in s["held"]:
+            out.append(self._scored(key, s, s["next"], s["held"].pop(str(s["next"])), "scored"))
         self.state.update((json.dumps(s),))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + self.idle)
-        yield pd.DataFrame(out, columns=["chain_id", "t", "risk_score", "risk", "abort"])
+        self.handle.registerTimer(s["at"] + self.idle)
+        yield pd.DataFrame(out, columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        got = self.state.get()
+        s = json.loads(got[0]) if got is not None else self.fresh()
+        out = [self._scored(key, s, i, s["held"][str(i)], "gap") for i in sorted(map(int, s["held"]))]
         self.state.clear()
-        yield pd.DataFrame({"chain_id": [], "t": [], "risk_score": [], "risk": [], "abort": []}).astype(
-            {"chain_id": "int64", "t": "int32", "risk_score": "float64", "risk": "object", "abort": "bool"})
+        yield pd.DataFrame(out, columns=self.names).astype({"chain_id": "int64", "t": "int32", "risk_score": "float64", "risk": "object", "abort": "object",
+                                                            "status": "object"})
 
     def close(self) -> None:
         pass
 
 
-def live_scores(step_stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Prefix score of each chain as its steps arrive; idle chains leave the state."""
-    return step_stream.withWatermark("at", lateness).groupBy("chain_id").transformWithStateInPandas(
-        LiveChain(), outputStructType=LiveChain.out, outputMode="Append", timeMode="EventTime")
+def live_steps(steps: DataFrame) -> DataFrame:
+    """What the live scorer needs of a step, made before the state and without it; ``at`` is its event time."""
+    th, ob = T.text("thought"), T.text("observation")
+    s = steps.select("chain_id", "step_idx", "at", T.text("action_type").alias("action_type"), th.alias("_th"), ob.alias("_ob"),
+                     T.content_tokens(th).alias("tt"), T.content_tokens(ob).alias("_ot"))
+    both = (F.col("_th") != "") & (F.col("_ob") != "")
+    common = T.shared(F.col("tt"), F.col("_ot"))
+    union = F.size("tt") + F.size("_ot") - common
+    return s.select("chain_id", "step_idx", "at", "action_type", "tt", F.when(both & (union > 0), common / union).alias("gap"),
+                    F.when(both, 1 - common / F.greatest(union, F.lit(1))).alias("step_risk"),
+                    F.when(both, common / F.greatest(F.size("_ot"), F.lit(1))).alias("used"),
+                    F.when(F.col("_th") != "", T.word_count(F.col("_th"))).cast("double").alias("th_words"))
+
+
+def live_scores(step_stream: DataFrame, lateness: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """Prefix score of each chain as its steps arrive; idle chains leave the state. Steps older than the watermark are dropped by Spark."""
+    return live_steps(step_stream).withWatermark("at", lateness).groupBy("chain_id").transformWithStateInPandas(
+        LiveChain(idle_ms), outputStructType=LiveChain.out, outputMode="Append", timeMode="EventTime")
 
 
 def fan_out(joined: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -97,3 +98,59 @@ def by_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold, bl
         return with_entry.groupBy(*id_cols).applyInPandas(outputs, out_schema)
     done = with_entry.join(late, keys, "left_anti").groupBy(*id_cols).applyInPandas(outputs, out_schema)
     return done.unionByName(in_order(d.join(late, keys, "left_semi"), keys, order, fold))
+
+
+FAN = 256
+
+
+def by_maps(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold, block: int = 4096, seq: str = "seen") -> DataFrame:
+    """Exact replay in parallel inside a key, for folds with few states (``fold.states``) that name their moves.
+
+    A block's effect is a table: the state it leaves for every state it may enter with. Tables compose, so ``FAN`` blocks
+    become one table, ``FAN`` of those the next, until a key has ``FAN`` at most; then the entry states are handed
+    down again. No task sees more than ``FAN`` tables, and the number of levels is the logarithm of a key's rows.
+    """
+    keys, spark = list(keys), df.sparkSession
+    d = written(spark, df.withColumn("_b", F.floor((F.col(seq) - 1) / block)), "blocks")
+    states = fold.states()
+    at = {json.dumps(s): i for i, s in enumerate(states)}
+    cols = [*keys, "_b"]
+
+    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, fold.table(pdf.sort_values(order)).astype("<i4").tobytes())], columns=[*cols, "map"])
+
+    def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.arange(len(states))
+        for raw in pdf.sort_values("_b")["map"]:
+            m = np.frombuffer(raw, "<i4")[m]
+        return pd.DataFrame([(*key, m.astype("<i4").tobytes())], columns=[*cols, "map"])
+
+    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_b")
+        now, out = int(pdf["entry"].iloc[0]), []
+        for raw in pdf["map"]:
+            out.append(now)
+            now = int(np.frombuffer(raw, "<i4")[now])
+        return pd.DataFrame({**{k: key[i] for i, k in enumerate(keys)}, "_b": pdf["_b"], "entry": out})
+
+    kind, up = _schema(d, cols, "map binary"), (F.floor(F.col("_b") / FAN)).alias("_u")
+    levels = [written(spark, d.groupBy(*cols).applyInPandas(table, kind), "maps")]
+    most = levels[0].agg(F.max("_b")).first()[0] or 0
+    while most >= FAN:
+        top = levels[-1].select(*keys, up, "_b", "map")
+        levels.append(written(spark, top.groupBy(*keys, "_u").applyInPandas(joined, kind), "maps"))
+        most //= FAN
+    known = levels[-1].select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("_u"), F.lit(at[json.dumps(fold.init())]).alias("entry"))
+    for level in reversed(levels):
+        below = level.select(*keys, up, "_b", "map").join(known, [*keys, "_u"])
+        known = written(spark, below.groupBy(*keys, "_u").applyInPandas(lambda key, pdf: entries(key, pdf), _schema(d, cols, "entry int")), "entries")
+        known = known.withColumnRenamed("_b", "_u")
+
+    def outputs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, out = fold.run(states[int(pdf["_entry"].iloc[0])], pdf.sort_values(order))
+        for i, k in enumerate(keys):
+            out.insert(i, k, key[i])
+        return out
+
+    return (d.join(known.select(*keys, F.col("_u").alias("_b"), F.col("entry").alias("_entry")), cols)
+            .groupBy(*cols).applyInPandas(outputs, _schema(d, keys, fold.out)))

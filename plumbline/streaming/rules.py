@@ -73,9 +73,9 @@ def cisc_counters(outcomes: DataFrame, keys: Sequence[str], width: int = 60) ->
 
 
 def cisc_thresholds(outcomes: DataFrame, keys: Sequence[str] = ("user_id", "domain"), block: int = 4096) -> DataFrame:
-    """Thresholds after every outcome: counters in parallel, then the small state block by block."""
+    """Thresholds after every outcome: counters in parallel, then the blocks' effects as tables of states."""
     c = cisc_counters(outcomes, keys)
-    return replay.by_blocks(c, keys, ["n_obs"], folds.Cisc(), block, seq="n_obs")
+    return replay.by_maps(c, keys, ["n_obs"], folds.Cisc(), block, seq="n_obs")
 
 
 def cisc_summary(outcomes: DataFrame, keys: Sequence[str] = ("user_id", "domain"), target_precision: float = 0.80,

@@ -36,6 +36,10 @@ def test_blocks_do_not_change_results(spark):
     for block in (1, 2, 5, 100):
         got = {(r.k, r.i): r.p for r in with_previous(s, "k", "i", {"p": "t"}, block).collect()}
         assert got == {(k, i): (f"t{i - 1}" if i else None) for k in (1, 2) for i in range(23)}
+        holes = s.filter("i NOT IN (3, 4, 5, 9, 14, 15)").withColumn("i", F.col("i") * 3 + 1)
+        got = {(r.k, r.i): r.p for r in with_previous(holes, "k", "i", {"p": "t"}, block).collect()}
+        left = [i for i in range(23) if i not in (3, 4, 5, 9, 14, 15)]
+        assert got == {(k, i * 3 + 1): (f"t{j}" if j is not None else None) for k in (1, 2) for j, i in zip([None, *left], left)}
         run = running_sums(s.withColumn("b", F.floor(F.col("i") / block)), ["k"], "b", ["i"], {"n": F.lit(1), "total": F.col("i")})
         assert all(r.n == r.i + 1 and r.total == r.i * (r.i + 1) // 2 for r in run.collect())
 

@@ -186,3 +186,18 @@ def test_guardrail_staircase_equals_every_rule(spark):
         if hit:
             want[i] = (min(hit)[0], min(hit)[3])
     assert {x.chain_id: (x.rule_id, x.action) for x in M.match_guardrails(c, r).collect()} == want
+
+
+def test_threshold_tables_equal_one_walk(spark, monkeypatch):
+    import random
+    rng, rows = random.Random(3), []
+    for i in range(900):  # one calibrated domain, which makes no moves, and one that drifts
+        rows.append(("calm", i, i, "LOW" if rng.random() < 0.4 else "HIGH" if rng.random() < 0.5 else "MEDIUM", rng.random() < 0.3))
+        rows.append(("wild", i, i, rng.choice(["LOW", "HIGH", "MEDIUM"]), rng.random() < (0.9 if i % 300 < 150 else 0.05)))
+    d = spark.createDataFrame(rows, "domain string, ts long, chain_id long, tier string, was_wrong boolean")
+    c = M.cisc_counters(d, ["domain"])
+    key = lambda df: sorted((r.domain, r.seq, r.high_threshold, r.low_threshold) for r in df.collect())
+    want = key(replay.in_order(c, ["domain"], ["n_obs"], folds.Cisc()))
+    monkeypatch.setattr(replay, "FAN", 4)
+    for block in (10, 64, 5000):
+        assert key(M.cisc_thresholds(d, ["domain"], block)) == want

@@ -153,3 +153,37 @@ def test_bandit_starts_with_unpulled(spark):
     log = spark.createDataFrame([("x", 1.0)], "arm string, reward double")
     got = {r.arm: r for r in C.bandit_arms(log, arms, ["arm"], "reward", 2.0).collect()}
     assert got["y"].next and not got["x"].next and got["x"].mean_reward == 1.0
+
+
+@pytest.mark.parametrize("scale,points", [(1.0, 4), (1e6, 4), (1e6, 300), (1.0, 1)])
+def test_pair_median_with_equal_distances(spark, scale, points):
+    from plumbline.operators.novelty import pair_median
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(points, 3)) * scale
+    vs = [pts[i % points].tolist() for i in range(300)]
+    d = spark.createDataFrame(list(enumerate(vs)), "vec_id long, v array<double>")
+    x = np.array(vs)
+    want = np.median([np.sqrt(((x[i] - x[j]) ** 2).sum()) for i in range(300) for j in range(i)])
+    assert abs(pair_median(d, tile=64, narrow=50) - want) <= 1e-9 * max(scale, 1)
+
+
+def test_filter_over_a_whole_key(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, t, t, float(rng.random())) for k, n in ((1, 1), (2, 2), (3, 200)) for t in range(n)]
+    d = spark.createDataFrame(rows, "k int, ts long, c long, risk double")
+    want = {}
+    for k, _, _, z in rows:
+        if k not in want:
+            want[k] = (z, 1.0)
+        else:
+            x, p = want[k][0], want[k][1] + 0.2
+            g = p / (p + 0.05)
+            want[k] = (x + g * (z - x), (1 - g) * p)
+    got = {r.k: r.risk for r in C.kalman_by_key(d, ["k"], ["ts", "c"], "risk").collect()}
+    assert all(abs(got[k] - min(max(x, 0), 1)) < 1e-12 for k, (x, _) in want.items())
+
+
+def test_arms_of_many_domains_have_one_winner(spark):
+    log = spark.createDataFrame([("m", f"d{i}", 0.5) for i in range(7)], "failure_mode string, domain string, reward double")
+    arms = spark.createDataFrame([(m, f"d{i}", k * 7 + i) for k, m in enumerate(("m", "n")) for i in range(7)], "failure_mode string, domain string, pos int")
+    assert C.bandit_arms(log, arms, ["failure_mode", "domain"], "reward", 1.0).where("next").count() == 1
