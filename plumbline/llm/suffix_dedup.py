@@ -5,8 +5,8 @@ at equal offsets. Anchors are the initial buckets: those of one member hold no r
 form a context (its bytes from the first window to the last one's end). Contexts that occur twice are repeats as they
 stand; the others of a bucket are refined: their positions start in buckets of 8-byte grams, and sorting on the pairs of
 bucket numbers of a position and of a later offset doubles the length that a bucket stands for, until it is
-``length``. Windows that share a bucket then are equal. Buckets of many contexts are split by the windows' hashes
-instead of being gathered in a task. Equal texts are one text with a mark; all of their windows are repeats.
+``length``. Windows that share a bucket then are equal. Buckets of many contexts are split by hashes of their
+windows' parts instead of being gathered in a task. Equal texts are one text with a mark; all of their windows are repeats.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from plumbline.llm.base import id_of, query, rows, shuffle_partitions, table, te
 GRAM = 32
 BLOCK = 1 << 19  # window starts of a text looked at together; a position of a block and its overlap fits in 20 bits
 GATHER = 1 << 20  # bytes of contexts refined together
-MANY = 256  # contexts of a bucket beyond which it is split by window hashes
+MANY = 2048  # contexts of a bucket beyond which it is split by the hashes of its windows' parts
+PIECE = 8  # neighbouring windows told apart together in such a bucket
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -225,25 +226,66 @@ def _refined(wanted: DataFrame, length: int) -> DataFrame:
             .mapInArrow(spans, SPAN))
 
 
-def _split(wanted: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of lone contexts in buckets of many, each window's hash counted for itself."""
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(text: bytes, seed: int) -> tuple[int, int]:
+    return xxhash.xxh3_64_intdigest(text, seed) - (1 << 63), xxhash.xxh3_64_intdigest(text, ~seed & 0xFFFFFFFF) - (1 << 63)
+
+
+def _pieces(wanted: DataFrame, length: int) -> DataFrame:
+    """One row per context and ``PIECE`` neighbouring distances j of a window start before the anchor.
+
+    ``core`` stands for the bytes that all windows of the piece have in common, ``whole`` for those of any of them.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
+        names = ["h", "t", "core1", "core2", "whole1", "whole2", "k1", "k2", "p", "near", "far", "m"]
         for k1, k2, bodies, lists in rows(batches, 64):
+            got = [[] for _ in names]
             for a, b, body, asked in zip(k1, k2, bodies, lists):
-                text, got = unpress(body), [[], [], [], []]
+                text = unpress(body)
                 for x, (lo, hi) in zip(asked, _windows([x["place"] for x in asked])):
-                    for s in range(lo, hi + 1):
-                        w = text[s:s + length]
-                        for c, v in zip(got, (xxhash.xxh3_64_intdigest(w, 1) - (1 << 63), xxhash.xxh3_64_intdigest(w, 2) - (1 << 63), s, x["m"])):
+                    p = x["place"] >> 16
+                    for t in range((p - hi) // PIECE, (p - lo) // PIECE + 1):
+                        first, last = t * PIECE, t * PIECE + PIECE - 1
+                        left = max(p - last, 0)
+                        for c, v in zip(got, (x["h"], t, *_digests(text[p - first:p + length - last], t), *_digests(text[left:p + length - first], 256 * (p - left) + t),
+                                              a, b, p, max(first, p - hi), min(last, p - lo), x["m"])):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names)
+    return wanted.mapInArrow(cut, "h long, t long, core1 long, core2 long, whole1 long, whole2 long, k1 long, k2 long, p long, near long, far long, m long")
+
+
+def _split(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Repeated spans of lone contexts in buckets of many, which no task gathers.
+
+    A piece whose bytes occur twice is repeated, one whose core occurs once is not. Of the others, and of
+    one partner for each of their neighbours in the core's bucket, every window's hash is counted.
+    """
+    spark = wanted.sparkSession
+    core, whole = ["h", "t", "core1", "core2"], ["h", "t", "whole1", "whole2"]
+    pieces = session.written(spark, _pieces(wanted, length), "repeat-pieces")
+    kinds = session.written(spark, pieces.groupBy(*core, "whole1", "whole2").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2", "p", "near", "far")).alias("one")), "repeat-kinds")
+    yes = pieces.where("m = 1").join(session.written(spark, kinds.where("n > 1").select(*whole), "repeat-whole"), whole).select(
+        "k1", "k2", (F.col("p") - F.col("far")).alias("start"), (F.col("p") - F.col("near") + length).alias("stop"))
+    open_ = session.written(spark, kinds.groupBy(*core).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select(*core), "repeat-open")
+    asked = kinds.join(open_, core).select(F.least("n", F.lit(2)).alias("m"), "one.*")
+    lists = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "near", "far", "m")).alias("asked"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
+        for k1, k2, bodies, lists in rows(batches, 64):
+            got = [[] for _ in range(6)]
+            for a, b, body, asked in zip(k1, k2, bodies, lists):
+                text = unpress(body)
+                for x in asked:
+                    for s in range(x["p"] - x["far"], x["p"] - x["near"] + 1):
+                        for c, v in zip(got, (*_digests(text[s:s + length], 0), a, b, s, x["m"])):
                             c.append(v)
-                n = len(got[0])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*got[:2], [a] * n, [b] * n, *got[2:]), (*[pa.int64()] * 5, pa.int32()))],
-                                                 ["w1", "w2", "k1", "k2", "start", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], ["w1", "w2", "k1", "k2", "start", "m"])
 
-    w = session.written(wanted.sparkSession, wanted.mapInArrow(hashed, "w1 long, w2 long, k1 long, k2 long, start long, m int"), "repeat-windows")
-    often = session.written(wanted.sparkSession, w.groupBy("w1", "w2").agg(F.sum("m").alias("n")).where("n > 1").select("w1", "w2"), "repeat-often")
-    return w.where("m = 1").join(often, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
+    w = session.written(spark, texts.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "asked").mapInArrow(
+        hashed, "w1 long, w2 long, k1 long, k2 long, start long, m long"), "repeat-windows")
+    often = session.written(spark, w.groupBy("w1", "w2").agg(F.sum("m").alias("n")).where("n > 1").select("w1", "w2"), "repeat-often")
+    return yes.unionAll(w.where("m = 1").join(often, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + length).alias("stop")))
 
 
 def repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -267,7 +309,7 @@ def repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> tuple
         lists = asked.where(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "place", "m")).alias("asked"))
         return texts.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "asked")
 
-    found = whole.unionAll(_refined(wanted(f"n <= {MANY}"), length)).unionAll(_split(wanted(f"n > {MANY}"), length))
+    found = whole.unionAll(_refined(wanted(f"n <= {MANY}"), length)).unionAll(_split(wanted(f"n > {MANY}"), texts, length))
     spans = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return texts, session.written(spark, spans, "repeat-spans")
 
