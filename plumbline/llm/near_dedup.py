@@ -23,9 +23,8 @@ from plumbline import session
 from plumbline.llm.base import LOWER, id_of, query, rows, table, text_of
 from plumbline.llm.graph import components
 
-SAMPLES = 152
-BITS = 512
-TILE = 512
+SAMPLES, BITS = 152, 512
+TILE, TILE_BYTES = 1024, 4 << 20  # members, and bytes of their texts, of one side of a tile
 SIGNED = "doc_id long, mark long, n_shingles long, node binary, bands array<long>, sketch binary"
 
 
@@ -75,15 +74,15 @@ def bands_of(threshold: float) -> tuple[int, int]:
 
 
 class Signer:
-    def __init__(self, bands: int, rows_: int):
-        self.bands, self.rows = bands, rows_
-        seeds = _mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.odd = (seeds[:SAMPLES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        self.odd2 = (seeds[SAMPLES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        self.numbers = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+    def __init__(self, bands: int = 0, rows_: int = 0, samples: int = SAMPLES, bits: int = BITS):
+        self.bands, self.rows, self.bits = bands, rows_, bits
+        seeds = _mixed(np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.odd = (seeds[:samples] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        self.odd2 = (seeds[samples:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        self.numbers = np.arange(samples, dtype=np.uint64) << np.uint64(32)
 
     def samples(self, s: np.ndarray) -> np.ndarray:
-        least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+        least = np.full(len(self.odd), 0xFFFFFFFF, np.uint32)
         h = (s >> np.uint64(32)).astype(np.uint32)
         for at in range(0, len(h), 1024):
             x = self.odd[:, None] * h[at:at + 1024]
@@ -92,20 +91,23 @@ class Signer:
             np.minimum(least, x.min(1), out=least)
         return least
 
-    def sign(self, s: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """Band keys and odd sketch."""
-        m = self.samples(s)
+    def keys(self, m: np.ndarray) -> np.ndarray:
+        """Band keys of samples."""
         keys = np.arange(1, self.bands + 1, dtype=np.uint64)
         for j in range(self.rows):
             keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) ^ m[j:self.bands * self.rows:self.rows])
-        bit = (_mixed(self.numbers | m) >> np.uint64(40)) % np.uint64(BITS)
-        return keys.view(np.int64), np.packbits((np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+        return keys.view(np.int64)
 
+    def sketch(self, m: np.ndarray) -> bytes:
+        """Odd sketch of samples: each flips the bit that its number and value hash to."""
+        bit = (_mixed(self.numbers | m) >> np.uint64(40)) % np.uint64(self.bits)
+        return np.packbits((np.bincount(bit.astype(np.int64), minlength=self.bits) & 1).astype(bool)).tobytes()
 
-def sketch_similarity(differing_bits: np.ndarray) -> np.ndarray:
+
+def sketch_similarity(differing_bits: np.ndarray, samples: int = SAMPLES, bits: int = BITS) -> np.ndarray:
     """Similarity that the number of differing bits of two odd sketches speaks for."""
-    left = np.clip(1 - 2 * differing_bits / BITS, 1e-9, 1)
-    return 1 + BITS / (4 * SAMPLES) * np.log(left)
+    left = np.clip(1 - 2 * differing_bits / bits, 1e-9, 1)
+    return 1 + bits / (4 * samples) * np.log(left)
 
 
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,19 +122,19 @@ def _signed(docs: DataFrame, k: int, bands: int, rows_: int) -> DataFrame:
             n, nodes, keys, sketches = [], [], [], []
             for text in texts:
                 s = shingles(text, k)
-                key, sketch = signer.sign(s) if len(s) else (None, None)
+                m = signer.samples(s) if len(s) else None
                 n.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(key)
-                sketches.append(sketch)
+                keys.append(signer.keys(m) if len(s) else None)
+                sketches.append(signer.sketch(m) if len(s) else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()),
                                               pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                                              ["doc_id", "mark", "n_shingles", "node", "bands", "sketch"])
     return docs.mapInArrow(signed, SIGNED)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have ``percent`` of their union in common."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, percent: int, margin: float) -> DataFrame:
+    """The pairs (a, b) whose full sets have ``percent`` of their union in common; sketches rule out those far from it."""
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, set_ = None, None
         for a, b, ta, tb in rows(batches, 64):
@@ -145,52 +147,76 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
                 out.append(100 * common >= percent * (len(set_) + len(s) - common))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([v for v, o in zip(a, out) if o], [v for v, o in zip(b, out) if o])], ["a", "b"])
 
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(checked, "a binary, b binary")
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+                ok = sketch_similarity(np.bitwise_count(x ^ y).sum(1)) >= percent / 100 - margin
+                yield batch.select([0, 1]).filter(pa.array(ok))
+
+    sa, sb = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    near = session.written(pairs.sparkSession, pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(likely, "a binary, b binary"), "near-likely")
+    ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    return near.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(checked, "a binary, b binary")
+
 
+def _tiled(active: DataFrame, k: int, percent: int, margin: float) -> DataFrame:
+    """Links (a, b) between members of one bucket and different components, tile by tile.
 
-def _tiled(active: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose sketches say at least ``least``, tile by tile."""
-    n = F.ceil(F.count("*") / TILE).cast("int")
-    sizes = session.written(active.sparkSession, active.groupBy("key").agg(n.alias("blocks")), "near-sizes")
+    A tile compares two bounded blocks of a bucket: sketches first, then all full sets that some sketch speaks for
+    at once, as a product of their membership matrices. Only links leave the task.
+    """
+    size = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("text")) / TILE_BYTES)).cast("int")
+    sizes = session.written(active.sparkSession, active.groupBy("key").agg(size.alias("blocks")), "near-sizes")
     tiles = (active.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "sketch")
+             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "sketch", "text")
              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block"))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(tile, held):
-            if len(held) < 2:
-                return [], []
-            bits = np.array([np.frombuffer(h[3], np.uint64) for h in held])
-            labels = np.unique(np.array([h[2] for h in held], object).astype("S32"), return_inverse=True)[1]
-            block = np.array([h[0] for h in held])
-            a, b = [], []
-            for x in range(len(held) - 1):
-                diff = np.bitwise_count(bits[x + 1:] ^ bits[x]).sum(1)
-                ok = (sketch_similarity(diff) >= least) & (labels[x + 1:] != labels[x])
-                if tile[1] != tile[2]:
-                    ok &= block[x + 1:] != block[x]
-                for y in np.flatnonzero(ok) + x + 1:
-                    a.append(held[x][1])
-                    b.append(held[y][1])
-            return a, b
+    def linked(tile, held) -> list[tuple[bytes, bytes]]:
+        if len(held) < 2:
+            return []
+        bits = np.array([np.frombuffer(h[3], np.uint64) for h in held])
+        names: dict[bytes, int] = {}
+        label = np.array([names.setdefault(h[2], len(names)) for h in held])
+        block = np.array([h[0] for h in held])
+        ok = np.zeros((len(held), len(held)), bool)
+        for x in range(len(held) - 1):
+            ok[x, x + 1:] = (label[x + 1:] != label[x]) & (sketch_similarity(np.bitwise_count(bits[x + 1:] ^ bits[x]).sum(1)) >= percent / 100 - margin)
+        if tile[1] != tile[2]:
+            ok &= block[:, None] != block
+        some = np.flatnonzero(ok.any(0) | ok.any(1))
+        if not len(some):
+            return []
+        sets = [shingles(held[i][4], k) for i in some]
+        sizes = np.array([len(x) for x in sets])
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(some)), sizes), (np.cumsum(count > 1) - 1)[column]
+        common = np.zeros((len(some), len(some)), np.float32)
+        twice = count[column] > 1
+        row, shared = row[twice], shared[twice]
+        for at in range(0, int(shared.max(initial=-1)) + 1, 2048):
+            here = (shared >= at) & (shared < at + 2048)
+            m = np.zeros((len(some), 2048), np.float32)
+            m[row[here], shared[here] - at] = 1
+            common += m @ m.T
+        link = ok[np.ix_(some, some)] & (100 * common >= percent * (sizes[:, None] + sizes - common))
+        return [(held[some[x]][1], held[some[y]][1]) for x, y in zip(*np.nonzero(link))]
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, []
-        for key, i, j, block, node, label, sketch in rows(batches):
-            a, b = [], []
-            for t in zip(key, i, j, block, node, label, sketch):
+        for columns in rows(batches):
+            found = []
+            for t in zip(*columns):
                 if t[:3] != tile:
-                    x, y = flush(tile, held)
-                    a, b, tile, held = a + x, b + y, t[:3], []
-                held.append((t[3], t[4], t[5].hex().encode(), t[6]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-        a, b = flush(tile, held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    found += linked(tile, held)
+                    tile, held = t[:3], []
+                held.append(t[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], ["a", "b"])
+        found = linked(tile, held)
+        yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    p = tiles.mapInArrow(compared, "a binary, b binary")
-    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return tiles.mapInArrow(compared, "a binary, b binary").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3, margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +227,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3,
     names the component; a text without words has none and stands alone. Null texts count as empty. A null
     identifier is never a ``component_id`` unless alone or among nulls. Rows may repeat: equal texts share a node.
     A pair at the threshold is missed with a probability under 1e-7 (bands) plus that of a sketch more than
-    ``margin`` too low, over six standard deviations, for the pairs that the ``rounds`` have left open.
+    ``margin`` too low, over six standard deviations.
     """
     spark = docs.sparkSession
     d = _docs(docs, id_col, text_col)
@@ -218,7 +244,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3,
     texts = session.written(spark, d.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).groupBy("node").agg(
         F.min("text").alias("text")), "near-texts")
     active = session.written(spark, members.select("key", "node").join(fame, "node"), "near-active")
-    links, tested, labels = None, None, None
+    links, labels = None, None
     for turn in range(rounds + 1):
         if labels is not None:
             named = labels.withColumnRenamed("node", "x")
@@ -233,13 +259,12 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3,
             pairs = (led if labels is None else led.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("of")), "leader", "left").where(
                 F.coalesce("of", "leader") != F.col("label"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
             active = led.select("key", "node", "fame")
+            found = _confirmed(session.written(spark, pairs, "near-pairs"), texts, nodes, k, percent, margin)
         else:
-            pairs = _tiled(active.join(nodes.select("node", "sketch"), "node"), percent / 100 - margin)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = session.written(spark, pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = session.written(spark, _confirmed(pairs, texts, k, percent), "near-links")
+            if labels is None:
+                active = active.withColumn("label", F.col("node"))
+            found = _tiled(active.join(nodes.select("node", "sketch"), "node").join(texts, "node"), k, percent, margin)
+        found = session.written(spark, found, "near-links")
         links = found if links is None else links.unionAll(found)
         labels = components(links)
     whole = nodes.select("node", "row").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
