@@ -38,7 +38,7 @@ def traits(text: bytes, odds: dict[bytes, float]) -> list[float]:
     found = [odds[t] for t in parts & odds.keys()]
     same = sum(map(bytes.__eq__, words[1:], words))
     plain = sum(x in (b".", b",") for x in marks)
-    return [1.0, max(found, default=0.0), math.log1p(sum(f for f in found if f > 0)), same / n, len(set(words)) / n, math.log1p(n), 1 - plain / m if marks else 0.0,
+    return [1.0, max(found, default=0.0), math.log1p(sum(found)), same / n, len(set(words)) / n, math.log1p(n), 1 - plain / m if marks else 0.0,
             min(len(marks) / n, 2.0), sum(map(len, words)) / n / 10, min(sum(map(bytes.isdigit, words)) / n, 1.0), text.count(b"\n") / size * 50]
 
 
@@ -73,54 +73,58 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -
     return mean, scale, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_tokens: int = 5_000, least: int = 5, ridge: float = 1.0,
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_tokens: int = 5_000, least: int = 6, ridge: float = 1.0,
         id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", bad_col: str | None = "toxic") -> Model:
     """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of their identifiers.
 
-    A document is bad if any of its labels says so (``good_col`` 0 or ``bad_col`` 1); a null label says nothing. One half of
-    the sample teaches the tokens' log-odds (at most ``max_tokens`` of them, seen ``least`` times, by the lower end of their
-    range), the other the weights. Without labels of both kinds every document gets even odds.
+    Equal texts count once. A document is bad if any of its labels says so (``good_col`` 0 or ``bad_col`` 1); a null label says nothing. The tokens'
+    log-odds (at most ``max_tokens`` of them, seen ``least`` times, by the lower end of their range) come from the whole
+    sample; for the weights, each half of it is seen with what the other half teaches. Without labels of both kinds every
+    document gets even odds.
     """
     said = F.coalesce(F.col(good_col), F.lit(1)) == 0
     if bad_col is not None:
         said |= F.coalesce(F.col(bad_col), F.lit(0)) == 1
-    bad = F.max(said.cast("int"))
-    sample = (labels.where(F.col(id_col).isNotNull()).groupBy(id_of(id_col).alias("id")).agg(bad.alias("bad"))
+    sample = (labels.where(F.col(id_col).isNotNull()).groupBy(id_of(id_col).alias("id")).agg(F.max(said.cast("int")).alias("bad"))
               .orderBy(F.xxhash64("id"), "id").limit(max_labelled))
     known = session.written(docs.sparkSession, docs.select(id_of(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-                            .join(F.broadcast(sample), "id").withColumn("teach", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(2)) == 0), "quality-sample")
+                            .join(F.broadcast(sample), "id").groupBy(F.xxhash64("text").alias("copy")).agg(F.max("bad").alias("bad"), F.first("text").alias("text"))
+                            .withColumn("half", F.pmod(F.xxhash64(F.lit(7), "copy"), F.lit(2)).cast("int")).drop("copy"), "quality-sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, bads in rows(batches, 64):
-            got, of = [], []
-            for text, b in zip(texts, bads):
+        for texts, bads, halves in rows(batches, 64):
+            got, of, at = [], [], []
+            for text, b, half in zip(texts, bads, halves):
                 w, m = tokens(text)
                 t = [x for x in {*w, *m} if len(x) <= 40]
                 got += t
                 of += [b] * len(t)
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(of, pa.int32())], ["token", "bad"])
-
-    teach = known.where("teach")
-    n, n_bad = teach.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    if not 0 < n_bad < n:
-        return Model({}, np.zeros(11), np.ones(11), np.zeros(11))
-    a, b = F.col("b") + 0.5, F.col("g") + 0.5
-    odds = F.log(a / b) - F.log(F.lit((n_bad + 1) / (n - n_bad + 1)))
-    spread = F.sqrt(1 / a + 1 / b)
-    top = (teach.select("text", "bad").mapInArrow(seen, "token binary, bad int").groupBy("token").agg(F.sum("bad").alias("b"), F.count("*").alias("n"))
-           .where(F.col("n") >= least).withColumn("g", F.col("n") - F.col("b"))
-           .select("token", F.greatest(odds - 1.96 * spread, F.lit(0.0)).alias("w")).where("w > 1").orderBy(F.desc("w"), "token").limit(max_tokens).collect())
-    words = {bytes(r.token): r.w for r in top}
+                at += [half] * len(t)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(of, pa.int32()), pa.array(at, pa.int32())], ["token", "bad", "half"])
+
+    size = {(r.half, r.bad): r.n for r in known.groupBy("half", "bad").agg(F.count("*").alias("n")).collect()}
+    even = Model({}, np.zeros(11), np.ones(11), np.zeros(11))
+    if any(not size.get((h, b)) for h in (0, 1) for b in (0, 1)):
+        return even
+    sums = [F.count_if((F.col("half") == h) & (F.col("bad") == b)).alias(f"n{h}{b}") for h in (0, 1) for b in (0, 1)]
+    counts = session.written(docs.sparkSession, known.select("text", "bad", "half").mapInArrow(seen, "token binary, bad int, half int").groupBy("token").agg(*sums)
+                             .where(f"n00 + n01 + n10 + n11 >= {least}"), "quality-tokens")
+
+    def telling(halves: tuple[int, ...]) -> dict[bytes, float]:
+        bad, good = (sum((F.col(f"n{h}{b}") for h in halves), F.lit(0.0)) for b in (1, 0))
+        n_bad, n_good = (sum(size[h, b] for h in halves) for b in (1, 0))
+        low = F.log((bad + 0.5) / (good + 0.5)) - math.log((n_bad + 1) / (n_good + 1)) - 1.96 * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        top = counts.where(bad + good >= least * len(halves) / 2).select("token", low.alias("w")).where("w > 1").orderBy(F.desc("w"), "token").limit(max_tokens).collect()
+        return {bytes(r.token): r.w for r in top}
+
+    taught = {h: telling((1 - h,)) for h in (0, 1)}
 
     def seen_traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, bads in rows(batches, 64):
-            yield pa.RecordBatch.from_arrays([pa.array([traits(t, words) for t in texts], pa.list_(pa.float64())), pa.array(bads, pa.int32())], ["x", "bad"])
+        for texts, bads, halves in rows(batches, 64):
+            yield pa.RecordBatch.from_arrays([pa.array([traits(t, taught[h]) for t, h in zip(texts, halves)], pa.list_(pa.float64())), pa.array(bads, pa.int32())], ["x", "bad"])
 
-    rest = known.where("not teach").select("text", "bad").mapInArrow(seen_traits, "x array<double>, bad int").collect()
-    y = np.array([r.bad for r in rest], float)
-    if not 0 < y.sum() < len(y):
-        return Model(words, np.zeros(11), np.ones(11), np.zeros(11))
-    return Model(words, *_fit_weights(np.array([r.x for r in rest]), y, ridge))
+    rest = known.select("text", "bad", "half").mapInArrow(seen_traits, "x array<double>, bad int").collect()
+    return Model(telling((0, 1)), *_fit_weights(np.array([r.x for r in rest]), np.array([r.bad for r in rest], float), ridge))
 
 
 def evidence(model: Model, text: Column) -> Column:
@@ -167,7 +171,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
                            "quality-rates")
 
 
-def judge(docs: DataFrame, model: Model, reject: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, model: Model, reject: float = 0.85, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang") -> DataFrame:
     """doc_id, site, path, evidence, site_rate, path_rate, bad (probability), kept: one row per row of ``docs``.
 
     A row is rejected when ``bad`` exceeds ``reject``. A null text is empty. Other columns are ignored.
@@ -184,7 +188,7 @@ def _decided(scored: DataFrame, rates: DataFrame, reject: float) -> DataFrame:
             .withColumn("kept", F.col("bad") <= reject))
 
 
-def keep_good(docs: DataFrame, model: Model, reject: float = 0.5, text_col: str = "text", site_col: str = "source", path_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, reject: float = 0.85, text_col: str = "text", site_col: str = "source", path_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns as they are."""
     small = docs.select(F.col(site_col).alias("site"), F.col(path_col).alias("path"), evidence(model, text_of(text_col)).alias("evidence"))
     rates = posteriors(small)
