@@ -26,20 +26,31 @@ def domain_features(steps: DataFrame, chains: DataFrame, domain: str) -> DataFra
 
 
 def judged(chains: DataFrame, judge: Callable[[pd.DataFrame], pd.Series], columns: list[str], name: str = "judge_score") -> DataFrame:
-    """Add the score of an own judge, called once per Arrow batch; where it fails the score is null.
+    """Add the score of an own judge, and what it raised where it failed (``<name>_error``); a failed row's score is null.
 
-    A null score leaves the behavioural score alone in every blend. Filter the chains that need a
+    The judge is called once per Arrow batch, and row by row for a batch in which it fails, so that one row
+    takes no other's score. A null score leaves the behavioural score alone in every blend. Filter the chains that need a
     judge before the call: a condition beside the call does not spare it.
     """
     kept = ["chain_id", *columns]
 
+    def scores_of(pdf: pd.DataFrame) -> pd.Series:
+        return pd.to_numeric(pd.Series(judge(pdf), index=pdf.index), errors="coerce").clip(0.0, 1.0)
+
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
+            pdf = pdf.reset_index(drop=True)
+            error = pd.Series([None] * len(pdf), dtype=object)
             try:
-                score = pd.to_numeric(pd.Series(judge(pdf), index=pdf.index), errors="coerce").clip(0.0, 1.0)
+                score = scores_of(pdf)
             except Exception:  # a judge must not break the scoring job
                 score = pd.Series(np.nan, index=pdf.index)
-            yield pd.DataFrame({"chain_id": pdf["chain_id"], name: score.astype(object).where(score.notna(), None)})
-
-    scores = chains.select(*kept).mapInPandas(call, f"chain_id long, {name} double")
-    return chains.join(scores, "chain_id", "left").withColumn(name, F.col(name))
+                for i in pdf.index:
+                    try:
+                        score[i] = scores_of(pdf.loc[[i]]).iloc[0]
+                    except Exception as problem:
+                        error[i] = f"{type(problem).__name__}: {problem}"
+            yield pd.DataFrame({"chain_id": pdf["chain_id"], name: score.astype(object).where(score.notna(), None), f"{name}_error": error})
+
+    scores = chains.select(*kept).mapInPandas(call, f"chain_id long, {name} double, {name}_error string")
+    return chains.join(scores, "chain_id", "left")

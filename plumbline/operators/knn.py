@@ -28,11 +28,11 @@ def _scores(block: np.ndarray, bank: np.ndarray, norms: np.ndarray) -> np.ndarra
     return (block * block).sum(1)[:, None] + norms[None, :] - 2.0 * block @ bank.T
 
 
-def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, limit: int = BROADCAST_BYTES) -> DataFrame:
+def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, limit: int = BROADCAST_BYTES, block: int = 20_000) -> DataFrame:
     """Mean distance of each query to its ``k`` nearest bank vectors, itself (same id) left out.
 
-    A bank whose measured size is under ``limit`` goes to every executor; a larger one is cut into
-    cells and joined, see :func:`_by_cells`. Both ways are exact.
+    A bank whose measured size is under ``limit`` goes to every executor; a larger one is searched in blocks of ``block``
+    vectors, see :func:`_by_blocks`. Both ways are exact.
     """
     n, dim = bank.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n < 2:
@@ -40,7 +40,7 @@ def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, limit: int = B
     k = min(k, n - 1)
     if n * (dim or 1) * 8 <= limit:
         return _by_broadcast(queries, bank, k)
-    return _by_cells(queries, bank, k, n)
+    return _by_blocks(queries, bank, k, n, block)
 
 
 def _by_broadcast(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
@@ -66,64 +66,35 @@ def _by_broadcast(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     return queries.select("vec_id", "v").mapInPandas(score, OUT)
 
 
-def _by_cells(queries: DataFrame, bank: DataFrame, k: int, n: int, piece: int = 20_000) -> DataFrame:
-    """Exact search over cells around pivots.
+def _by_blocks(queries: DataFrame, bank: DataFrame, k: int, n: int, block: int) -> DataFrame:
+    """Exact search of blocks of queries in blocks of the bank.
 
-    Each bank vector belongs to its nearest pivot. From cell sizes and radii every query gets an
-    upper bound for its k-th distance; cells whose lower bound exceeds it cannot hold a neighbour.
-    Crowded cells are split into pieces of about ``piece`` rows, so no join key is hot.
+    Each task holds one block of either, compares them as matrices and gives ``k`` distances for each of its queries; no
+    pair of vectors is ever a row. A query then has ``k`` rows for each block of the bank, of which the least count.
     """
-    spark = bank.sparkSession
-    cells = int(min(1024, max(2, n ** 0.5)))
-    picks = bank.orderBy(F.xxhash64("vec_id")).limit(cells).select("v").toPandas()  # at most 1024 rows
-    held = spark.sparkContext.broadcast(np.stack(picks["v"].to_numpy()).astype(float))
-
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piv = held.value
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            q = np.stack(pdf["v"].to_numpy()).astype(float)
-            near = _scores(q, piv, (piv * piv).sum(1)).argmin(1)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "cell": near.astype("int32"),
-                                "dist": np.sqrt(((q - piv[near]) ** 2).sum(1))})
-
-    placed = bank.select("vec_id", "v").mapInPandas(assign, "vec_id long, v array<double>, cell int, dist double")
-    shape = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("r")).toPandas()
-    counts, radius = np.zeros(cells), np.zeros(cells)
-    counts[shape["cell"]], radius[shape["cell"]] = shape["c"], shape["r"]
-    pieces = np.maximum(1, np.ceil(counts / piece)).astype(int)
-    rules = spark.sparkContext.broadcast((counts, radius, pieces))
-
-    def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piv = held.value
-        cnt, rad, pcs = rules.value
-        used = np.flatnonzero(cnt)
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            q = np.stack(pdf["v"].to_numpy()).astype(float)
-            rows = []
-            for i, vec in enumerate(q):
-                d = np.sqrt(((piv[used] - vec) ** 2).sum(1))
-                upper = d + rad[used]
-                order = np.argsort(upper)
-                enough = np.searchsorted(np.cumsum(cnt[used][order]), k + 1)
-                bound = upper[order[min(enough, len(order) - 1)]] * (1 + 1e-12) + 1e-12
-                for c in used[d - rad[used] <= bound]:
-                    rows += [(i, c, p) for p in range(pcs[c])]
-            ix, cs, ps = (np.array(x) for x in zip(*rows, strict=True))
-            yield pd.DataFrame({"q_id": pdf["vec_id"].to_numpy()[ix], "qv": pdf["v"].to_numpy()[ix],
-                                "cell": cs.astype("int32"), "piece": ps.astype("int32")})
-
-    split = F.when(F.lit(False), F.lit(1))
-    for c in np.flatnonzero(pieces > 1):
-        split = split.when(F.col("cell") == int(c), F.lit(int(pieces[c])))
-    held_bank = placed.withColumn("piece", F.pmod(F.xxhash64("vec_id"), split.otherwise(F.lit(1))).cast("int"))
-    pairs = queries.select("vec_id", "v").mapInPandas(
-        candidates, "q_id long, qv array<double>, cell int, piece int").join(held_bank, ["cell", "piece"])
-    near = pairs.filter(F.col("q_id") != F.col("vec_id")).select("q_id", distance(F.col("qv"), F.col("v")).alias("d"), "vec_id")
-    best = near.withColumn("rn", F.row_number().over(W.partitionBy("q_id").orderBy("d", "vec_id"))).filter(F.col("rn") <= k)
+    nb, nq = -(-n // block), max(1, -(-queries.count() // block))
+    dealt = lambda d, parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    q = queries.select("vec_id", "v", dealt(queries, nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"))
+    b = bank.select("vec_id", "v", dealt(bank, nb).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q_id": [], "d": []}).astype({"q_id": "int64", "d": "float64"})
+        m, ids = np.stack(right["v"].to_numpy()).astype(float), right["vec_id"].to_numpy()
+        norms, vs, q_ids, out = (m * m).sum(1), list(left["v"]), left["vec_id"].to_numpy(), []
+        kk, width = min(k + 1, len(ids)), max(1, 4_000_000 // len(ids))
+        for at in range(0, len(vs), width):
+            x = np.stack(vs[at:at + width]).astype(float)
+            near = np.argpartition(_scores(x, m, norms), kk - 1, axis=1)[:, :kk]  # one more, as the query itself may be among them
+            d = np.sqrt(((m[near] - x[:, None, :]) ** 2).sum(2))
+            d[ids[near] == q_ids[at:at + width][:, None]] = np.inf
+            out.append(np.sort(d, axis=1)[:, :k])
+        d = np.concatenate(out)
+        got = pd.DataFrame({"q_id": np.repeat(q_ids, d.shape[1]), "d": d.ravel()})
+        return got[np.isfinite(got["d"])]
+
+    near = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(tile, "q_id long, d double")
+    best = near.withColumn("rn", F.row_number().over(W.partitionBy("q_id").orderBy("d"))).filter(F.col("rn") <= k)
     return best.groupBy(F.col("q_id").alias("vec_id")).agg(F.avg("d").alias("risk"))
 
 

@@ -9,7 +9,7 @@ from plumbline.functions import risk as R, text as T
 from plumbline.operators import failure as X, features as D, knn as K, scoring as Z
 from plumbline.operators.ordered import order_statistics, top_per_key
 from plumbline.plans import views as V
-from plumbline.plans.registry import query
+from plumbline.plans.registry import ORACLE, query
 from plumbline.plans.traces import prefix_sql, r6
 from plumbline.plans.views import sql_shared, sql_tier, sql_tokens, sql_words, with_views
 
@@ -380,6 +380,13 @@ def f19(spark, base):
     return K.nearest_mean(q, bank).select("vec_id", *r6("risk"))
 
 
+@query("f19_knn_blocks", ORACLE["f19_knn_risk"])
+def f19_blocks(spark, base):
+    """The way of a bank too large to send: blocks against blocks."""
+    bank, q = bank_and_queries(spark, base)
+    return K.nearest_mean(q, bank, limit=0, block=200).select("vec_id", *r6("risk"))
+
+
 @query("f20_knn_thresholds", knn_sql("SELECT count(*) AS n, round(quantile_cont(risk, 0.75), 6) AS low_cut, round(quantile_cont(risk, 0.95), 6) AS high_cut FROM kb"))
 def f20(spark, base):
     bank, _ = bank_and_queries(spark, base)

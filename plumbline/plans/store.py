@@ -416,9 +416,10 @@ def k1(spark, base):
                     F.col("behavioral_components")["sc3"].alias("sc3"))
 
 
-@query("k2_wire_round_trip", with_views("SELECT chain_id, answer, round(risk_score, 4) AS risk_score, confidence_tier, failure_mode, step_count, ttl, CAST(0 AS INTEGER) AS hops FROM env_v", "env_v"))
+@query("k2_wire_round_trip", with_views("SELECT chain_id, answer, round(risk_score, 4) AS risk_score, confidence_tier, failure_mode, step_count, ttl, CAST(2 AS INTEGER) AS hops FROM env_v", "env_v"))
 def k2(spark, base):
-    d = K.from_wire(K.to_wire(scored_envelopes(spark, base)))
+    """Envelopes that two agents have handed on."""
+    d = K.from_wire(K.to_wire(hopped(spark, base)))
     return d.select("chain_id", "answer", "risk_score", "confidence_tier", "failure_mode", "step_count", "ttl", F.size("trust_chain").alias("hops"))
 
 
@@ -434,14 +435,14 @@ def k3(spark, base):
 
 @query("k4_verify", with_views("""SELECT chain_id, chain_id % 5 <> 0 AND chain_id % 7 <> 0 AND (SELECT max(issued_at) FROM env_v) - issued_at <= 1000000 AS valid FROM signed_v""", "signed_v"))
 def k4(spark, base):
-    """Some risks tampered, some unsigned, old ones expired."""
-    d = signed(spark, base)
+    """Some risks tampered, some unsigned, old ones expired by their own signed life."""
+    keys = G.key_table(spark, SECRETS)
+    e = scored_envelopes(spark, base).withColumns({"signer": signer(), "ttl": F.lit(1_000_000)})
+    d = K.sign(e, keys, "signer", F.col("ts") + F.lit(0.25))
     d = d.withColumns({"risk_score": F.when(F.col("chain_id") % 5 == 0, F.col("risk_score") + 0.5).otherwise(F.col("risk_score")),
                        "trust_signature": F.when(F.col("chain_id") % 7 != 0, F.col("trust_signature"))})
     now = V.scored(spark, base).agg((F.max("ts") + 0.25).alias("_now"))
-    # a longer life for the check, as the signed ttl field itself must stay untouched
-    e = K.verify(d, G.key_table(spark, SECRETS), "signer").join(F.broadcast(now))
-    return e.select("chain_id", (F.col("valid") & (F.col("_now") - F.col("issued_at") <= 1000000)).alias("valid"))
+    return K.verify(d.join(F.broadcast(now)), keys, "signer", F.col("_now")).select("chain_id", "valid")
 
 
 def hopped(spark, base):

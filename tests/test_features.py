@@ -88,11 +88,12 @@ def test_extension_points(spark):
         extend.domain_features(s, c, "nowhere")
 
     def judge(pdf):
-        if (pdf.chain_id == 3).any() and len(pdf) == 1:
+        if (pdf.chain_id == 3).any():
             raise RuntimeError("no")
         return pdf.final_answer.str.len() / 100
-    scored = rows(extend.judged(c.repartition(6, "chain_id"), judge, ["final_answer"]))
-    assert scored[1]["judge_score"] == pytest.approx(0.19)
+    scored = rows(extend.judged(c.coalesce(1), judge, ["final_answer"]))
+    assert scored[1]["judge_score"] == pytest.approx(0.19) and scored[1]["judge_score_error"] is None
+    assert scored[3]["judge_score"] is None and scored[3]["judge_score_error"] == "RuntimeError: no"
 
 
 def test_retry_advice(spark):

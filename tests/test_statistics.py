@@ -104,9 +104,9 @@ def test_nearest_mean_both_ways(vectors, limit):
         assert got[i] == pytest.approx(np.mean(dist), abs=1e-9)
 
 
-def test_crowded_cells_are_split(vectors):
+def test_search_in_many_blocks(vectors):
     m, d = vectors
-    got = {r.vec_id: r.risk for r in K._by_cells(d, d, 3, len(m), piece=10).collect()}
+    got = {r.vec_id: r.risk for r in K._by_blocks(d, d, 3, len(m), 10).collect()}
     want = {i: np.mean(sorted(np.linalg.norm(m - m[i], axis=1))[1:4]) for i in range(len(m))}
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
 
