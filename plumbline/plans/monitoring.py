@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from plumbline import fixed
 from plumbline.operators import analytics as A
 from plumbline.plans import views as V
-from plumbline.plans.registry import query
+from plumbline.plans.registry import ORACLE, query
 from plumbline.plans.traces import r6
+from plumbline.session import written
 from plumbline.plans.views import with_views
 from plumbline.streaming import rules as M
 
@@ -98,6 +99,26 @@ def i7(spark, base):
     return d.select("domain", "seq", F.round("high_threshold", 3).alias("high_threshold"), F.round("low_threshold", 3).alias("low_threshold"))
 
 
+def _after_alarms_sql() -> str:
+    sql = ORACLE["i7_adaptive_thresholds"].replace("FROM out_v WINDOW", "FROM ep_v WINDOW")
+    marks = f""", al AS ({ORACLE["i3_drift_events"]}),
+ep_v AS (SELECT o.* REPLACE (o.domain || '#' || (SELECT count(*) FROM al WHERE al.domain = o.domain AND al.severity = 'ALARM' AND al.ts <= o.ts) AS domain) FROM out_v o),
+c AS (SELECT domain"""
+    head, tail = sql.split(", c AS (SELECT domain", 1)
+    body, last = (head.rstrip() + marks + tail).rsplit("SELECT domain, n AS seq", 1)
+    return body + "SELECT split_part(domain, '#', 1) AS domain, CAST(split_part(domain, '#', 2) AS BIGINT) AS epoch, split_part(domain, '#', 2) <> '0' AS verifier_stale, n AS seq" + last
+
+
+@query("i4_alarm_resets", _after_alarms_sql())
+def i4_alarm_resets(spark, base):
+    """Alarms of the second half's detector start the adaptive thresholds anew."""
+    ref, new = halves(spark, base)
+    alarms = M.drift_events(new, M.baseline(ref, ["domain"])).filter("severity = 'ALARM'").select("domain", "ts")
+    d = M.cisc_after_alarms(outcomes(spark, base), written(spark, alarms, "alarms"))
+    return d.select("domain", "epoch", "verifier_stale", "seq", F.round("high_threshold", 3).alias("high_threshold"), F.round("low_threshold", 3).alias("low_threshold"))
+
+
+
 @query("i8_adaptive_summary", with_views("""SELECT user_id, domain, n_observations, n_alerts, round(p, 6) AS precision, round(r, 6) AS recall, round(p - 0.8, 6) AS gap_precision, round(r - 0.6, 6) AS gap_recall FROM (SELECT user_id, domain, count(*) AS n_observations, count(CASE WHEN tier='LOW' THEN 1 END) AS n_alerts,
  (count(CASE WHEN tier='LOW' AND was_wrong THEN 1 END) + 1.0::DOUBLE) / (count(CASE WHEN tier='LOW' THEN 1 END) + 2) AS p, (count(CASE WHEN tier='LOW' AND was_wrong THEN 1 END) + 1.0::DOUBLE) / (count(CASE WHEN was_wrong THEN 1 END) + 2) AS r FROM out_v GROUP BY user_id, domain)""", "out_v"))
 def i8(spark, base):

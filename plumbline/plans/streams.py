@@ -43,7 +43,7 @@ def i11_stream(spark, base):
     o = outcomes(spark, base).select("ts", "chain_id", F.col("risk_score").alias("score"), F.col("was_wrong").cast("int").alias("label"))
     online = J.OnlineIsotonic()
     J.run_batches(as_stream(written(spark, o, "labels")), online, "append")
-    return online.model(online.buffer, "score").select("chain_id", "score", "calibrated")
+    return online.model(spark)(online.buffer(spark), "score").select("chain_id", "score", "calibrated")
 
 
 @query("i13_feedback_stream", with_views("""SELECT chain_id, f.user_id || ':' || domain AS cisc_key, label = 'incorrect' AS was_wrong, round(risk_score, 6) AS score, CASE WHEN label = 'incorrect' THEN 1 ELSE 0 END AS isotonic_label,
@@ -71,7 +71,7 @@ def a15_stream(spark, base):
     s = V.scored(spark, base).select("domain", "ts", "chain_id", "risk_score", "needs_alert", "tier")
     keep = J.Snapshot(["domain"])
     J.run_batches(A.metric_snapshot(as_stream(s)), keep)
-    return keep.table.withColumn("last_risk", F.round("last_risk", 6))
+    return keep.table(spark).withColumn("last_risk", F.round("last_risk", 6))
 
 
 @query("j3_window_stream", with_views("SELECT ts // 86400 * 86400 AS timestamp, round(avg(risk_score), 6) AS avg_risk, count(*) AS n_chains, count(CASE WHEN needs_alert THEN 1 END) AS n_alerts FROM scored_v GROUP BY ts // 86400", "scored_v"))
@@ -79,4 +79,4 @@ def j3_stream(spark, base):
     s = V.scored(spark, base).select("ts", "risk_score", "needs_alert", F.timestamp_seconds("ts").alias("at"))
     keep = J.Snapshot(["timestamp"])
     J.run_batches(J.windowed_series(as_stream(s)), keep)
-    return keep.table.withColumn("avg_risk", F.round("avg_risk", 6))
+    return keep.table(spark).withColumn("avg_risk", F.round("avg_risk", 6))

@@ -12,12 +12,13 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions import text as T
 from plumbline.operators.models import fit_isotonic
-from plumbline.session import new_dir, written
+from plumbline.session import new_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -209,36 +210,82 @@ def alert_batches(stream: DataFrame, on_alert: Callable[[DataFrame, int], None],
     return stream.filter("needs_alert").writeStream.foreachBatch(on_alert).option("checkpointLocation", checkpoint)
 
 
+class Versions:
+    """A table with one version per micro-batch and a log of the batches that are done, both below ``folder``.
+
+    A batch counts once its log row is there; a batch that comes again after a restart is known by its number.
+    """
+
+    def __init__(self, folder: str | None, name: str):
+        self.folder, self.name = folder, name
+
+    def last(self, spark: SparkSession) -> dict | None:
+        """Log row of the latest batch."""
+        self.folder = self.folder or new_dir(spark, self.name)
+        try:
+            log = spark.read.parquet(f"{self.folder}/log")
+        except AnalysisException:  # nothing is done yet
+            return None
+        row = log.agg(F.max_by(F.struct("*"), "batch_id").alias("r")).first()
+        return row.r.asDict() if row.r else None
+
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/v{batch_id}")
+
+    def commit(self, df: DataFrame, batch_id: int, **facts: int | None) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+        row = {"batch_id": batch_id, **facts}
+        df.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row)).write.mode("append").parquet(f"{self.folder}/log")
+
+
 class OnlineIsotonic:
     """Calibration that follows the labels: the last ``keep`` pairs, refitted every ``every`` new ones.
 
-    Counts rows seen, so it goes on refitting once the buffer is full.
+    Counts rows seen, so it goes on refitting once the buffer is full. What it knows is in ``folder``; a new object there
+    goes on where the last one stopped, and a batch that is repeated counts once.
     """
 
-    def __init__(self, keep: int = 500, every: int = 10):
-        self.keep, self.every, self.buffer, self.seen, self.fitted, self.model, self.fits = keep, every, None, 0, 0, None, 0
+    def __init__(self, keep: int = 500, every: int = 10, folder: str | None = None):
+        self.keep, self.every, self.versions = keep, every, Versions(folder, "online")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        n = batch.count()
-        if not n:
+        spark, rows = batch.sparkSession, batch.select("ts", "chain_id", "score", "label")
+        old, n = self.versions.last(spark), batch.count()
+        if not n or old and batch_id <= old["batch_id"]:
             return
-        self.seen += n
-        rows = batch.select("ts", "chain_id", "score", "label")
-        rows = rows if self.buffer is None else rows.unionByName(self.buffer)
-        self.buffer = written(batch.sparkSession, rows.orderBy(F.desc("ts"), F.desc("chain_id")).limit(self.keep), "buffer")
-        if self.seen >= self.every and self.seen - self.fitted >= self.every:
-            self.model, self.fitted, self.fits = fit_isotonic(self.buffer, "score", "label"), self.seen, self.fits + 1
+        seen, fitted, fits, at = (old["seen"], old["fitted"], old["fits"], old["fit_batch"]) if old else (0, 0, 0, None)
+        seen += n
+        if old:
+            rows = rows.unionByName(self.versions.read(spark, old["batch_id"]))
+        if seen >= self.every and seen - fitted >= self.every:
+            fitted, fits, at = seen, fits + 1, batch_id
+        self.versions.commit(rows.orderBy(F.desc("ts"), F.desc("chain_id")).limit(self.keep), batch_id, seen=seen, fitted=fitted, fits=fits, fit_batch=at)
+
+    def buffer(self, spark: SparkSession) -> DataFrame:
+        return self.versions.read(spark, self.versions.last(spark)["batch_id"])
+
+    def model(self, spark: SparkSession):
+        """The latest fit, made from the version it was due in; nothing before the first."""
+        last = self.versions.last(spark)
+        return fit_isotonic(self.versions.read(spark, last["fit_batch"]), "score", "label") if last and last["fit_batch"] is not None else None
 
 
 class Snapshot:
-    """Keeps the newest value per key of an update-mode aggregation in a written table."""
+    """Keeps the newest value per key of an update-mode aggregation in a versioned table; a repeated batch changes nothing."""
 
-    def __init__(self, keys: Sequence[str]):
-        self.keys, self.table = list(keys), None
+    def __init__(self, keys: Sequence[str], folder: str | None = None):
+        self.keys, self.versions = list(keys), Versions(folder, "snapshot")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        old = None if self.table is None else self.table.join(batch.select(*self.keys), self.keys, "left_anti")
-        self.table = written(batch.sparkSession, batch if old is None else old.unionByName(batch), "snapshot")
+        last = self.versions.last(batch.sparkSession)
+        if last and batch_id <= last["batch_id"]:
+            return
+        if last:
+            batch = self.versions.read(batch.sparkSession, last["batch_id"]).join(batch.select(*self.keys), self.keys, "left_anti").unionByName(batch)
+        self.versions.commit(batch, batch_id)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return self.versions.read(spark, self.versions.last(spark)["batch_id"])
 
 
 def sliced(df: DataFrame, ts: str, slices: int = 4, files: int = 2) -> str:
@@ -265,7 +312,7 @@ def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    check = new_dir(stream.sparkSession, "check")
+def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None) -> None:
+    check = checkpoint or new_dir(stream.sparkSession, "check")
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", check).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -78,6 +78,24 @@ def cisc_thresholds(outcomes: DataFrame, keys: Sequence[str] = ("user_id", "doma
     return replay.by_maps(c, keys, ["n_obs"], folds.Cisc(), block, seq="n_obs")
 
 
+def alarm_epochs(outcomes: DataFrame, alarms: DataFrame, key: str = "domain", width: int = 60) -> DataFrame:
+    """``outcomes`` with ``epoch``, the number of the key's alarms up to each of them in time."""
+    both = outcomes.withColumn("_alarm", F.lit(0)).unionByName(alarms.select(key, "ts", F.lit(1).alias("_alarm")), allowMissingColumns=True)
+    both = both.withColumn("_hr", F.floor(F.col("ts") / width))
+    d = running_sums(both, [key], "_hr", ["ts", F.desc("_alarm")], {"epoch": F.col("_alarm").cast("long")})
+    return d.filter("_alarm = 0").drop("_alarm", "_hr")
+
+
+def cisc_after_alarms(outcomes: DataFrame, alarms: DataFrame, key: str = "domain", block: int = 4096) -> DataFrame:
+    """Thresholds that a drift alarm puts back to the first ones, with counters and history at zero.
+
+    An epoch begins at each alarm and is a key of its own; ``verifier_stale`` says that an alarm has come since the
+    verifier was fitted.
+    """
+    d = cisc_thresholds(alarm_epochs(outcomes, alarms, key), [key, "epoch"], block)
+    return d.withColumn("verifier_stale", F.col("epoch") > 0)
+
+
 def cisc_summary(outcomes: DataFrame, keys: Sequence[str] = ("user_id", "domain"), target_precision: float = 0.80,
                  target_recall: float = 0.60) -> DataFrame:
     """Smoothed precision and recall with their gaps; plain aggregates."""

@@ -34,3 +34,37 @@ def test_idle_chain_leaves_and_its_waiting_steps_are_scored(spark):
     got, _ = run(spark, [[(1, 0, 0), (1, 2, 1)], [(2, 0, 200)], [(2, 1, 400)], [(2, 2, 401)]])
     assert got == [(1, 1, "scored"), (1, 2, "gap"), (2, 1, "scored"), (2, 2, "scored"), (2, 3, "scored")] or got == [
         (1, 1, "scored"), (1, 2, "gap"), (2, 1, "scored"), (2, 1, "scored"), (2, 2, "scored")]
+
+
+def test_batch_state_survives_a_restart(spark):
+    rows = [(i, i, (i * 37 % 100) / 100, int(i * 37 % 100 > 50), "ab"[i % 2]) for i in range(90)]
+    d = spark.createDataFrame(rows, "ts long, chain_id long, score double, label int, domain string")
+    path = J.sliced(d, "ts", 6, 1)
+    stream = lambda files=1: J.stream_of(spark, path, d.schema, files)
+
+    whole = J.OnlineIsotonic(40, 10)
+    J.run_batches(stream(), whole, "append")
+    folder, check = new_dir(spark, "state"), new_dir(spark, "check")
+    stopped = J.OnlineIsotonic(40, 10, folder)
+
+    def until(batch, batch_id):
+        if batch_id == 3:
+            raise RuntimeError("lost")
+        stopped(batch, batch_id)
+    try:
+        J.run_batches(stream(), until, "append", check)
+    except Exception as lost:
+        assert "lost" in str(lost)
+    again = J.OnlineIsotonic(40, 10, folder)
+    again(d.limit(15), 2)  # a batch that is done already
+    J.run_batches(stream(), again, "append", check)
+    key = lambda o: sorted(tuple(r) for r in o.buffer(spark).collect())
+    assert key(again) == key(whole) and again.versions.last(spark) == whole.versions.last(spark)
+    fit = lambda o: [r.calibrated for r in o.model(spark)(d.orderBy("ts"), "score").select("ts", "calibrated").orderBy("ts").collect()]
+    assert fit(again) == fit(whole)
+
+    sums = stream().groupBy("domain").count()
+    one = J.Snapshot(["domain"])
+    J.run_batches(sums, one)
+    one(spark.createDataFrame([("a", 5)], "domain string, count long"), 1)
+    assert {(r.domain, r["count"]) for r in one.table(spark).collect()} == {("a", 45), ("b", 45)}

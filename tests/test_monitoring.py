@@ -171,7 +171,7 @@ def test_online_calibration_keeps_refitting(spark):
     online = J.OnlineIsotonic(keep=50, every=10)
     for b in range(12):
         online(spark.createDataFrame([(b * 10 + i, b * 10 + i, i / 10, int(i > 5)) for i in range(10)], "ts long, chain_id long, score double, label int"), b)
-    assert online.fits == 12 and online.buffer.count() == 50
+    assert online.versions.last(spark)["fits"] == 12 and online.buffer(spark).count() == 50
 
 
 def test_guardrail_staircase_equals_every_rule(spark):
