@@ -48,6 +48,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: the last operator's tables only, so that those of several never add up."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[list]]:
     """Column lists of at most ``step`` rows, so that Python objects of one slice only are alive."""
     for batch in batches:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import LOWER, id_of, out_batch, query, rows, shuffle_partitions, table, text_of
+from plumbline.llm.base import LOWER, id_of, out_batch, query, resident, rows, shuffle_partitions, table, text_of
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -46,7 +46,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Sampler:
     """``samples`` consistent weighted samples of term counts, each a 16-bit hash of term and level; 0 is no term."""
 
-    def __init__(self, samples: int = 96, most: int = 32_000):
+    def __init__(self, samples: int = 64, most: int = 32_000):
         q = _gamma_quantiles()
         self.gamma, self.log_gamma = q.astype(np.float32), np.log(q).astype(np.float32)
         self.samples, self.most = samples, most
@@ -100,6 +100,11 @@ class Sampler:
         return (best % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
 
+def _sampler(samples: int) -> Sampler:
+    """One for all tasks of a worker process."""
+    return resident(("sampler", samples), lambda: Sampler(samples))
+
+
 def terms(text: str) -> Counter:
     """Counts of the words between white space, A-Z lower-cased; a text of white space alone is one term."""
     data = text.encode()
@@ -120,11 +125,11 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def fingerprints(docs: DataFrame, samples: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, fingerprint: ``samples`` 16-bit samples in hexadecimal. A null text is empty: all zeros."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sampler(samples)
-        for ids, texts in rows(batches):
+        s = _sampler(samples)
+        for ids, texts in rows(batches, 64):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
                                               pa.array([digits(s.of(terms(t))) for t in texts], pa.string())], ["doc_id", "n_chars", "fingerprint"])
     return docs.select(id_of(id_col), text_of(text_col)).mapInArrow(made, "doc_id long, n_chars long, fingerprint string")
@@ -157,7 +162,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             .sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")))
 
 
-def edited_fingerprints(docs: DataFrame, samples: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row its fingerprint and that of its text with the last half overwritten by the next document's start.
 
     The next document is that of the next smaller identifier; after the last comes the first, a single row
@@ -165,9 +170,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = 96, id_col: str = "doc_i
     identifiers come last. A null text is empty; empty texts are alike. Other columns are ignored.
     """
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sampler(samples)
+        s = _sampler(samples)
         last = None  # bucket, id, text and fingerprint of the row before, while it waits for its next one
-        for ids, texts, buckets, guests in rows(batches):
+        for ids, texts, buckets, guests in rows(batches, 64):
             got = [[] for _ in SCHEMA]
             for doc, text, bucket, guest in zip(ids, texts, buckets, guests):
                 f = s.of(terms(text))
