@@ -66,11 +66,17 @@ SELECT chain_id, round(CASE WHEN n.k2 IS NULL OR {score} <= n.k THEN n.fit ELSE
 FROM {view} JOIN n ON ({score} >= n.k AND ({score} < n.k2 OR n.k2 IS NULL)) OR ({score} < n.k0 AND n.k = n.k0)"""
 
 
-@query("g5_isotonic", with_views(isotonic_sql("scored_v", "floor(risk_score * 100) / 100", "risk_score"), "scored_v"))
+@query("g5_isotonic", "WITH RECURSIVE " + with_views("""
+, p AS (SELECT risk_score AS x, sum(wrong) AS yw, count(*) AS w FROM scored_v GROUP BY 1),
+c AS (SELECT row_number() OVER (ORDER BY x) AS i, x, CAST(sum(yw) OVER (ORDER BY x) AS DOUBLE) AS cy, CAST(sum(w) OVER (ORDER BY x) AS DOUBLE) AS cw FROM p),
+g AS (SELECT CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS cy, 0.0::DOUBLE AS cw, NULL::DOUBLE AS m
+ UNION ALL SELECT r.i, r.cy, r.cw, r.m FROM (SELECT arg_min({'i': c.i, 'cy': c.cy, 'cw': c.cw, 'm': (c.cy - g.cy) / (c.cw - g.cw)}, {'m': (c.cy - g.cy) / (c.cw - g.cw), 'n': -c.i}) AS r FROM g JOIN c ON c.i > g.i) WHERE r IS NOT NULL),
+f AS (SELECT i AS hi, lag(i) OVER (ORDER BY i) AS lo, m FROM g)
+SELECT chain_id, round(m, 6) AS calibrated FROM scored_v JOIN c ON x = risk_score JOIN f ON c.i > lo AND c.i <= hi""", "scored_v").strip().removeprefix("WITH"))
 def g5(spark, base):
+    """Fitted on the scores as they are; in SQL, by the corners of the greatest convex minorant of the running sums."""
     s = V.scored(spark, base).select("chain_id", "risk_score", "wrong")
-    fit = G.fit_isotonic(s.withColumn("risk_score", F.floor(F.col("risk_score") * 100) / 100), "risk_score", "wrong", 10)
-    return fit(s, "risk_score").select("chain_id", F.round("calibrated", 6).alias("calibrated"))
+    return G.fit_isotonic(s, "risk_score", "wrong", 10)(s, "risk_score").select("chain_id", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("g6_quick_calibration", with_views(", ln AS (SELECT chain_id, behaviour, wrong FROM nano_v JOIN labelled_v USING (chain_id))" + isotonic_sql("ln", "behaviour", "behaviour"), "nano_v", "labelled_v"))
