@@ -8,6 +8,7 @@ apart between two characters that stand side by side in no piece. A character wi
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import id_of, query, rows, table, text_of
+from plumbline.llm.base import id_of, query, resident, rows, table, text_of
 
 MARK = "▁"
+INF = float("inf")
 PENALTY = 10.0  # of a character without a piece, below the lowest score
-MOST = 350_000  # chunks remembered in each of two generations
+MOST = 800_000  # chunks remembered in each of two generations
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_byte_tokens", pa.int64()), ("score", pa.float64()), ("round_trip", pa.bool_()),
@@ -27,6 +29,10 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_byte_t
 COLUMNS = "doc_id long, n_tokens long, n_byte_tokens long, score double, round_trip boolean, ids array<int>"
 
 
+#: Ids as 32-bit bytes, score, number of ids, number of byte pieces, whether the ids decode to the chunk.
+Chunk = tuple[bytes, float, int, int, bool]
+
+
 class DoubleArray:
     """Trie of byte strings: from node s byte b leads to t = base[s] + b + 1 if check[t] is s."""
 
@@ -44,6 +50,7 @@ class DoubleArray:
                 self.check.extend([-1] * extra)
                 self.value.extend([-1] * extra)
 
+        room(258)
         while todo:
             node, lo, hi, depth = todo.pop()
             if lo < hi and len(order[lo]) == depth:
@@ -98,47 +105,57 @@ class Pieces:
         self.trie = DoubleArray({p.encode(): i for p, i in ids.items()})
         self.bytes = {i: p.replace(MARK, " ").encode() for p, i in ids.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.is_byte = set(byte_ids.values())
+        self.ahead = [b + 1 for b in self.trie.base]  # every base leaves room for all bytes after it
+        self.gain = [scores[v] if v >= 0 else None for v in self.trie.value]
         self.pairs = {p[i:i + 2] for p in ids for i in range(len(p) - 1)}
-        self.seen: dict[str, tuple[bytes, float, int, int]] = {}
-        self.old: dict[str, tuple[bytes, float, int, int]] = {}
+        self.seen: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
 
     def best(self, text: str) -> tuple[list[int], float]:
         """Ids and score of the best split; of equal ones that with the longest last piece, and so on forward."""
         data = text.encode()
         n = len(data)
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        top, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
-        top[0], at = 0.0, 0
-        size = len(base)
+        ahead, check, value, gain = self.ahead, self.trie.check, self.trie.value, self.gain
+        top, start, piece = [-INF] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        top[0], at, lowest = 0.0, 0, self.lowest
         while at < n:
             lead = data[at]
-            width = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
+            after = at + (1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4)
             node, end, alone, here = 0, at, False, top[at]
-            while end < n:
-                t = base[node] + data[end] + 1
-                if t >= size or check[t] != node:
+            for b in data[at:]:
+                t = ahead[node] + b
+                if check[t] != node:
                     break
-                node, end = t, end + 1
-                piece = value[node]
-                if piece >= 0:
-                    alone |= end == at + width
-                    if here + scores[piece] > top[end]:
-                        top[end], back[end] = here + scores[piece], (at, piece)
-            if not alone and here + self.lowest > top[at + width]:
-                top[at + width], back[at + width] = here + self.lowest, (at, -1)
-            at += width
+                node = t
+                end += 1
+                score = gain[t]
+                if score is not None:
+                    if end == after:
+                        alone = True
+                    score += here
+                    if score > top[end]:
+                        top[end] = score
+                        start[end] = at
+                        piece[end] = value[t]
+            if not alone and here + lowest > top[after]:
+                top[after], start[after], piece[after] = here + lowest, at, -1
+            at = after
         out, at = [], n
         while at:
-            start, piece = back[at]
-            out += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(data[start:at])]
-            at = start
-        return out[::-1], top[n]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out += [self.byte_ids[b] for b in reversed(data[start[at]:at])]
+            at = start[at]
+        out.reverse()
+        return out, top[n]
 
-    def _solved(self, text: str) -> tuple[bytes, float, int, int]:
+    def _solved(self, text: str) -> Chunk:
         ids, score = self.best(text)
-        return np.array(ids, "<i4").tobytes(), score, len(ids), sum(i in self.is_byte for i in ids)
+        same = b"".join([self.bytes[i] for i in ids]) == text.replace(MARK, " ").encode()
+        return array("i", ids).tobytes(), score, len(ids), 0 if self.is_byte.isdisjoint(ids) else sum(i in self.is_byte for i in ids), same
 
-    def _keep(self, text: str, got: tuple[bytes, float, int, int]) -> tuple[bytes, float, int, int]:
+    def _keep(self, text: str, got: Chunk) -> Chunk:
         """Remember a chunk; the last ``MOST`` and those of the generation before are kept."""
         if len(text) < 64:
             if len(self.seen) >= MOST:
@@ -146,24 +163,22 @@ class Pieces:
             self.seen[text] = got
         return got
 
-    def chunk(self, text: str) -> tuple[bytes, float, int, int]:
-        """Ids as bytes, score, number of ids, number of byte pieces. Solved between pairs of characters that no piece holds."""
+    def chunk(self, text: str) -> Chunk:
+        """Solved between pairs of characters that no piece holds."""
         got = self.old.get(text)
         if got is None:
-            at, parts = 0, []
-            for i in range(1, len(text)):
-                if text[i - 1:i + 1] not in self.pairs:
-                    parts.append(text[at:i])
-                    at = i
-            if not parts:
+            pairs = self.pairs
+            cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in pairs]
+            if not cuts:
                 got = self._solved(text)
             else:
-                parts.append(text[at:])
+                parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
                 each = [self.seen.get(p) or self.old.get(p) or self._keep(p, self._solved(p)) for p in parts]
-                got = b"".join([e[0] for e in each]), sum([e[1] for e in each]), sum([e[2] for e in each]), sum([e[3] for e in each])
+                ids, scores, n, n_bytes, same = zip(*each)
+                got = b"".join(ids), sum(scores), sum(n), sum(n_bytes), all(same)
         return self._keep(text, got)
 
-    def encode(self, text: str) -> list[tuple[bytes, float, int, int]]:
+    def encode(self, text: str) -> list[Chunk]:
         if not text:
             return []
         return [self.seen.get(c) or self.chunk(c) for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
@@ -174,30 +189,24 @@ class Pieces:
         return b"".join([look[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return resident(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of ids and of byte pieces, score of the split, whether decoding gives the text, the ids.
 
     A null or empty text has no ids, score 0 and decodes to itself. A marker in a text reads as a space when
-    decoded, so ``round_trip`` compares with that. Rows may repeat; other columns of ``docs`` are ignored.
+    decoded, so ``round_trip`` compares with that, chunk by chunk: a text decodes to its chunks' texts in turn. Rows may repeat; other columns of ``docs`` are ignored.
     """
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for docs_, texts in rows(batches, 64):
             head, parts, ends = [[] for _ in range(5)], [], [0]
             for doc, text in zip(docs_, texts):
-                got = p.encode(text)
-                ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4")
-                same = p.decode(ids.tolist()) == text.replace(MARK, " ")
-                for c, v in zip(head, (doc, len(ids), sum([g[3] for g in got]), float(sum([g[1] for g in got])), same)):
+                raw, scores, n, n_bytes, same = zip(*p.encode(text)) if text else ((),) * 5
+                ids = np.frombuffer(b"".join(raw), "<i4")
+                for c, v in zip(head, (doc, sum(n), sum(n_bytes), float(sum(scores)), all(same))):
                     c.append(v)
                 parts.append(ids)
                 ends.append(ends[-1] + len(ids))
