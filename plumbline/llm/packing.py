@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from plumbline.llm.base import LOWER, id_of, out_batch, query, rows, table, text_of
+from plumbline.llm.base import id_of, out_batch, query, resident, table, text_of
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_length", pa.int64())])
@@ -39,10 +40,10 @@ class ChunkIds:
     by the tokens that end a word. At most ``most`` chunks are kept in each of two generations; that changes no id.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
-        self.encode, self.most, self.new, self.old = t.encode, most, {}, {}
+        self.encode, self.encode_fast, self.most, self.new, self.old = t.encode, t.encode_batch_fast, most, {}, {}
         self.ends = np.zeros(t.get_vocab_size(), bool)
         self.ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -51,7 +52,7 @@ class ChunkIds:
 
     def _words(self, words: list[str]) -> None:
         """Take in chunks of letters alone."""
-        ids = np.array(self.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.encode_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words) and cuts[-1] == len(ids):
             data, at = ids.tobytes(), 0
@@ -61,19 +62,32 @@ class ChunkIds:
         else:
             self.new.update((w, self._one(w)) for w in words)
 
-    def ids(self, text: str) -> bytes:
-        if "<|" not in text:  # else it might come to spell a special token
-            text = text.lower() if text.isascii() else text.encode().translate(LOWER).decode()
-        chunks = [c for line in text.split("\n") for c in line.split(" ") if c]
-        if len(self.new) + len(chunks) > 2 * self.most or len(self.new) > self.most:
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. The texts' different chunks are looked up once."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a text might come to spell a special token
+            texts = pc.ascii_lower(texts)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = pc.list_flatten(lists).dictionary_encode()
+        chunks = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.new) > self.most:
             self.old, self.new = self.new, {}
+        self.new[""] = b""
         got = list(map(self.new.get, chunks))
         if None in got:
             lost = [i for i, g in enumerate(got) if g is None]
             self._learn({chunks[i] for i in lost})
             for i in lost:
                 got[i] = self.new[chunks[i]]
-        return b"".join(got)
+        data, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        at = words.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = data[np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        return np.split(ids, cuts[:-1])
+
+    def ids(self, text: str) -> bytes:
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         new, old, marked, words, rest = self.new, self.old, [], {}, set()
@@ -90,13 +104,22 @@ class ChunkIds:
         rest.update(tail for _, _, tail in marked if tail not in new)
         for c in rest:
             new[c] = self._one(c)
-        if words:
-            self._words(list(words))
+        words = list(words)
+        for at in range(0, len(words), 256):
+            self._words(words[at:at + 256])
         for c, stem, tail in marked:
             new[c] = new[stem] + new[tail]
 
 
-_CHUNKS: dict[str, ChunkIds] = {}
+def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20, most: int = 512) -> Iterator[pa.RecordBatch]:
+    """Rows together as long as their texts (second column) have at most ``size`` bytes; a longer text comes alone."""
+    for batch in batches:
+        ends, first = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            stop = min(max(int(np.searchsorted(ends, before + size, side="right")), first + 1), first + most)
+            yield batch.slice(first, stop - first)
+            first = stop
 
 
 def place(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1.0) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
@@ -138,9 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         raise ValueError("capacity must be a power of two")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _CHUNKS:
-            _CHUNKS[tokenizer] = ChunkIds(tokenizer)
-        encode, end = _CHUNKS[tokenizer].ids, np.uint32(end_id).tobytes()
+        encode, end = resident(("chunks", tokenizer), lambda: ChunkIds(tokenizer)).batch, np.array([end_id], "<u4")
         base, seq = TaskContext.get().partitionId() << 33, 0
         waiting, held = [], 0
 
@@ -155,10 +176,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
             seq, waiting, held = seq + len(sizes), [], 0
             return out_batch(SCHEMA, got)
 
-        for docs_, texts in rows(batches):
+        for batch in slices(batches):
             full = [[] for _ in SCHEMA]
-            for doc, text in zip(docs_, texts):
-                ids = encode(text) + end
+            for doc, body in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids = np.concatenate([body, end]).tobytes()
                 total = len(ids) // 4
                 whole = total - total % capacity
                 for start in range(0, whole, capacity):
