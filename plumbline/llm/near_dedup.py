@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline import session
-from plumbline.llm.base import LOWER, id_of, query, rows, table, text_of
+from plumbline.llm.base import LOWER, id_of, query, resident, rows, table, text_of
 from plumbline.llm.graph import components
 
 SAMPLES, BITS = 152, 512
@@ -48,9 +48,6 @@ class WordHash(dict):
         return h
 
 
-_WORDS = WordHash()
-
-
 def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of fewer words, one of them all; of none, none.
 
@@ -59,7 +56,7 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     words = text.translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(resident("shingle words", WordHash).__getitem__, words), np.uint64, len(words))
     n = min(k, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):
@@ -219,7 +216,7 @@ def _tiled(active: DataFrame, k: int, percent: int, margin: float) -> DataFrame:
     return tiles.mapInArrow(compared, "a binary, b binary").distinct()
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3, margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1, margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark, n_shingles, component_id, label, kept: one row per row of ``docs``.
 
     Two documents are linked when their sets of k-word shingles have at least ``percent`` of their union in common;
@@ -241,7 +238,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3,
     fame = session.written(spark, members.groupBy("node").agg(F.sum("n").alias("fame")), "near-fame")
     # Texts of the nodes that share a bucket with another.
     wanted = nodes.join(fame, "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.mark").alias("m"))
-    texts = session.written(spark, d.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).groupBy("node").agg(
+    texts = session.written(spark, d.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).groupBy("node").agg(
         F.min("text").alias("text")), "near-texts")
     active = session.written(spark, members.select("key", "node").join(fame, "node"), "near-active")
     links, labels = None, None
@@ -286,7 +283,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     stay = best.select(F.col("row.doc_id").alias("id"), F.col("row.mark").alias("m"))
     d = docs.select(F.struct("*").alias("row"), id_of(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("mark"),
                     (F.length(F.regexp_replace(text_of(text_col), "[ \\t-\\r]", "")) == 0).alias("blank"))
-    chosen = (d.where("not blank").join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
+    chosen = (d.where("not blank").join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
               .groupBy("doc_id", "mark").agg(F.first("row").alias("row")).select("row.*"))
     return chosen.unionAll(d.where("blank").select("row.*"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.llm.base import LOWER, id_of, query, rows, table, text_of
+from plumbline.llm.base import LOWER, id_of, query, resident, rows, table, text_of
 
 _WORD_BYTES = {b for b in range(256) if b >= 128 or chr(b).isalnum() and b < 128}
 WORDS = bytes(b if b in _WORD_BYTES else 32 for b in LOWER)
@@ -131,6 +131,7 @@ def evidence(model: Model, text: Column) -> Column:
     """The classifier's log-odds that a text is bad."""
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        resident("quality", dict)
         out = []
         for at in range(0, len(texts), 64):
             part = texts.slice(at, 64).to_pylist()

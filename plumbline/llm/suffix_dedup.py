@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.llm.base import id_of, query, rows, shuffle_partitions, table, text_of
+from plumbline.llm.base import id_of, query, resident, rows, shuffle_partitions, table, text_of
 
 GRAM = 32
 BLOCK = 1 << 19  # window starts of a text looked at together; a position of a block and its overlap fits in 20 bits
-GATHER = 1 << 20  # bytes of contexts refined together
+GATHER = 1 << 18  # bytes of contexts refined together
 MANY = 2048  # contexts of a bucket beyond which it is split by the hashes of its windows' parts
 PIECE = 8  # neighbouring windows told apart together in such a bucket
 
@@ -166,8 +166,8 @@ ANCHOR = "h long, c long, k1 long, k2 long, place long, weight int"
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
     """``place`` packs the anchor's position and its distances from the first and last window start."""
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, unpress = Anchors(length), zstandard.ZstdDecompressor().decompress
-        for k1, k2, bodies, twice in rows(batches, 128):
+        a, unpress = resident(("anchors", length), lambda: Anchors(length)), zstandard.ZstdDecompressor().decompress
+        for k1, k2, bodies, twice in rows(batches, 32):
             parts = [a.of(unpress(b)) for b in bodies]
             sizes = [len(p[0]) for p in parts]
             h, c, p, lo, hi = (np.concatenate([x[i] for x in parts]) for i in range(5))
@@ -375,14 +375,12 @@ def drop_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") ->
                     while stop > start and stop < len(t) and t[stop] & 0xC0 == 0x80:
                         stop -= 1
                     inner.append([start, stop])
-                out.append(without(t, inner).decode())
+                out.append(None if t is None else without(t, inner).decode())
         return pa.array(out, pa.string())
 
     d = docs.select(F.struct("*").alias("row"), *_key(text_of(text_col)))
-    whole = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
-    j = d.join(result, ["k1", "k2"], "left")
-    changed = j.where("cut is not null").select("row", shorter(whole.cast("binary"), "cut").alias("text"))
-    return changed.unionAll(j.where("cut is null").select("row", F.col("row")[text_col].cast("string").alias("text")))
+    j = d.join(result.hint("merge"), ["k1", "k2"], "left")
+    return j.select("row", shorter(F.col("row")[text_col].cast("string").cast("binary"), "cut").alias("text"))
 
 
 @query("op7_suffix_dedup")
