@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import session
 from plumbline.llm import line_dedup, near_dedup, packing, quality, suffix_dedup
+from plumbline.llm.base import small_batches
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
@@ -16,27 +17,32 @@ def _with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     return rows.select(*[(now[c] if c in now else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+@small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the classifier, moved by the rates of their source and language, holds to be bad or toxic."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
+@small_batches
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that stand on more than a twentieth of a source's documents."""
     return _with_text(line_dedup.drop_site_lines(docs), docs, F.col("text"))
 
 
+@small_batches
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by five-word shingles at a similarity of 0.8."""
     return near_dedup.keep_one(docs)
 
 
+@small_batches
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings of 200 and more that also start elsewhere."""
     return _with_text(suffix_dedup.drop_repeats(docs), docs, F.col("text"))
 
 
+@small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 4096 tokens."""
     return packing.pack(docs, packing.tokenizer_path())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import string
 from collections.abc import Callable, Iterator
 
@@ -16,10 +17,20 @@ ORACLE: dict[str, str] = {}
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
+def small_batches(fn):
+    """``fn`` with Arrow batches of at most 1,000 rows, as a row holds a whole text; a smaller setting stays."""
+    @functools.wraps(fn)
+    def run(spark, *rest):
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        spark.conf.set(setting, str(min(int(spark.conf.get(setting)), 1_000)))
+        return fn(spark, *rest)
+    return run
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is its statement for the comparison engine."""
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = small_batches(fn)
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn

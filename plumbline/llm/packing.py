@@ -40,7 +40,7 @@ class ChunkIds:
     by the tokens that end a word. At most ``most`` chunks are kept in each of two generations; that changes no id.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         self.encode, self.encode_fast, self.most, self.new, self.old = t.encode, t.encode_batch_fast, most, {}, {}
