@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @small_batches
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that stand on more than a twentieth of a source's documents."""
-    return _with_text(line_dedup.drop_site_lines(docs), docs, F.col("text"))
+    """Drop lines that stand on more than a twentieth of a source's different documents, so that no group of copies drops its own text."""
+    return _with_text(line_dedup.drop_site_lines(docs, copies_once=True), docs, F.col("text"))
 
 
 @small_batches

@@ -19,32 +19,49 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.lit(1), F.trim(line)).alias("b"))
 
 
-def _page_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
+def _keys(text_col: str) -> Column:
     lines = F.filter(F.split(text_of(text_col), "\n"), lambda x: F.trim(x) != "")
-    return docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"),
-                       F.explode(F.array_distinct(F.transform(lines, _key))).alias("key"))
+    return F.array_distinct(F.transform(lines, _key))
+
+
+def _page_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(_keys(text_col)).alias("key"))
+
+
+def _texts(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
+    """site, keys: a row for each different text of a site. Copies meet before the shuffle and the text itself stays behind."""
+    text = text_of(text_col)
+    return (docs.select(F.col(site_col).alias("site"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), _keys(text_col).alias("keys"))
+            .groupBy("site", "a", "b").agg(F.first("keys").alias("keys")).select("site", "keys"))
 
 
 def site_lines(docs: DataFrame, max_ratio: float = 0.05, min_pages: int = 5, id_col: str = "doc_id",
-               site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """site, key, pages, site_pages: lines on more than ``max_ratio`` of a site's pages and on at least ``min_pages``."""
-    totals = docs.groupBy(F.col(site_col).alias("of")).agg(F.count("*").alias("site_pages"))
-    counts = (_page_lines(docs, id_col, site_col, text_col).groupBy("site", "key").agg(F.count("*").alias("pages"))
-              .where(F.col("pages") >= min_pages))
+               site_col: str = "source", text_col: str = "text", copies_once: bool = False) -> DataFrame:
+    """site, key, pages, site_pages: lines on more than ``max_ratio`` of a site's pages and on at least ``min_pages``.
+
+    With ``copies_once``, rows of a site with equal texts are one page in both counts.
+    """
+    if copies_once:
+        texts = session.written(docs.sparkSession, _texts(docs, site_col, text_col), "site-texts")
+        sites, lines = texts.withColumnRenamed("site", "of"), texts.select("site", F.explode("keys").alias("key"))
+    else:
+        sites, lines = docs.select(F.col(site_col).alias("of")), _page_lines(docs, id_col, site_col, text_col)
+    totals = sites.groupBy("of").agg(F.count("*").alias("site_pages"))
+    counts = lines.groupBy("site", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return (counts.join(totals, F.col("site").eqNullSafe(F.col("of"))).drop("of")
             .where(F.col("pages") > max_ratio * F.col("site_pages")))
 
 
 def drop_site_lines(docs: DataFrame, max_ratio: float = 0.05, min_pages: int = 5, id_col: str = "doc_id",
-                    site_col: str = "source", text_col: str = "text") -> DataFrame:
+                    site_col: str = "source", text_col: str = "text", copies_once: bool = False) -> DataFrame:
     """row (all columns of ``docs`` as they are), n_lines, n_dropped, text: one row per row of ``docs``.
 
     ``text`` is what stays, its lines joined again. Blank lines are never dropped and count as lines. A null
     text is empty: one blank line. Rows with a null site form one site. Rows may repeat or share identifiers; each
-    counts as a page. A page whose lines all go keeps its row with an empty text.
+    counts as a page, or equal texts of a site as one with ``copies_once``. A page whose lines all go keeps its row with an empty text.
     """
     spark = docs.sparkSession
-    common = session.written(spark, site_lines(docs, max_ratio, min_pages, id_col, site_col, text_col), "site-lines")
+    common = session.written(spark, site_lines(docs, max_ratio, min_pages, id_col, site_col, text_col, copies_once), "site-lines")
     c = common.select(F.col("site").alias("of"), F.col("key").alias("bad"))
     pages = _page_lines(docs, id_col, site_col, text_col)
     hits = (pages.join(c, F.col("site").eqNullSafe(F.col("of")) & (F.col("key") == F.col("bad")), "left_semi")

@@ -21,3 +21,12 @@ def test_against_plain_python(spark):
     assert collections.Counter(tuple(r) for r in out.select("row.doc_id", "row.source", "n_lines", "n_dropped", "text").collect()) == want
     assert out.select("row.*").columns == df.columns
     assert drop_site_lines(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    lines = lambda i: f"head of {i}\nShared menu\nbody of {i}"
+    docs = [(i, lines(i), "en", "s", 0) for i in range(40)] + [(100 + i, "clean one\nclean two", "en", "s", 0) for i in range(12)]
+    docs += [(200 + i, "clean one\nclean two", "en", None, 0) for i in range(6)] + [(300 + i, None, "en", None, 0) for i in range(6)]
+    got = {r.row.doc_id: r.text for r in drop_site_lines(spark.createDataFrame(docs, SCHEMA), copies_once=True).collect()}
+    assert got == {d: "\n".join(x for x in (t or "").split("\n") if x != "Shared menu") for d, t, *_ in docs}
+    assert drop_site_lines(spark.createDataFrame([], SCHEMA), copies_once=True).count() == 0

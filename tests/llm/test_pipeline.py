@@ -66,3 +66,13 @@ def test_no_rows_and_odd_rows(spark, tmp_path):
         written(spark.createDataFrame(rows, SCHEMA), base / "documents.parquet")
         written(spark.createDataFrame([], "doc_id long, quality int, toxic int"), base / "labels.parquet")
         assert sum(r["length"] for r in cp.run(spark, str(base)).collect()) == (6 if rows else 0)
+
+
+def test_a_group_of_copies_leaves_one_document(spark, tmp_path):
+    text = "\n".join(f"line {i} of a clean document says {i * i} and {i * 7}" for i in range(12))
+    rows = [(i, "\n".join(f"page {i} writes {i * 31 + k} then {k}" for k in range(8)) + "\nMenu", "en", "s", 0) for i in range(40)]
+    d = spark.createDataFrame([*rows, *[(100 + i, text, "en", "s", 0) for i in range(10)]], SCHEMA)
+    b = written(cp.line_stage(spark, d, str(tmp_path)), tmp_path / "b")
+    assert {r.text for r in b.where("doc_id >= 100").collect()} == {text}
+    assert b.where("doc_id < 100 and text like '%Menu%'").count() == 0
+    assert [r.text for r in cp.near_stage(spark, b, str(tmp_path)).where("doc_id >= 100").collect()] == [text]
