@@ -53,3 +53,9 @@ def test_ties_nulls_one_row_and_none(spark):
     assert len(one) == 1 and one[0].near_next == 1 and one[0].near_edited == 1
     assert fp.edited_fingerprints(some.limit(0)).count() == 0
     assert fp.fingerprints(some).where("doc_id is null").select("fingerprint").distinct().count() == 1
+
+
+def test_the_query_takes_96_samples(spark, base):
+    r = fp.op2_fingerprint(spark, base).first()
+    assert len(r.fingerprint) == len(r.edited_fingerprint) == 4 * 96 and r.near_next * 96 == int(r.near_next * 96)
+    assert len(fp.fingerprints(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first().fingerprint) == 4 * 96
