@@ -66,7 +66,8 @@ def class_counts(df: DataFrame, label: str) -> tuple[int, int]:
     return r["w"], r["c"]
 
 
-def fit_linear(df: DataFrame, names: list[str], label: str = "wrong", balanced: bool = False, c: float = 1.0) -> Linear:
+def fit_linear(df: DataFrame, names: list[str], label: str = "wrong", balanced: bool = False, c: float = 1.0,
+               max_iter: int = 1000) -> Linear:
     """Scaler and logistic regression; ``balanced`` weights both classes alike."""
     wrong, right = class_counts(df, label)
     if not wrong or not right:
@@ -76,7 +77,7 @@ def fit_linear(df: DataFrame, names: list[str], label: str = "wrong", balanced:
     w = F.when(y == 1, n / (2.0 * wrong)).otherwise(n / (2.0 * right)) if balanced else F.lit(1.0)
     data = df.select(scaled(names, mean, std).alias("x"), y.alias("y"), w.alias("w"))
     m = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                           standardization=False, maxIter=100, tol=1e-6).fit(data)
+                           standardization=False, maxIter=max_iter, tol=1e-6).fit(data)
     return Linear(list(names), mean, std, [float(v) for v in m.coefficients], float(m.intercept), wrong, right)
 
 
@@ -112,8 +113,8 @@ def cross_validated(df: DataFrame, row_id: str, names: list[str], label: str = "
 
 
 def fit_network(df: DataFrame, names: list[str], label: str = "wrong", layers: tuple[int, ...] = (64, 32), seed: int = 42,
-                max_iter: int = 60):
-    """Small feed-forward network on scaled features; returns a function that adds ``risk``."""
+                max_iter: int = 500):
+    """Small feed-forward network on scaled features; returns a function that adds ``risk``. It has no penalty and no early stop."""
     mean, std, _ = moments(df, names)
     x = scaled(names, mean, std)
     m = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(names), *layers, 2], seed=seed, maxIter=max_iter,
@@ -158,7 +159,7 @@ def rescaled(df: DataFrame, names: list[str], scale: tuple[list[float], list[flo
 
 
 def ensemble_risk(train: DataFrame, score: DataFrame, row_id: str, names: list[str], label: str = "wrong", members: int = 30,
-                  share: float = 0.8, seed: int = 42, workers: int = 4) -> DataFrame:
+                  share: float = 0.8, seed: int = 42, workers: int = 4, layers: tuple[int, ...] = (32, 16), max_iter: int = 500) -> DataFrame:
     """Mean and spread over networks fitted on hash-seeded resamples with replacement.
 
     Each row is drawn a Poisson(``share``) number of times per member; members are fitted side by
@@ -176,7 +177,7 @@ def ensemble_risk(train: DataFrame, score: DataFrame, row_id: str, names: list[s
                 break
             cut += p
         rows = train.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter(times > 0)
-        return fit_network(rows, names, label, (16,), seed + i, 25)
+        return fit_network(rows, names, label, layers, seed + i, max_iter)
     with ThreadPoolExecutor(max_workers=workers) as pool:
         nets = list(pool.map(member, range(members)))
     d = score

@@ -187,3 +187,14 @@ def test_arms_of_many_domains_have_one_winner(spark):
     log = spark.createDataFrame([("m", f"d{i}", 0.5) for i in range(7)], "failure_mode string, domain string, reward double")
     arms = spark.createDataFrame([(m, f"d{i}", k * 7 + i) for k, m in enumerate(("m", "n")) for i in range(7)], "failure_mode string, domain string, pos int")
     assert C.bandit_arms(log, arms, ["failure_mode", "domain"], "reward", 1.0).where("next").count() == 1
+
+
+def test_networks_train_as_published(spark, monkeypatch):
+    asked = []
+    net, lin = G.MultilayerPerceptronClassifier, G.LogisticRegression
+    monkeypatch.setattr(G, "MultilayerPerceptronClassifier", lambda **k: asked.append((k["layers"], k["maxIter"])) or net(**{**k, "maxIter": 1}))
+    monkeypatch.setattr(G, "LogisticRegression", lambda **k: asked.append(k["maxIter"]) or lin(**{**k, "maxIter": 1}))
+    d = spark.createDataFrame([(i, i % 2, float(i % 2), float(i % 7)) for i in range(60)], "chain_id long, wrong int, a double, b double")
+    G.ensemble_risk(d, d, "chain_id", ["a", "b"], members=2).count()
+    G.fit_pair(d, ["a", "b"])
+    assert sorted(map(str, asked)) == sorted(map(str, [([2, 32, 16, 2], 500)] * 2 + [1000, ([2, 64, 32, 2], 500)]))
