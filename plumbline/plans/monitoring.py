@@ -57,14 +57,35 @@ def i3(spark, base):
     return d.select("domain", "seq", "ts", "severity", "detector", *r6("psi", "cusum"))
 
 
-@query("i4_drift_monitor", None)
-def i4(spark, base):
+#: The monitor row by row: p is the row of the last alarm, c the CUSUM; the baseline is the 20 rows that end at p + 20.
+MONITOR_SQL = with_views(f"""
+, s AS (SELECT domain, ts, risk_score AS x, {BIN_SQL} AS bin, row_number() OVER (PARTITION BY domain ORDER BY ts, chain_id) AS rn FROM scored_v),
+q AS (SELECT *, avg(x) OVER b AS mu, greatest(stddev_pop(x) OVER b, 1e-4) AS sd, list(bin) OVER b AS bl, list(bin) OVER (PARTITION BY domain ORDER BY rn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS w,
+  list(x) OVER (PARTITION BY domain ORDER BY rn ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS xs FROM s WINDOW b AS (PARTITION BY domain ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+f AS (SELECT domain, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS p, 0.0::DOUBLE AS c, CAST(NULL AS DOUBLE) AS thr, 0.0::DOUBLE AS shown, 0.0::DOUBLE AS psi, CAST(NULL AS VARCHAR) AS detector, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts FROM (SELECT DISTINCT domain FROM q)
+ UNION ALL SELECT domain, rn, CASE WHEN hit THEN rn ELSE p END, CASE WHEN hit OR n < 20 THEN 0.0::DOUBLE ELSE now END, CASE WHEN p > 0 AND n = 19 THEN list_aggregate(list_concat([xs[1]], xs[22:]), 'quantile_cont', 0.75) ELSE thr END,
+   now, psi, CASE WHEN now > 5 * sd THEN 'CUSUM' WHEN psi >= 0.1 THEN 'PSI' END, n, ts FROM (SELECT *, n >= 20 AND (now > 5 * sd OR psi >= 0.2) AS hit FROM (
+  SELECT q.domain, q.rn, q.ts, q.xs, f.p, f.thr, q.rn - f.p - 20 AS n, z.sd, CASE WHEN q.rn - f.p < 40 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, f.c + (q.x - z.mu) - 0.5 * z.sd) END AS now,
+   CASE WHEN q.rn - f.p < 40 THEN 0.0::DOUBLE ELSE (SELECT greatest(0.0::DOUBLE, round(list_sum(list_transform(range(10), lambda i: ((len(list_filter(l, lambda y: y = i)) + 1e-4) / (len(l) + 1e-3) - (len(list_filter(z.bl, lambda y: y = i)) + 1e-4) / 20.001)
+     * ln(((len(list_filter(l, lambda y: y = i)) + 1e-4) / (len(l) + 1e-3)) / ((len(list_filter(z.bl, lambda y: y = i)) + 1e-4) / 20.001)))), 6)) FROM (SELECT list_slice(q.w, -least(50, q.rn - f.p - 20), -1) AS l)) END AS psi
+  FROM f JOIN q ON q.domain = f.domain AND q.rn = f.rn + 1 LEFT JOIN q z ON z.domain = f.domain AND z.rn = f.p + 20))),
+monitor_v AS (SELECT domain, rn AS seq, ts, CASE WHEN detector = 'CUSUM' OR psi >= 0.2 THEN 'ALARM' ELSE 'WARN' END AS severity, detector, round(psi, 6) AS psi, round(shown, 6) AS cusum, n AS n_samples, round(thr, 6) AS threshold FROM f WHERE n >= 20 AND detector IS NOT NULL)
+""", "scored_v").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def monitor(spark, base):
     return M.drift_monitor(V.scored(spark, base))
 
 
-@query("i5_domain_thresholds", None)
+@query("i4_drift_monitor", MONITOR_SQL + "SELECT * FROM monitor_v")
+def i4(spark, base):
+    d = monitor(spark, base)
+    return d.select("domain", "seq", "ts", "severity", "detector", "n_samples", *r6("psi", "cusum", "threshold"))
+
+
+@query("i5_domain_thresholds", MONITOR_SQL + "SELECT domain, coalesce(max_by(threshold, seq), 0.7) AS threshold FROM monitor_v GROUP BY domain")
 def i5(spark, base):
-    return M.domain_thresholds(M.drift_monitor(V.scored(spark, base)))
+    return M.domain_thresholds(monitor(spark, base)).select("domain", *r6("threshold"))
 
 
 @query("i6_mean_shift", with_views("""SELECT domain, round(current_mean, 6) AS current_mean, round(previous_mean, 6) AS previous_mean, n_current, n_previous, round(current_mean - previous_mean, 6) AS delta,
@@ -175,9 +196,9 @@ def i17(spark, base):
     return M.monthly_usage(V.scored(spark, base)).select("user_id", "month", "used", "over", *r6("share"))
 
 
-@query("i18_detector_summaries", None)
+@query("i18_detector_summaries", MONITOR_SQL + """SELECT domain, count(*) AS events, count(CASE WHEN severity = 'ALARM' THEN 1 END) AS alarms, max_by(severity, seq) AS last_severity, max(seq) AS last_seq FROM monitor_v GROUP BY domain""")
 def i18(spark, base):
     """Last event per domain."""
-    e = M.drift_monitor(V.scored(spark, base))
+    e = monitor(spark, base)
     return e.groupBy("domain").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("severity") == "ALARM").alias("alarms"),
                                    F.max_by("severity", "seq").alias("last_severity"), F.max("seq").alias("last_seq"))

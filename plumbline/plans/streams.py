@@ -19,10 +19,11 @@ def as_stream(df, ts="ts", slices=4):
     return J.stream_of(df.sparkSession, J.sliced(df, ts, slices), df.schema)
 
 
-@query("i4_drift_stream", None)
+@query("i4_drift_stream", ORACLE["i4_drift_monitor"])
 def i4_stream(spark, base):
     s = as_stream(V.scored(spark, base).select("domain", "ts", "chain_id", "risk_score"))
-    return J.run_now(J.keyed_fold(s, ["domain"], ["ts", "chain_id"], folds.Drift()))
+    d = J.run_now(J.keyed_fold(s, ["domain"], ["ts", "chain_id"], folds.Drift()))
+    return d.filter("NOT late").select("domain", "seq", "ts", "severity", "detector", "n_samples", *r6("psi", "cusum", "threshold"))
 
 
 @query("i7_adaptive_stream", ORACLE["i7_adaptive_thresholds"])

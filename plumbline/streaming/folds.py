@@ -39,6 +39,8 @@ class Drift:
     """
 
     out = "seq long, ts long, severity string, detector string, psi double, cusum double, n_samples long, threshold double"
+    #: Rows before a block that its window reaches, and rows that a fresh start takes for its baseline.
+    lead, fresh = fixed.DRIFT_WINDOW, fixed.DRIFT_MIN
 
     def __init__(self, score: str = "risk_score", relearn: bool = True):
         self.score, self.relearn = score, relearn
@@ -105,6 +107,104 @@ class Drift:
         return state, pd.DataFrame(out, columns=["seq", "ts", "severity", "detector", "psi", "cusum", "n_samples", "threshold"])
 
 
+    def since(self, s: dict) -> int | None:
+        """The row at which the baseline was complete."""
+        return None if s["base"] is None else s["start"]
+
+    def crossing(self, run: dict, pdf: pd.DataFrame) -> dict:
+        """What a block does to a run with full window that does not end in it: the window it leaves, and for the CUSUM its end
+        when it comes in at 0 and its highest, lowest and last running sum."""
+        old = bins(pdf.loc[pdf["_lead"], self.score]).tolist()[-fixed.DRIFT_WINDOW:]
+        own = pdf[~pdf["_lead"]]
+        state, out = self.run({**run, "buf": old, "cusum": 0.0}, own)
+        sums = np.cumsum(own[self.score].to_numpy(float) - run["base"][0] - fixed.CUSUM_K * run["base"][1])
+        return {"ends": bool((out["severity"] == "ALARM").any()), "zero": state["cusum"], "buf": state["buf"],
+                "high": float(sums.max()), "low": float(sums.min()), "sum": float(sums[-1])}
+
+    def crossed(self, run: dict, e: dict) -> dict | None:
+        """The run's state behind the block, or nothing when it ends there."""
+        c = run["cusum"]
+        if e["ends"] or c + e["high"] > fixed.CUSUM_H * run["base"][1]:
+            return None
+        return {**run, "buf": e["buf"], "cusum": e["zero"] if c + e["low"] <= 0 or c == 0 else c + e["sum"]}
+
+
+class Cusum(Drift):
+    """Detection against a fixed baseline, as a rule whose only state is the CUSUM; the window comes from the rows before a block.
+
+    A block's effect on the CUSUM is piecewise: entries up to a point are pulled to zero and end alike, those above others pass
+    the limit at some row and start again from zero there, and those between are moved by the sum of the rows. Pieces are (upper end,
+    moved or not, value). Values of pieces that were at zero once are those of a walk, bit for bit.
+    """
+
+    lead = fixed.DRIFT_WINDOW - 1
+
+    def __init__(self, score: str = "risk_score"):
+        super().__init__(score, relearn=False)
+
+    def init(self) -> float:
+        return 0.0
+
+    def run(self, c: float, pdf: pd.DataFrame) -> tuple[float, pd.DataFrame]:
+        old = bins(pdf.loc[pdf["_lead"], self.score]).tolist()[-self.lead:]
+        state, out = super().run({**super().init(), "buf": old, "cusum": c}, pdf[~pdf["_lead"]])
+        return state["cusum"], out
+
+    def effect(self, pdf: pd.DataFrame) -> bytes:
+        own = pdf[~pdf["_lead"]]
+        mu, sig = float(own["base_mean"].iloc[0]), float(own["base_std"].iloc[0])
+        top, pull = fixed.CUSUM_H * sig, fixed.CUSUM_K * sig
+        low: list[float] = []  # end and value of the piece that was pulled to zero
+        a, b, moved = -1.0, top, 0.0  # entries in (a, b] are moved
+        high: list[list[float]] = []  # upper end and value of the pieces that have passed the limit, from the highest
+        for x in own.loc[own["seen"] >= fixed.DRIFT_MIN, self.score].to_numpy(float).tolist():
+            step = lambda v: 0.0 if (v := max(0.0, v + (x - mu) - pull)) > top else v
+            if low:
+                low[1] = step(low[1])
+            for piece in high:
+                piece[1] = step(piece[1])
+            if a < b:
+                moved = moved + (x - mu) - pull
+                if -moved > a:
+                    a = min(-moved, b)
+                    low = [a, 0.0]
+                if top - moved < b:
+                    if not high or high[-1][1] != 0.0:
+                        high.append([b, 0.0])
+                    b = max(top - moved, a)
+            if len(high) > 1:
+                high = [p for i, p in enumerate(high) if not i or p[1] != high[i - 1][1]]
+        out = [(low[0], 0.0, low[1])] if low else []
+        out += [(b, 1.0, moved)] if a < b else []
+        return np.array(out + [(e, 0.0, v) for e, v in reversed(high)], "<f8").tobytes()
+
+    @staticmethod
+    def value(pieces: np.ndarray, c: float) -> float:
+        i = min(int(np.searchsorted(pieces[:, 0], c)), len(pieces) - 1)
+        return max(0.0, float(pieces[i, 2] + c)) if pieces[i, 1] else float(pieces[i, 2])
+
+    def chain(self, effects: list[bytes]) -> bytes:
+        now = np.frombuffer(effects[0], "<f8").reshape(-1, 3)
+        for raw in effects[1:]:
+            then, out, lower = np.frombuffer(raw, "<f8").reshape(-1, 3), [], -np.inf
+            for end, moved, v in now.tolist():
+                if moved:
+                    for e, m, w in then.tolist():
+                        if e - v > lower:
+                            out.append((min(e - v, end), m, w + v if m else w))
+                            lower = out[-1][0]
+                        if e - v >= end:
+                            break
+                else:
+                    out.append((end, 0.0, self.value(then, v)))
+                lower = end
+            now = np.array([p for i, p in enumerate(out) if i + 1 == len(out) or p[1] or out[i + 1][1:] != p[1:]])
+        return now.astype("<f8").tobytes()
+
+    def after(self, effect: bytes, c: float) -> float:
+        return self.value(np.frombuffer(effect, "<f8").reshape(-1, 3), c)
+
+
 class Cisc:
     """Adaptive tier thresholds from running counters.
 
@@ -112,7 +212,7 @@ class Cisc:
     n_high, n_high_wrong``); only the two thresholds are state. Exploration is off, so replays agree.
     """
 
-    out = "seq long, high_threshold double, low_threshold double"
+    out, lead = "seq long, high_threshold double, low_threshold double", 0
 
     def __init__(self, target_precision: float = 0.80, target_recall: float = 0.60, min_samples: int = 20):
         self.tp, self.tr, self.min = target_precision, target_recall, min_samples
@@ -165,6 +265,19 @@ class Cisc:
         low = np.where((p > 0.05) & (r < -0.05), -1, np.where(p < -0.05, 1, 0))
         return col("n_obs") >= self.min, low, np.where(h > 0.35, 1, np.where(h < 0.10, 2, 0))
 
+    def effect(self, pdf: pd.DataFrame) -> bytes:
+        return self.table(pdf).astype("<i4").tobytes()
+
+    def chain(self, effects: list[bytes]) -> bytes:
+        m = np.arange(len(self.states()), dtype="<i4")
+        for raw in effects:
+            m = np.frombuffer(raw, "<i4")[m]
+        return m.astype("<i4").tobytes()
+
+    def after(self, effect: bytes, s: list) -> list:
+        states = self.states()
+        return states[int(np.frombuffer(effect, "<i4")[states.index(s)])]
+
     def table(self, pdf: pd.DataFrame) -> np.ndarray:
         """The state that the rows leave for each state; equal moves in a row are applied until they change nothing."""
         states = [tuple(s) for s in self.states()]

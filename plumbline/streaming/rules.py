@@ -41,16 +41,16 @@ def stability_index(reference: DataFrame, target: DataFrame, keys: Sequence[str]
 
 
 def drift_events(df: DataFrame, base: DataFrame, key: str = "domain", score: str = "risk_score", block: int = 4096) -> DataFrame:
-    """Detector events against a fitted baseline, in parallel inside each key."""
+    """Detector events against a fitted baseline: blocks' effects on the CUSUM chain up, so a key with many rows stays spread out."""
     d = replay.numbered(df.select(key, "ts", "chain_id", score), [key], "ts", "chain_id")
     d = d.join(base.select(key, "base_mean", "base_std", "base_hist", "base_n"), key)
-    return replay.by_blocks(d, [key], ["seen"], folds.Drift(score, relearn=False), block)
+    return replay.by_maps(d, [key], ["seen"], folds.Cusum(score), block)
 
 
-def drift_monitor(df: DataFrame, key: str = "domain", score: str = "risk_score") -> DataFrame:
-    """Self-fitting monitor: the first scores are the baseline, alarms start over, thresholds follow."""
+def drift_monitor(df: DataFrame, key: str = "domain", score: str = "risk_score", block: int = 4096) -> DataFrame:
+    """Self-fitting monitor: the first scores are the baseline, alarms start over, thresholds follow. In parallel inside each key."""
     d = replay.numbered(df.select(key, "ts", "chain_id", score), [key], "ts", "chain_id")
-    return replay.in_order(d, [key], ["seen"], folds.Drift(score))
+    return replay.by_restarts(d, [key], ["seen"], folds.Drift(score), block)
 
 
 def domain_thresholds(events: DataFrame, manual: DataFrame | None = None) -> DataFrame:

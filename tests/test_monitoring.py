@@ -86,6 +86,67 @@ def test_detector_blocks_equal_one_walk(spark, series, block):
     assert key(M.drift_events(new, base, block=block)) == key(replay.in_order(num, ["domain"], ["seen"], folds.Drift(relearn=False)))
 
 
+@pytest.fixture(scope="module")
+def calm(spark):
+    """Long runs without an alarm and a level that jumps, no noise at all, noise that never settles, and too few rows."""
+    rnd, rows = random.Random(3), []
+    for i in range(2400):
+        rows.append(("quiet", i, len(rows), round(rnd.gauss(0.35 if (i // 800) % 2 == 0 else 0.65, 0.004), 5)))
+        rows.append(("flat", i, len(rows), 0.25))
+        if i < 500:
+            rows.append(("wild", i, len(rows), round(rnd.random(), 3)))
+    rows += [("short", i, len(rows) + i, 0.5) for i in range(15)]
+    return rows, spark.createDataFrame(rows, "domain string, ts long, chain_id long, risk_score double")
+
+
+@pytest.mark.parametrize("keys, block, rounds", [(("quiet", "flat", "short"), 64, 10), (("wild", "quiet", "short"), 150, 6)])
+def test_restarts_join_up_to_one_walk(spark, calm, keys, block, rounds, monkeypatch):
+    rows = [r for r in calm[0] if r[0] in keys]
+    want = {(k, *e) for k in keys for e in monitor([r[3] for r in rows if r[0] == k])}
+    names, write = [], replay.written
+    monkeypatch.setattr(replay, "written", lambda s, df, name: (names.append(name), write(s, df, name))[1])
+    got = M.drift_monitor(calm[1].filter(F.col("domain").isin(*keys)), block=block).collect()
+    assert {(r.domain, r.seq, r.severity, r.detector, r.threshold) for r in got} == want and len(got) == len(want)
+    assert names.count("crossed") <= rounds  # a walk block by block would take 37 and 15
+
+
+def test_fifty_quiet_blocks_in_few_rounds(spark, monkeypatch):
+    """A CUSUM that creeps up over all blocks and is never at zero."""
+    n = 50 * 20
+    rows = [("a", i, i, 0.3501 + 0.0002 * (i % 2)) for i in range(n)] + [("b", i, n + i, 0.3) for i in range(n)]
+    d = spark.createDataFrame(rows, "domain string, ts long, chain_id long, risk_score double")
+    base = spark.createDataFrame([(k, 0.3, 0.1, [0, 0, 0, 50, 0, 0, 0, 0, 0, 0], 50) for k in "ab"],
+                                 "domain string, base_mean double, base_std double, base_hist array<long>, base_n long")
+    names, write = [], replay.written
+    monkeypatch.setattr(replay, "written", lambda s, df, name: (names.append(name), write(s, df, name))[1])
+    monkeypatch.setattr(replay, "FAN", 4)
+    key = lambda df: sorted((r.domain, r.seq, r.severity, r.detector, round(r.psi, 6), round(r.cusum, 9)) for r in df.collect())
+    got = key(M.drift_events(d, base, block=20))
+    assert names.count("maps") == 3 and names.count("entries") == 3
+    num = replay.numbered(d, ["domain"], "ts", "chain_id").join(base, "domain")
+    assert got == key(replay.in_order(num, ["domain"], ["seen"], folds.Drift(relearn=False)))
+
+
+def test_effects_of_blocks_chain_up():
+    """Against a walk, from many entries, for noise, creep and jumps."""
+    rnd, f = np.random.default_rng(1), folds.Cusum()
+
+    def rows(x, first):
+        return {"risk_score": x, "seen": np.arange(first, first + len(x)), "ts": 0, "_lead": False, "base_mean": 0.3, "base_std": 0.1,
+                "base_hist": [[5] * 10] * len(x), "base_n": 50}
+
+    import pandas as pd
+    for trial in range(60):
+        level, noise = [(0.35, 0.1), (0.3, 0.1), (0.4, 0.3), (0.349, 0.0001), (0.3505, 0.002), (0.9, 0.2)][trial % 6]
+        parts = [pd.DataFrame(rows(rnd.normal(level, noise, rnd.integers(1, 40)), 100 * (i + 1))) for i in range(3)]
+        whole = f.chain([f.effect(p) for p in parts])
+        for c in [0.0, 0.001, 0.1, 0.25, 0.4, 0.49, 0.5, *rnd.uniform(0, 0.5, 4)]:
+            now = c
+            for p in parts:
+                now = f.run(now, p)[0]
+            assert abs(f.after(whole, c) - now) < 1e-12
+
+
 def cisc(rows):
     ht, lt, out, hist = 0.5, 0.7, [], []
     clamp = lambda v: max(0.25, min(0.9, round(v, 3)))
