@@ -17,10 +17,9 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators import knn as K
+from plumbline.operators import isotonic, knn as K
 from plumbline.operators.calibration import auroc, bootstrap_auroc
 from plumbline.operators.ordered import running_sums
 from plumbline.session import written
@@ -135,15 +134,11 @@ def promote(new: float | None, stored: float | None, gain: float = 0.005) -> boo
 
 
 def fit_isotonic(df: DataFrame, score: str = "risk", label: str = "wrong", min_rows: int = 0):
-    """Monotone map of score to share of wrong rows; equal scores are merged before the fit."""
+    """Monotone map of score to share of wrong rows; equal scores are merged before the fit. The pools stay a table."""
     if min_rows and df.count() < min_rows:
         raise ValueError(f"at least {min_rows} rows are needed")
-    g = df.groupBy(F.col(score).cast("double").alias("_f")).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    m = IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w").fit(g)
-    def calibrate(d: DataFrame, column: str = score, out: str = "calibrated") -> DataFrame:
-        m.setFeaturesCol("_f").setPredictionCol(out)
-        return m.transform(d.withColumn("_f", F.col(column).cast("double"))).drop("_f")
-    return calibrate
+    table = written(df.sparkSession, isotonic.fit(df, score, label), "isotonic")
+    return lambda d, column=score, out="calibrated": isotonic.apply(d, table, column, out)
 
 
 def target_scale(df: DataFrame, names: list[str], min_rows: int = 10) -> tuple[list[float], list[float]] | None:
