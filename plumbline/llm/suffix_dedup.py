@@ -29,6 +29,7 @@ GRAM = 32
 BLOCK = 1 << 19  # window starts of a text looked at together; a position of a block and its overlap fits in 20 bits
 GATHER = 1 << 18  # bytes of contexts refined together
 MANY = 2048  # contexts of a bucket beyond which it is split by the hashes of its windows' parts
+HOT = 1 << 16  # contexts at most that are found again by a set that each task holds, 16 bytes each
 PIECE = 8  # neighbouring windows told apart together in such a bucket
 
 _ODD = 0x9E3779B97F4A7C15
@@ -136,6 +137,8 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, press = set(), zstandard.ZstdCompressor(3).compress
         for k1, k2, texts in rows(batches):
+            if len(seen) > 1 << 20:  # ``first`` finds what comes again after that
+                seen.clear()
             got = [[], [], [], []]
             for a, b, text in zip(k1, k2, texts):
                 if (a, b) not in seen:
@@ -187,6 +190,32 @@ def _windows(place: list[int]) -> list[tuple[int, int]]:
 SPAN = "k1 long, k2 long, start long, stop long"
 
 
+def _crowded(texts: DataFrame, hot: list[tuple[int, int]], length: int) -> DataFrame:
+    """Spans of the contexts (h, c) in ``hot`` in texts that occur once: one row per maximal run, not one per anchor."""
+    h_, c_ = (np.array(x, np.int64) for x in (zip(*sorted(hot, key=lambda x: (x[1], x[0])))))
+    sent = texts.sparkSession.sparkContext.broadcast((h_, c_))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, unpress = resident(("anchors", length), lambda: Anchors(length)), zstandard.ZstdDecompressor().decompress
+        hs, cs = sent.value
+        alone = len(np.unique(cs)) == len(cs)
+        pairs = set(zip(hs.tolist(), cs.tolist()))
+        for k1, k2, bodies in rows(batches, 32):
+            got = [[], [], [], []]
+            for x, y, body in zip(k1, k2, bodies):
+                h, c, _, lo, hi = a.of(unpress(body))
+                h, c = h.view(np.int64), c.view(np.int64)
+                at = np.minimum(np.searchsorted(cs, c), len(cs) - 1)
+                hit = np.flatnonzero(cs[at] == c)
+                keep = hit[hs[at[hit]] == h[hit]] if alone else np.array([i for i in hit.tolist() if (int(h[i]), int(c[i])) in pairs], np.int64)
+                for start, stop in merged(list(zip(lo[keep].tolist(), (hi[keep] + length).tolist()))):
+                    for col, v in zip(got, (x, y, start, stop)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], ["k1", "k2", "start", "stop"])
+
+    return texts.where("not twice").select("k1", "k2", "body").mapInArrow(spans, SPAN)
+
+
 def _refined(wanted: DataFrame, length: int) -> DataFrame:
     """Repeated spans of lone contexts in buckets that a task can gather."""
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +328,11 @@ def repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> tuple
     buckets = session.written(spark, _anchors(texts, length).groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select(F.col("h").alias("b")), "repeat-buckets")
     members = session.written(spark, _anchors(texts, length).join(buckets, F.col("h") == F.col("b")).drop("b"), "repeat-members")
     contexts = session.written(spark, members.groupBy("h", "c").agg(F.sum("weight").alias("m"), F.min(F.struct("k1", "k2", "place")).alias("one")), "repeat-contexts")
-    known = members.where("weight = 1").join(contexts.where("m > 1").select("h", "c"), ["h", "c"])
+    # At most HOT contexts can hold more than a HOT-th part of all members.
+    many = max(64, -(-(contexts.agg(F.sum("m")).first()[0] or 0) // HOT))
+    hot = contexts.where(F.col("m") > many).select("h", "c")
+    lone = members.where("weight = 1").join(F.broadcast(hot), ["h", "c"], "left_anti")
+    known = lone.join(contexts.where((F.col("m") > 1) & (F.col("m") <= many)).select("h", "c"), ["h", "c"])
     p = F.shiftright("place", 16)
     whole = known.select("k1", "k2", (p - F.shiftright("place", 8).bitwiseAND(255)).alias("start"), (p - F.col("place").bitwiseAND(255) + length).alias("stop"))
     mixed = session.written(spark, contexts.groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("least")).where("n > 1 and least = 1").select(F.col("h").alias("b"), "n"), "repeat-mixed")
@@ -309,6 +342,8 @@ def repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> tuple
         lists = asked.where(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "place", "m")).alias("asked"))
         return texts.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "asked")
 
+    if crowd := [tuple(r) for r in hot.collect()]:
+        whole = whole.unionAll(_crowded(texts, crowd, length))
     found = whole.unionAll(_refined(wanted(f"n <= {MANY}"), length)).unionAll(_split(wanted(f"n > {MANY}"), texts, length))
     spans = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return texts, session.written(spark, spans, "repeat-spans")

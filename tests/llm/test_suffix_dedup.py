@@ -83,3 +83,16 @@ def test_long_text_over_several_blocks(spark, monkeypatch):
     assert all(len(h) for h, *_ in a)
     got = collections.Counter(tuple(r)[:5] for r in sd.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert got == expected(docs, 200)
+
+
+def test_passage_of_many_texts_gives_one_span_a_text(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(5)) for _ in range(n))
+    passage, twin = word(120), word(50)
+    docs = [(i, f"{word(rng.randint(0, 9))} {passage} {word(rng.randint(0, 9))}" + (f" {twin}" if i < 3 else "") + (f" {passage}" if i % 40 == 0 else ""), None, None, 0) for i in range(130)]
+    docs += [(1000 + i, docs[i][1], None, None, 0) for i in range(3)]
+    asked, crowded = [], sd._crowded
+    monkeypatch.setattr(sd, "_crowded", lambda texts, hot, length: (asked.append((crowded(texts, hot, length), len(hot))), asked[-1][0])[1])
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert collections.Counter(tuple(r)[:5] for r in sd.repeated_spans(df).collect()) == expected(docs, 200)
+    assert asked[0][1] > 3 and asked[0][0].count() == 127 + 3  # texts that stand twice have no spans, three others hold it twice
