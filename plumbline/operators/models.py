@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators import isotonic, knn as K
+from plumbline.operators import isotonic, knn as K, networks
 from plumbline.operators.calibration import auroc, bootstrap_auroc
 from plumbline.operators.ordered import running_sums
 from plumbline.session import written
@@ -111,15 +111,15 @@ def cross_validated(df: DataFrame, row_id: str, names: list[str], label: str = "
     return _mean_auroc(out, label)
 
 
-def fit_network(df: DataFrame, names: list[str], label: str = "wrong", layers: tuple[int, ...] = (64, 32), seed: int = 42,
-                max_iter: int = 500):
-    """Small feed-forward network on scaled features; returns a function that adds ``risk``. It has no penalty and no early stop."""
-    mean, std, _ = moments(df, names)
-    x = scaled(names, mean, std)
-    m = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(names), *layers, 2], seed=seed, maxIter=max_iter,
-                                       probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(
-        df.select(x.alias("_x"), F.col(label).cast("double").alias("_y")))
-    return lambda d: m.transform(d.withColumn("_x", x)).withColumn("risk", vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_c")
+def fit_network(df: DataFrame, names: list[str], label: str = "wrong", layers: tuple[int, ...] = (64, 32), seed: int = 42, max_iter: int = 500,
+                alpha: float = 1e-4, validation: float = 0.1, row_id: str | None = None):
+    """Small feed-forward network on scaled features with penalty and early stop; returns a function that adds ``risk``.
+
+    Without ``row_id`` rows are told apart by what they hold.
+    """
+    row = F.col(row_id) if row_id else F.xxhash64(*names, label)
+    m = networks.fit(df, names, label, row, moments(df, names), layers, alpha=alpha, validation=validation, epochs=max_iter, seed=seed)
+    return lambda d: d.withColumn("risk", m.risk()["risk"])
 
 
 def fit_pair(df: DataFrame, names: list[str], label: str = "wrong"):
@@ -153,36 +153,16 @@ def rescaled(df: DataFrame, names: list[str], scale: tuple[list[float], list[flo
     return df.withColumns({n: (F.col(n) - m) / s for n, m, s in zip(names, *scale, strict=True)})
 
 
-def ensemble_risk(train: DataFrame, score: DataFrame, row_id: str, names: list[str], label: str = "wrong", members: int = 30,
-                  share: float = 0.8, seed: int = 42, workers: int = 4, layers: tuple[int, ...] = (32, 16), max_iter: int = 500) -> DataFrame:
-    """Mean and spread over networks fitted on hash-seeded resamples with replacement.
+def fit_ensemble(train: DataFrame, row_id: str, names: list[str], label: str = "wrong", members: int = 30, share: float = 0.8, seed: int = 42,
+                 layers: tuple[int, ...] = (32, 16), max_iter: int = 500, alpha: float = 0.01, validation: float = 0.15) -> networks.Networks:
+    """Networks on hash-seeded resamples with replacement, all trained in the same passes over the rows."""
+    return networks.fit(train, names, label, F.col(row_id), moments(train, names), layers, members, share, alpha, validation, max_iter, seed)
 
-    Each row is drawn a Poisson(``share``) number of times per member; members are fitted side by
-    side as separate Spark jobs.
-    """
-    train = written(train.sparkSession, train.select(row_id, label, *names), "train")
-    def member(i: int):
-        u = (F.pmod(F.xxhash64(F.col(row_id), F.lit(i), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        times, cut, p, k = F.lit(0), math.exp(-share), math.exp(-share), 0
-        while p > 0 and cut < 1.0:  # inverse of the distribution, down to the last cut that a double tells from one
-            times = times + (u > cut).cast("int")
-            k += 1
-            p *= share / k
-            if cut + p == cut:
-                break
-            cut += p
-        rows = train.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter(times > 0)
-        return fit_network(rows, names, label, layers, seed + i, max_iter)
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        nets = list(pool.map(member, range(members)))
-    d = score
-    for i, net in enumerate(nets):
-        d = net(d).withColumnRenamed("risk", f"_m{i}")
-    ms = F.array(*[F.col(f"_m{i}") for i in range(members)])
-    mean = F.aggregate(ms, F.lit(0.0), lambda s, x: s + x) / float(members)
-    d = d.withColumn("_ms", ms).withColumn("risk", mean)
-    var = F.aggregate("_ms", F.lit(0.0), lambda s, x: s + (x - F.col("risk")) * (x - F.col("risk"))) / float(members)
-    return d.withColumn("uncertainty", F.sqrt(var)).select(row_id, "risk", "uncertainty")
+
+def ensemble_risk(train: DataFrame, score: DataFrame, row_id: str, names: list[str], label: str = "wrong", **how) -> DataFrame:
+    """Mean and spread of the ensemble's members for each row of ``score``."""
+    r = fit_ensemble(train, row_id, names, label, **how).risk()
+    return score.select(row_id, r.alias("_r")).select(row_id, "_r.risk", "_r.uncertainty")
 
 
 def density_risk(pool: DataFrame, score: DataFrame, dims: int = 32, k: int = 4, min_rows: int = 20, seed: int = 42) -> DataFrame:

@@ -119,12 +119,12 @@ def g10(spark, base):
 
 @query("g11_replay_buffer")
 def g11(spark, base):
-    """Fit on the latest 2000 labelled runs; no rows when there are fewer than 20."""
+    """The ensemble fitted on the latest 2000 labelled runs; no rows when there are fewer than 20."""
     d = labelled_features(spark, base, "seven").orderBy(F.desc("ts"), F.desc("chain_id")).limit(2000)
     d = written(spark, d, "replay")
     if d.count() < 20:
         return d.select("chain_id", F.lit(None).cast("double").alias("risk")).limit(0)
-    return G.fit_network(d, D.SEVEN)(d).select("chain_id", "risk")
+    return G.ensemble_risk(d, d, "chain_id", D.SEVEN).select("chain_id", "risk")
 
 
 @query("g12_feedback_retrain")

@@ -191,10 +191,15 @@ def test_arms_of_many_domains_have_one_winner(spark):
 
 def test_networks_train_as_published(spark, monkeypatch):
     asked = []
-    net, lin = G.MultilayerPerceptronClassifier, G.LogisticRegression
-    monkeypatch.setattr(G, "MultilayerPerceptronClassifier", lambda **k: asked.append((k["layers"], k["maxIter"])) or net(**{**k, "maxIter": 1}))
+    net, lin = G.networks.fit, G.LogisticRegression
+
+    def spy(df, names, label, row, scale, layers, members=1, share=None, alpha=1e-4, validation=0.1, epochs=500, seed=42):
+        asked.append((list(layers), members, share, alpha, validation, epochs))
+        return net(df, names, label, row, scale, layers, members, share, alpha, validation, 10, seed)
+
+    monkeypatch.setattr(G.networks, "fit", spy)
     monkeypatch.setattr(G, "LogisticRegression", lambda **k: asked.append(k["maxIter"]) or lin(**{**k, "maxIter": 1}))
     d = spark.createDataFrame([(i, i % 2, float(i % 2), float(i % 7)) for i in range(60)], "chain_id long, wrong int, a double, b double")
-    G.ensemble_risk(d, d, "chain_id", ["a", "b"], members=2).count()
+    G.ensemble_risk(d, d, "chain_id", ["a", "b"]).count()
     G.fit_pair(d, ["a", "b"])
-    assert sorted(map(str, asked)) == sorted(map(str, [([2, 32, 16, 2], 500)] * 2 + [1000, ([2, 64, 32, 2], 500)]))
+    assert asked == [([32, 16], 30, 0.8, 0.01, 0.15, 500), 1000, ([64, 32], 1, None, 1e-4, 0.1, 500)]
