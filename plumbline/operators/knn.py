@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.session import written
+
 BROADCAST_BYTES = 64 << 20
 OUT = "vec_id long, risk double"
 
@@ -29,10 +32,10 @@ def _scores(block: np.ndarray, bank: np.ndarray, norms: np.ndarray) -> np.ndarra
 
 
 def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, limit: int = BROADCAST_BYTES, block: int = 20_000) -> DataFrame:
-    """Mean distance of each query to its ``k`` nearest bank vectors, itself (same id) left out.
+    """Mean distance of each query to its ``k`` nearest bank vectors, those with its own id left out.
 
-    A bank whose measured size is under ``limit`` goes to every executor; a larger one is searched in blocks of ``block``
-    vectors, see :func:`_by_blocks`. Both ways are exact.
+    Where fewer others are left, the mean is over those; without any it is 0.5. A bank whose measured size is under ``limit`` goes
+    to every executor; a larger one is searched in blocks of about ``block`` vectors, see :func:`_by_blocks`. Both ways are exact.
     """
     n, dim = bank.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n < 2:
@@ -43,6 +46,16 @@ def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, limit: int = B
     return _by_blocks(queries, bank, k, n, block)
 
 
+def _least(q: np.ndarray, q_ids: np.ndarray, bank: np.ndarray, ids: np.ndarray, norms: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` least distances of each query to vectors of other ids, in order; infinite where there are no more."""
+    d2 = _scores(q, bank, norms)
+    d2[q_ids[:, None] == ids[None, :]] = np.inf
+    near = np.argpartition(d2, k - 1, axis=1)[:, :k]
+    exact = np.sqrt(((bank[near] - q[:, None, :]) ** 2).sum(2))
+    exact[np.isinf(np.take_along_axis(d2, near, 1))] = np.inf
+    return np.sort(exact, axis=1)
+
+
 def _by_broadcast(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     rows = bank.select("vec_id", "v").toPandas()  # size checked by the caller
     mat, ids = np.stack(rows["v"].to_numpy()).astype(float), rows["vec_id"].to_numpy()
@@ -54,48 +67,130 @@ def _by_broadcast(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
         for pdf in parts:
             q_all, id_all, out = list(pdf["v"]), pdf["vec_id"].to_numpy(), []
             for at in range(0, len(id_all), width):
-                q = np.stack(q_all[at:at + width]).astype(float)
-                d2 = _scores(q, bank_m, norms)
-                d2[id_all[at:at + width][:, None] == bank_ids[None, :]] = np.inf
-                near = np.argpartition(d2, k - 1, axis=1)[:, :k]
-                exact = np.sqrt(((bank_m[near] - q[:, None, :]) ** 2).sum(2))
-                out.append(exact.mean(1))
+                d = _least(np.stack(q_all[at:at + width]).astype(float), id_all[at:at + width], bank_m, bank_ids, norms, k)
+                some = np.isfinite(d)
+                out.append(np.where(some.any(1), np.where(some, d, 0.0).sum(1) / np.maximum(some.sum(1), 1), 0.5))
             if out:
                 yield pd.DataFrame({"vec_id": id_all, "risk": np.concatenate(out)})
 
     return queries.select("vec_id", "v").mapInPandas(score, OUT)
 
 
+@dataclass
+class Index:
+    """The bank in blocks around pivots: ``rows`` (vec_id, v, blk), and for each block its pivot, rows, and least and largest distance from it."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    cell: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def build_index(bank: DataFrame, n: int, block: int, most: int = 4096) -> Index:
+    """Deal the bank to its nearest pivots; what is dealt to a pivot is split by hash into blocks of about ``block`` vectors.
+
+    Pivots, up to ``most``, are centres of a bounded sample, eight vectors for each. Every vector is in the index.
+    """
+    spark, p = bank.sparkSession, max(1, min(-(-n // block), most))
+    some = bank.orderBy(F.xxhash64("vec_id", "v")).limit(8 * p).select("v").toPandas()
+    m = np.stack(some["v"].to_numpy()).astype(float)
+    pivots = m[:p].copy()
+    for _ in range(8):
+        near = _scores(m, pivots, (pivots * pivots).sum(1)).argmin(1)
+        for i in np.unique(near):
+            pivots[i] = m[near == i].mean(0)
+    held = spark.sparkContext.broadcast((pivots, (pivots * pivots).sum(1)))
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, norms = held.value
+        for pdf in parts:
+            x = np.stack(pdf["v"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, at.shape[1]))
+            c = _scores(x, at, norms).argmin(1)
+            yield pdf.assign(cell=c.astype("int32"), r=np.sqrt(((x - at[c]) ** 2).sum(1)))
+
+    v = dict(bank.dtypes)["v"]
+    dealt = written(spark, bank.select("vec_id", "v").mapInPandas(deal, f"vec_id long, v {v}, cell int, r double"), "dealt")
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+    dealt = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")))
+    info = dealt.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("size"), F.min("r").alias("low"), F.max("r").alias("high"))
+    info = info.orderBy("cell", "part").toPandas()  # a row for each pivot and for every ``block`` vectors
+    names = spark.createDataFrame([(int(c), int(i), b) for b, (c, i) in enumerate(zip(info["cell"], info["part"]))], "cell int, part long, blk int")
+    rows = dealt.join(F.broadcast(names), ["cell", "part"]).select("vec_id", "v", "blk")
+    return Index(rows, pivots, *(info[c].to_numpy() for c in ("cell", "size", "low", "high")))
+
+
+def visits(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """Blocks that each query visits. Without a column ``kth``: the nearest ones, up to more than ``k`` vectors. With it: all others that may hold a nearer vector.
+
+    No vector of a block is nearer than the query's distance from the pivot less the block's largest, or the block's least less that distance.
+    """
+    held = queries.sparkSession.sparkContext.broadcast((index.pivots, index.cell, index.size, index.low, index.high))
+    types = dict(queries.dtypes)
+    later = "kth" in types
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, cell, size, low, high = held.value
+        norms = (pivots * pivots).sum(1)
+        for pdf in parts:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at:at + 256]
+                x = np.stack(part["v"].to_numpy()).astype(float)
+                d = np.sqrt(np.maximum(_scores(x, pivots, norms), 0.0))[:, cell]
+                grain = 1e-7 * (1.0 + np.sqrt((x * x).sum(1)) + np.sqrt(norms.max()))[:, None]
+                bound = np.maximum(np.maximum(d - high, low - d), 0.0) - grain
+                order = np.argsort(d, axis=1, kind="stable")
+                upto = np.cumsum(size[order], axis=1) - size[order]
+                first = np.zeros(d.shape, bool)
+                np.put_along_axis(first, order, upto <= k, 1)
+                i, b = np.nonzero(~first & (bound <= part["kth"].to_numpy()[:, None]) if later else first)
+                yield part.iloc[i][["row", "vec_id", "v"]].assign(blk=b.astype("int32"))
+
+    return queries.mapInPandas(ask, f"row long, vec_id long, v {types['v']}, blk int")
+
+
 def _by_blocks(queries: DataFrame, bank: DataFrame, k: int, n: int, block: int) -> DataFrame:
-    """Exact search of blocks of queries in blocks of the bank.
+    """Exact search in the blocks that may hold near vectors.
 
-    Each task holds one block of either, compares them as matrices and gives ``k`` distances for each of its queries; no
-    pair of vectors is ever a row. A query then has ``k`` rows for each block of the bank, of which the least count.
+    A query first visits the blocks around its nearest pivots; its ``k``-th distance there rules out all blocks whose bound is beyond it.
+    Each task holds one block of queries and one of the bank, compares them as matrices and gives ``k`` distances for each of its
+    queries; no pair of vectors is ever a row.
     """
-    nb, nq = -(-n // block), max(1, -(-queries.count() // block))
-    dealt = lambda d, parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    q = queries.select("vec_id", "v", dealt(queries, nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"))
-    b = bank.select("vec_id", "v", dealt(bank, nb).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    spark, index = queries.sparkSession, build_index(bank, n, block)
+    index.rows = written(spark, index.rows, "index")
+    q = written(spark, queries.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()), "queries")
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q_id": [], "d": []}).astype({"q_id": "int64", "d": "float64"})
+            return pd.DataFrame({"row": [], "d": []}).astype({"row": "int64", "d": "float64"})
         m, ids = np.stack(right["v"].to_numpy()).astype(float), right["vec_id"].to_numpy()
-        norms, vs, q_ids, out = (m * m).sum(1), list(left["v"]), left["vec_id"].to_numpy(), []
-        kk, width = min(k + 1, len(ids)), max(1, 4_000_000 // len(ids))
+        norms, vs, q_ids, rows, out = (m * m).sum(1), list(left["v"]), left["vec_id"].to_numpy(), left["row"].to_numpy(), []
+        kk, width = min(k, len(ids)), max(1, 4_000_000 // len(ids))
         for at in range(0, len(vs), width):
-            x = np.stack(vs[at:at + width]).astype(float)
-            near = np.argpartition(_scores(x, m, norms), kk - 1, axis=1)[:, :kk]  # one more, as the query itself may be among them
-            d = np.sqrt(((m[near] - x[:, None, :]) ** 2).sum(2))
-            d[ids[near] == q_ids[at:at + width][:, None]] = np.inf
-            out.append(np.sort(d, axis=1)[:, :k])
+            out.append(_least(np.stack(vs[at:at + width]).astype(float), q_ids[at:at + width], m, ids, norms, kk))
         d = np.concatenate(out)
-        got = pd.DataFrame({"q_id": np.repeat(q_ids, d.shape[1]), "d": d.ravel()})
+        got = pd.DataFrame({"row": np.repeat(rows, d.shape[1]), "d": d.ravel()})
         return got[np.isfinite(got["d"])]
 
-    near = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(tile, "q_id long, d double")
-    best = near.withColumn("rn", F.row_number().over(W.partitionBy("q_id").orderBy("d"))).filter(F.col("rn") <= k)
-    return best.groupBy(F.col("q_id").alias("vec_id")).agg(F.avg("d").alias("risk"))
+    def search(asked: DataFrame) -> DataFrame:
+        """The least distances in the blocks asked for; a block that many queries visit meets them in several tasks."""
+        asked = written(spark, asked, "asked")
+        parts = asked.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+        left = asked.join(F.broadcast(parts), "blk").select("row", "vec_id", "v", "blk", F.pmod(F.xxhash64("row"), F.col("parts")).alias("qb"))
+        homes = parts.select("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("qb"))
+        right = index.rows.join(F.broadcast(homes), "blk").select("vec_id", "v", "blk", "qb")
+        near = left.groupBy("blk", "qb").cogroup(right.groupBy("blk", "qb")).applyInPandas(tile, "row long, d double")
+        return written(spark, near, "near")
+
+    def best(near: DataFrame) -> DataFrame:
+        return near.withColumn("rn", F.row_number().over(W.partitionBy("row").orderBy("d"))).filter(F.col("rn") <= k)
+
+    first = search(visits(q, index, k))
+    kth = best(first).groupBy("row").agg(F.when(F.count(F.lit(1)) == k, F.max("d")).alias("kth"))
+    rest = q.join(kth, "row", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+    mean = best(first.unionAll(search(visits(rest, index, k)))).groupBy("row").agg(F.avg("d").alias("risk"))
+    return q.join(mean, "row", "left").select("vec_id", F.coalesce("risk", F.lit(0.5)).alias("risk"))
 
 
 def centroid(bank: DataFrame) -> list[float]:

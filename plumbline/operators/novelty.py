@@ -16,12 +16,20 @@ def is_failure(risk_over: float, mode: str = "failure_mode") -> Column:
             | (F.coalesce(c(mode) == "confident_wrong", F.lit(False)) & c("finished") & (c("n_steps") <= 3)))
 
 
-def pair_median(vectors: DataFrame, tile: int = 2048, narrow: int = 200_000) -> float | None:
-    """Exact median distance over all pairs, counted tile by tile.
+def _bracket(vectors: DataFrame, sample: int, spread: float = 0.15) -> tuple[float, float]:
+    """Distances that the median of all pairs very likely lies between: quantiles of the pairs of a bounded sample."""
+    m = np.stack(vectors.orderBy(F.xxhash64("vec_id", "v")).limit(sample).toPandas()["v"].to_numpy()).astype(float)
+    d = np.concatenate([np.sqrt(((m[i + 1:] - m[i]) ** 2).sum(1)) for i in range(len(m))])
+    return float(np.quantile(d, 0.5 - spread)), float(np.quantile(d, 0.5 + spread))
 
-    Vectors are hashed into tiles of about ``tile`` rows; a task takes one pair of tiles and returns
-    only counts per distance range. The range that holds the median is split again until it holds few
-    enough values to sort, so pairs never leave the task that forms them.
+
+def pair_median(vectors: DataFrame, tile: int = 2048, narrow: int = 200_000, sample: int = 2048, bins: int = 1 << 16) -> float | None:
+    """Exact median distance over all pairs, as a rule in two passes over the tiles of pairs.
+
+    Vectors are hashed into tiles of about ``tile`` rows; a task takes one pair of tiles and returns only counts per distance range,
+    which add up. The pairs of ``sample`` vectors say where ranges must be fine. The range that holds the median is split again if
+    it holds more than ``narrow`` values, also when the sample was wrong; then its values are counted, so pairs never leave the
+    task that forms them.
     """
     n = vectors.count()
     if n < 2:
@@ -49,9 +57,9 @@ def pair_median(vectors: DataFrame, tile: int = 2048, narrow: int = 200_000) ->
         return np.concatenate(out)
 
     norm = vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
-    low, high, below, bins = 0.0, 2.0 * norm * (1 + 1e-9) + 1e-12, 0, 4096
+    low, high, below = 0.0, 2.0 * norm * (1 + 1e-9) + 1e-12, 0
+    edges = np.unique([low, *np.linspace(*_bracket(vectors.select("vec_id", "v"), sample), bins + 1), high])
     while True:
-        edges = np.unique(np.linspace(low, high, bins + 1))
 
         def count(pdf: pd.DataFrame) -> pd.DataFrame:
             h, _ = np.histogram(distances(pdf), bins=edges)
@@ -79,6 +87,7 @@ def pair_median(vectors: DataFrame, tile: int = 2048, narrow: int = 200_000) ->
             d = got["d"].to_numpy()
             return float(sum(d[int(np.searchsorted(upto, w, side="right"))] for w in want) / 2)
         low, high, below = float(lo), float(hi), start
+        edges = np.unique(np.linspace(low, high, bins + 1))
 
 
 def novelty(new: DataFrame, known: DataFrame) -> DataFrame:

@@ -111,6 +111,33 @@ def test_search_in_many_blocks(vectors):
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
 
 
+@pytest.mark.parametrize("limit", [K.BROADCAST_BYTES, 0])
+def test_repeated_ids(spark, limit):
+    bank = spark.createDataFrame([(1, [0.0]), (1, [0.5]), (1, [1.0]), (2, [5.0]), (3, [6.0]), (4, [9.0])], "vec_id long, v array<double>")
+    q = spark.createDataFrame([(1, [0.0]), (1, [8.0]), (7, [0.0])], "vec_id long, v array<double>")
+    got = sorted((r.vec_id, r.risk) for r in K.nearest_mean(q, bank, 2, limit, 2).collect())
+    assert got == [(1, 1.5), (1, 5.5), (7, 0.25)]
+    few = K.nearest_mean(q.filter("vec_id = 1 AND v[0] = 0"), bank.filter("vec_id < 3"), 3, limit, 2).collect()
+    none = K.nearest_mean(q.filter("vec_id = 1"), bank.filter("vec_id = 1"), 2, limit, 2).collect()
+    assert [r.risk for r in few] == [5.0] and {r.risk for r in none} == {0.5}
+
+
+def test_index_visits_few_blocks_of_a_clustered_bank(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 10, (40, 8))
+    m = centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.1, (4000, 8))
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, v array<double>")
+    q = d.filter("vec_id % 20 = 0")
+    index = K.build_index(d, len(m), 20)
+    asked = q.withColumn("row", F.col("vec_id"))
+    first = K.visits(asked, index, 3).count()
+    rest = K.visits(asked.withColumn("kth", F.lit(1.0)), index, 3).count()  # beyond every third distance here
+    assert sum(index.size) == 4000 and first + rest < 200 * len(index.size) / 10
+    got = {r.vec_id: r.risk for r in K._by_blocks(q, d, 3, len(m), 20).collect()}
+    want = {i: np.mean(sorted(np.linalg.norm(m - m[i], axis=1))[1:4]) for i in got}
+    assert len(got) == 200 and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
 def test_unfitted_bank(vectors):
     _, d = vectors
     assert {r.risk for r in K.nearest_mean(d, d.filter("vec_id < 1")).collect()} == {0.5}
@@ -130,6 +157,19 @@ def test_pair_median(vectors, tile, narrow):
     assert N.pair_median(d, tile, narrow) == pytest.approx(want, abs=1e-12)
 
 
+def test_pair_median_takes_two_passes(spark, vectors, monkeypatch):
+    from pyspark.sql import GroupedData
+    m, d = vectors
+    calls, run = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *a: (calls.append(1), run(*a))[1])
+    want = np.median([np.linalg.norm(a - b) for a, b in itertools.combinations(m, 2)])
+    assert N.pair_median(d, 25, 300, sample=60) == pytest.approx(want, abs=1e-12) and len(calls) == 2
+    far = spark.createDataFrame([(i, [0.0 if i < 40 else 1e6 + i]) for i in range(60)], "vec_id long, v array<double>")
+    x = [0.0 if i < 40 else 1e6 + i for i in range(60)]
+    want = np.median([abs(a - b) for a, b in itertools.combinations(x, 2)])
+    assert N.pair_median(far, 25, 300, sample=3, bins=64) == pytest.approx(want, abs=1e-9)  # the sample may mislead
+
+
 def test_models_separate_and_repeat(spark):
     rng = np.random.default_rng(0)
     rows = [(i, float(i % 2 + rng.normal(0, 0.4)), float(rng.normal()), i % 2) for i in range(120)]
