@@ -35,7 +35,7 @@ def i7_stream(spark, base):
 
 @query("i9_suppression_stream", ORACLE["i9_suppressed_alerts"])
 def i9_stream(spark, base):
-    d = J.run_now(J.keyed_fold(as_stream(alerts(spark, base)), ["domain", "mode"], ["ts", "chain_id"], folds.Dedup(3600)))
+    d = J.run_now(J.keyed_fold(as_stream(alerts(spark, base)), ["domain", "mode"], ["ts", "chain_id"], folds.Dedup(3600), ttl=3600))
     return d.filter("NOT late").select("domain", "mode", "ts", "chain_id")
 
 

@@ -107,6 +107,10 @@ class Drift:
         return state, pd.DataFrame(out, columns=["seq", "ts", "severity", "detector", "psi", "cusum", "n_samples", "threshold"])
 
 
+    def counts_from(self, state: dict, last: int) -> int:
+        """The time from which a state's life counts: that of its last row."""
+        return last
+
     def since(self, s: dict) -> int | None:
         """The row at which the baseline was complete."""
         return None if s["base"] is None else s["start"]
@@ -224,6 +228,9 @@ class Cisc:
         run = {k: v.astype("int64").cumsum() + counts.get(k, 0) for k, v in new.items()}
         return {k: int(v.iloc[-1]) for k, v in run.items()}, pdf.assign(**run)
 
+    def counts_from(self, state: list, last: int) -> int:
+        return last
+
     def init(self) -> list:
         return [fixed.CISC_HIGH, fixed.CISC_LOW]
 
@@ -322,6 +329,10 @@ class Dedup:
     def number(self, counts: dict, pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
         return counts, pdf
 
+    def counts_from(self, state: dict, last: int) -> int:
+        """That of the last alert that fired: once the window is over nothing is suppressed any more."""
+        return last if state["last"] is None else state["last"]
+
     def init(self) -> dict:
         return {"last": None}
 

@@ -28,12 +28,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class FoldProcessor(StatefulProcessor):
-    """Runs a fold per key."""
+    """Runs a fold per key. With ``ttl`` a key's state ends that many seconds of event time after the row that it counts from."""
 
-    def __init__(self, fold, keys: Sequence[str], order: Sequence[str]):
-        self.fold, self.keys, self.order = fold, list(keys), list(order)
+    def __init__(self, fold, keys: Sequence[str], order: Sequence[str], ttl: int | None = None):
+        self.fold, self.keys, self.order, self.ttl = fold, list(keys), list(order), ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("fold", "state string, counts string, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -45,8 +46,13 @@ class FoldProcessor(StatefulProcessor):
         if len(pdf):
             counts, pdf = self.fold.number(counts, pdf)
             state, res = self.fold.run(state, pdf)
-            self.state.update((json.dumps(state), json.dumps(counts), int(pdf["ts"].max())))
+            last = int(pdf["ts"].max())
+            self.state.update((json.dumps(state), json.dumps(counts), last))
             out.append(res.assign(late=False))
+            if self.ttl is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer((self.fold.counts_from(state, last) + self.ttl) * 1000)
         if len(late):
             names = [p.split()[0] for p in self.fold.out.split(", ")]
             out.append(pd.DataFrame({n: late[n] if n in late.columns else None for n in names}).assign(late=True))
@@ -56,16 +62,27 @@ class FoldProcessor(StatefulProcessor):
                     part.insert(i, k, key[i])
                 yield part
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fold) -> DataFrame:
-    """Streaming form of a fold: drift detectors, adaptive thresholds, alert suppression."""
+def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fold, ttl: int | None = None, lateness: str = "1 minute") -> DataFrame:
+    """Streaming form of a fold: drift detectors, adaptive thresholds, alert suppression.
+
+    With ``ttl`` seconds of event time without a row that counts, a key leaves the state; it starts anew when it comes again. Rows more
+    than ``lateness`` behind the stream are then dropped. Suppression loses nothing by a ``ttl`` of its window; detectors and thresholds
+    take a long one. Of alerts of one second that come in different batches the first to arrive fires.
+    """
     types = dict(stream.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + fold.out + ", late boolean"
+    if ttl is not None:
+        stream = stream.withColumn("_at", F.timestamp_seconds("ts")).withWatermark("_at", lateness)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        FoldProcessor(fold, keys, order), outputStructType=schema, outputMode="Append", timeMode="None")
+        FoldProcessor(fold, keys, order, ttl), outputStructType=schema, outputMode="Append", timeMode="None" if ttl is None else "EventTime")
 
 
 class LiveChain(StatefulProcessor):
@@ -74,13 +91,14 @@ class LiveChain(StatefulProcessor):
     Steps are taken in the order of their numbers. One that is ahead waits in the state until those before it have
     come, or until the chain has been idle for ``idle_ms`` of event time beyond its latest step; then it is scored as
     the next one there is, with status ``gap``. A number that was taken already comes back as ``late`` without a score.
+    An idle chain keeps its sums for ``keep_ms`` more, so that a step after the pause goes on from there; then it leaves the state.
     """
 
     out = ("chain_id long, t int, risk_score double, risk string, abort boolean, status string")
     names = ["chain_id", "t", "risk_score", "risk", "abort", "status"]
 
-    def __init__(self, idle_ms: int = 3_600_000, abort_at: float = 0.65):
-        self.idle, self.abort_at = idle_ms, abort_at
+    def __init__(self, idle_ms: int = 3_600_000, abort_at: float = 0.65, keep_ms: int = 86_400_000):
+        self.idle, self.abort_at, self.keep = idle_ms, abort_at, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -89,7 +107,7 @@ class LiveChain(StatefulProcessor):
     @staticmethod
     def fresh() -> dict:
         return {"n": 0, "acts": [], "gap": [0.0, 0], "used": [0.0, 0], "coh": [0.0, 0], "words": [0, 0], "first": None, "last": None,
-                "risks": 0, "prev": None, "next": 0, "held": {}, "at": 0}
+                "risks": 0, "prev": None, "next": 0, "held": {}, "at": 0, "idle": False}
 
     @staticmethod
     def step(s: dict, row: dict) -> float:
@@ -139,6 +157,7 @@ class LiveChain(StatefulProcessor):
                 s["held"][str(idx)] = {k: None if k != "tt" and pd.isna(v) else v for k, v in row.items() if k != "chain_id"}
         while str(s["next"]) in s["held"]:
             out.append(self._scored(key, s, s["next"], s["held"].pop(str(s["next"])), "scored"))
+        s["idle"] = False
         self.state.update((json.dumps(s),))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
@@ -149,7 +168,12 @@ class LiveChain(StatefulProcessor):
         got = self.state.get()
         s = json.loads(got[0]) if got is not None else self.fresh()
         out = [self._scored(key, s, i, s["held"][str(i)], "gap") for i in sorted(map(int, s["held"]))]
-        self.state.clear()
+        if s["idle"]:
+            self.state.clear()
+        else:
+            s["held"], s["idle"] = {}, True
+            self.state.update((json.dumps(s),))
+            self.handle.registerTimer(s["at"] + self.idle + self.keep)
         yield pd.DataFrame(out, columns=self.names).astype({"chain_id": "int64", "t": "int32", "risk_score": "float64", "risk": "object", "abort": "object",
                                                             "status": "object"})
 
@@ -171,10 +195,10 @@ def live_steps(steps: DataFrame) -> DataFrame:
                     F.when(F.col("_th") != "", T.word_count(F.col("_th"))).cast("double").alias("th_words"))
 
 
-def live_scores(step_stream: DataFrame, lateness: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
-    """Prefix score of each chain as its steps arrive; idle chains leave the state. Steps older than the watermark are dropped by Spark."""
+def live_scores(step_stream: DataFrame, lateness: str = "1 hour", idle_ms: int = 3_600_000, keep_ms: int = 86_400_000) -> DataFrame:
+    """Prefix score of each chain as its steps arrive; chains that stay idle leave the state. Steps older than the watermark are dropped by Spark."""
     return live_steps(step_stream).withWatermark("at", lateness).groupBy("chain_id").transformWithStateInPandas(
-        LiveChain(idle_ms), outputStructType=LiveChain.out, outputMode="Append", timeMode="EventTime")
+        LiveChain(idle_ms, keep_ms=keep_ms), outputStructType=LiveChain.out, outputMode="Append", timeMode="EventTime")
 
 
 def fan_out(joined: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from plumbline.session import new_dir
-from plumbline.streaming import jobs as J
+from plumbline.streaming import folds, jobs as J
 
 KIND = "chain_id long, step_idx int, at timestamp, thought string, action_type string, action_arg string, observation string"
 
@@ -36,6 +36,37 @@ def test_idle_chain_leaves_and_its_waiting_steps_are_scored(spark):
         (1, 1, "scored"), (1, 2, "gap"), (2, 1, "scored"), (2, 1, "scored"), (2, 2, "scored")]
 
 
+def test_step_after_a_pause_goes_on_where_the_chain_stopped(spark):
+    got, risks = run(spark, [[(1, 0, 0), (1, 1, 1)], [(2, 0, 100)], [(2, 1, 200)], [(1, 2, 201), (1, 1, 201)], [(2, 2, 202)]])
+    assert [r for r in got if r[0] == 1] == [(1, 1, "scored"), (1, 2, "late"), (1, 2, "scored"), (1, 3, "scored")]
+    _, plain = run(spark, [[(1, 0, 0), (1, 1, 1), (1, 2, 2)]])
+    assert all(risks[1, t] == plain[1, t] for t in (1, 2, 3))
+
+
+def test_alert_state_ends_with_its_window(spark):
+    J.use_rocksdb(spark)
+    rows = [("a", 0, 1), ("a", 10, 2), ("b", 20, 3), ("a", 290, 4), ("a", 300, 5), ("b", 500, 6), ("c", 5000, 7), ("c", 9000, 8), ("b", 9001, 9)]
+    path = new_dir(spark, "alerts")
+    for k, t, c in rows:
+        spark.createDataFrame([(k, t + 1000, c)], "domain string, ts long, chain_id long").coalesce(1).write.mode("append").parquet(path)
+    s = J.stream_of(spark, path, spark.read.parquet(path).schema, 1)
+    out, check = new_dir(spark, "sink"), new_dir(spark, "check")
+    d = J.keyed_fold(s, ["domain"], ["ts", "chain_id"], folds.Dedup(300), ttl=300)
+    d.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.domain, r.ts - 1000) for r in spark.read.parquet(out).collect()) == [("a", 0), ("a", 300), ("b", 20), ("b", 500), ("b", 9001), ("c", 5000), ("c", 9000)]
+    left = spark.read.format("statestore").option("stateVarName", "fold").load(check).select("key.domain").collect()
+    assert {r.domain for r in left} <= {"b", "c"}  # the last fired at 9001 and 9000, "a" at 300
+
+
+def test_alerts_reach_a_callback_batch_by_batch(spark):
+    rows = [(i, i % 3 == 0, i) for i in range(30)]
+    d = spark.createDataFrame(rows, "chain_id long, needs_alert boolean, ts long")
+    s, got = J.stream_of(spark, J.sliced(d, "ts", 3, 1), d.schema, 1), []
+    J.alert_batches(s, lambda batch, number: got.append((number, [r.chain_id for r in batch.collect()])), new_dir(spark, "check")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert [n for n, _ in got] == [0, 1, 2] and sorted(c for _, cs in got for c in cs) == list(range(0, 30, 3))
+
+
 def test_batch_state_survives_a_restart(spark):
     rows = [(i, i, (i * 37 % 100) / 100, int(i * 37 % 100 > 50), "ab"[i % 2]) for i in range(90)]
     d = spark.createDataFrame(rows, "ts long, chain_id long, score double, label int, domain string")
