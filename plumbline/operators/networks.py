@@ -117,7 +117,7 @@ class Networks:
 
 def fit(df: DataFrame, names: Sequence[str], label: str, row: Column, scale: tuple[list[float], list[float], int], layers: Sequence[int], members: int = 1,
         share: float | None = None, alpha: float = 1e-4, validation: float = 0.1, epochs: int = 500, seed: int = 42, batch: int = 200,
-        rate: float = 1e-3, every: int = 10, patience: int = 2, shard: int = 1 << 16) -> Networks:
+        rate: float = 1e-3, every: int = 25, patience: int = 2, shard: int = 1 << 16) -> Networks:
     """Train ``members`` networks with hidden ``layers`` on the columns ``names``; ``row`` tells rows apart, ``scale`` is their means, deviations and number.
 
     With ``share`` each member draws each row a Poisson(share) number of times, else it takes all. ``alpha`` is the

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed
 from plumbline.functions import risk as R, text as T
-from plumbline.operators import failure as X, features as D
+from plumbline.operators import failure as X, features as D, models
 from plumbline.operators.ordered import histogram, running_sums, value_blocks
 
 
@@ -41,6 +41,33 @@ def chain_scores(steps: DataFrame, chains: DataFrame, second_risk: Column | None
         "step_count": F.col("n_search")})
 
 
+#: The structural model's features and the signals they are.
+STRUCTURE = {"sc2_step_count": "sc2", "sc3_obs_thought_gap": "sc3", "sc5_thought_len": "sc5"}
+
+
+def model_scores(steps: DataFrame, chains: DataFrame, table, judge_raw: Column | None = None, structural: bool = True, local: bool = True,
+                 alert_at: float = fixed.ALERT_AT) -> DataFrame:
+    """Full score with the first second opinion there is: the promoted structural model, the local one, the judge's reply.
+
+    ``table`` is a :class:`~plumbline.operators.model_table.ModelTable`. The opinion weighs 3 to 1; labels are STRUCTURAL, LOCAL or
+    the judge's. Without any the behavioural score stands alone.
+    """
+    if structural and (m := table.current("structural")):
+        model, scale = m
+        d = D.nano_signals(steps, chains, X.GUARD_KINDS).withColumns({k: F.col(v) for k, v in STRUCTURE.items()})
+        second, label = models.rescaled(d, model.names, scale).select(*d.columns, model.risk().alias("second")), F.lit("STRUCTURAL")
+    elif local and (m := table.current("local")):
+        model, _ = m
+        d = D.nano_signals(steps, chains, X.GUARD_KINDS)
+        risk = D.fifteen_features(steps, chains).select("chain_id", model.risk().alias("second"))
+        second, label = d.join(risk, "chain_id", "left"), F.lit("LOCAL")
+    else:
+        label = R.judge_label(judge_raw) if judge_raw is not None else F.lit(None).cast("string")
+        second = D.nano_signals(steps, chains, X.GUARD_KINDS).withColumn("second", R.judge_risk(label))
+    d = second.withColumns({"failure_mode": X.guard_mode(), "judge_label": label, "step_count": F.col("n_search")})
+    return verdict(d, R.blend(F.col("behaviour"), F.col("second")), alert_at)
+
+
 def question_only(chains: DataFrame) -> DataFrame:
     """Score of a chain before it has run: no steps and no answer."""
     q = F.size(T.content_tokens(T.text("question")))

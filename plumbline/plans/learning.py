@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import risk as R
-from plumbline.operators import calibration as C, features as D, models as G
+from plumbline.operators import calibration as C, features as D, models as G, scoring as Z
+from plumbline.operators.model_table import ModelTable
 from plumbline.plans import views as V
+from plumbline.plans.fits import logistic_sql, risk_sql
 from plumbline.plans.registry import query
 from plumbline.plans.scores import bank_and_queries
 from plumbline.plans.traces import r6
-from plumbline.plans.views import with_views
+from plumbline.plans.views import sql_tier, with_views
 from plumbline.session import written, written_once
 from plumbline.streaming.replay import numbered
 
@@ -28,33 +30,73 @@ def g1(spark, base):
     return d.select("chain_id", "wrong", *[F.round(m.risk(), 6).alias("risk")], F.lit(cv).cast("double").alias("cv_auroc"))
 
 
-@query("g2_local_verifier")
+V.cte("fifteen_l", "SELECT f.*, l.wrong FROM fifteen_v f JOIN labelled_v l USING (chain_id)", "fifteen_v", "labelled_v")
+LOCAL_SQL = logistic_sql("fifteen_l", D.FIFTEEN, balanced=True)
+
+
+@query("g2_local_verifier", with_views(LOCAL_SQL + f"SELECT chain_id, wrong, round({risk_sql(D.FIFTEEN)}, 6) AS risk FROM fifteen_l, lr", "fifteen_l"))
 def g2(spark, base):
     d = labelled_features(spark, base)
     m = G.fit_linear(d, D.FIFTEEN, balanced=True)
     return d.select("chain_id", "wrong", F.round(m.risk(), 6).alias("risk"))
 
 
-@query("g3_importances")
+@query("g3_importances", with_views(LOCAL_SQL + " UNION ALL ".join(f"SELECT '{n}' AS feature, round(abs(b{i}), 4) AS importance FROM lr" for i, n in enumerate(D.FIFTEEN)), "fifteen_l"))
 def g3(spark, base):
     m = G.fit_linear(labelled_features(spark, base), D.FIFTEEN, balanced=True)
     return spark.createDataFrame(m.importances(), "feature string, importance double")
 
 
 STRUCTURE = ["sc2_step_count", "sc3_obs_thought_gap", "sc5_thought_len"]
+_SCALED = ", ".join(f"({n} - avg_{i}) / dev_{i} AS {n}" for i, n in enumerate(STRUCTURE))
+V.cte("target_v", "SELECT count(*) AS target_n, " + ", ".join(
+    f"avg({n}) AS avg_{i}, CASE WHEN stddev_pop({n}) < 1e-8 THEN 1.0 ELSE stddev_pop({n}) END AS dev_{i}" for i, n in enumerate(STRUCTURE)) + " FROM fifteen_v", "fifteen_v")
+V.cte("structure_l", f"SELECT chain_id, wrong, {_SCALED} FROM fifteen_l, target_v", "fifteen_l", "target_v")
+V.cte("structure_v", f"SELECT chain_id, {_SCALED} FROM fifteen_v, target_v", "fifteen_v", "target_v")
+STRUCTURAL_SQL = logistic_sql("structure_l", STRUCTURE, balanced=True)
 
 
-@query("g4_structural_verifier")
-def g4(spark, base):
-    """Fitted on labelled chains, scaled to all unlabelled ones."""
+def structural(spark, base):
+    """Fitted on labelled chains, scaled to all unlabelled ones: model, scale and the target rows."""
     d = labelled_features(spark, base)
     target = D.fifteen_features(V.steps(spark, base), V.chains(spark, base)).select("chain_id", *STRUCTURE)
     target = written(spark, target, "target")
     scale = G.target_scale(target, STRUCTURE)
-    m = G.fit_linear(G.rescaled(d, STRUCTURE, scale), STRUCTURE, balanced=True)
+    return G.fit_linear(G.rescaled(d, STRUCTURE, scale), STRUCTURE, balanced=True), scale, target
+
+
+@query("g4_structural_verifier", with_views(STRUCTURAL_SQL + f"SELECT chain_id, round({risk_sql(STRUCTURE)}, 6) AS risk FROM structure_v, lr", "structure_l", "structure_v"))
+def g4(spark, base):
+    m, scale, target = structural(spark, base)
     return G.rescaled(target, STRUCTURE, scale).select("chain_id", F.round(m.risk(), 6).alias("risk"))
 
 
+def model_score_sql(fit: str, risk: str, label: str, *views: str) -> str:
+    return with_views(fit + f""", s AS (SELECT chain_id, {risk} AS second FROM {views[-1]}, lr), r AS (SELECT nano_v.*, (behaviour + 3.0 * second) / 4.0 AS risk FROM nano_v JOIN s USING (chain_id))
+SELECT chain_id, round(risk, 6) AS risk_score, {sql_tier('risk')} AS tier, risk >= 0.7 AS needs_alert, guard_mode AS failure_mode, '{label}' AS judge_label, n_search AS step_count, round(behaviour, 6) AS behaviour FROM r""", *views, "nano_v")
+
+
+def scored_by(spark, base, table, **how):
+    d = Z.model_scores(V.steps(spark, base), V.chains(spark, base), table, **how)
+    return d.select("chain_id", "tier", "needs_alert", "failure_mode", "judge_label", "step_count", *r6("risk_score", "behaviour"))
+
+
+@query("f4_structural_opinion", model_score_sql(STRUCTURAL_SQL, risk_sql(STRUCTURE), "STRUCTURAL", "structure_l", "structure_v"))
+def f4_structural(spark, base):
+    """Both models are in the table; the structural one comes first."""
+    table, (m, scale, _) = ModelTable(spark), structural(spark, base)
+    table.offer("local", G.fit_linear(labelled_features(spark, base), D.FIFTEEN, balanced=True), None)
+    table.offer("structural", m, None, target=scale)
+    return scored_by(spark, base, table)
+
+
+@query("f4_local_opinion", model_score_sql(LOCAL_SQL, risk_sql(D.FIFTEEN), "LOCAL", "fifteen_l", "fifteen_v"))
+def f4_local(spark, base):
+    table = ModelTable(spark)
+    table.offer("local", G.fit_linear(labelled_features(spark, base), D.FIFTEEN, balanced=True), None)
+    return scored_by(spark, base, table)
+
+
 def isotonic_sql(view: str, fit_score: str, score: str) -> str:
     """Max-min form of the monotone fit on distinct scores, linear between them."""
     return f"""
@@ -86,21 +128,27 @@ def g6(spark, base):
     return G.fit_isotonic(d, "behaviour", "wrong", 20)(d, "behaviour").select("chain_id", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query("g7_fit_report")
+@query("g7_fit_report", with_views(LOCAL_SQL + f""", r AS (SELECT wrong, round({risk_sql(D.FIFTEEN)}, 9) AS risk FROM fifteen_l, lr)
+SELECT (SELECT count(*) FROM r) AS n_runs, (SELECT count(*) FROM r WHERE wrong = 0) AS n_correct, (SELECT count(*) FROM r WHERE wrong = 1) AS n_wrong,
+ round(avg(CASE WHEN a.risk > b.risk THEN 1.0::DOUBLE WHEN a.risk = b.risk THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auroc FROM r a, r b WHERE a.wrong = 1 AND b.wrong = 0""", "fifteen_l"))
 def g7(spark, base):
+    """Counts and AUROC of a fit; needs five runs."""
     d = labelled_features(spark, base)
+    if d.count() < 5:
+        raise ValueError("at least 5 runs are needed")
     m = G.fit_linear(d, D.FIFTEEN, balanced=True)
-    a = C.auroc(d.withColumn("risk", m.risk()), "risk", "wrong")
+    a = C.auroc(d.withColumn("risk", F.round(m.risk(), 9)), "risk", "wrong")
     return a.select((F.col("n_wrong") + F.col("n_right")).cast("long").alias("n_runs"), F.col("n_right").cast("long").alias("n_correct"),
                     F.col("n_wrong").cast("long").alias("n_wrong"), F.round("auroc", 6).alias("auroc"))
 
 
 @query("g8_promotion_gate")
 def g8(spark, base):
-    d = labelled_features(spark, base, "eleven")
-    new = G.cross_validated(d, "chain_id", D.ELEVEN, fit=lambda train: G.fit_pair(train, D.ELEVEN))
-    old = G.cross_validated(d, "chain_id", ["steps_norm"])
-    return spark.createDataFrame([(old, new, G.promote(new, old))], "stored_auroc double, new_auroc double, promoted boolean")
+    """Three runs against one table: the first model is stored, the others replace the stored one only if they are better by more than .005."""
+    d, table = labelled_features(spark, base, "eleven"), ModelTable(spark)
+    for names, fit in ((["steps_norm"], None), (D.ELEVEN, lambda train: G.fit_pair(train, D.ELEVEN)), (["steps_norm"], None)):
+        table.offer("mini_judge", G.fit_linear(d, names), G.cross_validated(d, "chain_id", names, fit=fit))
+    return table.versions().select("version", F.col("stored").alias("stored_auroc"), F.col("metric").alias("new_auroc"), "promoted")
 
 
 @query("g9_before_after")
@@ -196,7 +244,11 @@ def g18(spark, base):
 FIVE = ["risk_score", "beh_score", "ptrue_score", "n_steps_norm", "tier_num"]
 
 
-@query("g19_label_model")
+_FIVE_SQL = "risk_score, risk_score * 0.8 AS beh_score, k / 100.0::DOUBLE AS ptrue_score, n_steps / 10.0::DOUBLE AS n_steps_norm, CASE tier WHEN 'HIGH' THEN 0.0 WHEN 'MEDIUM' THEN 1.0 ELSE 2.0 END::DOUBLE AS tier_num"
+V.cte("five_v", f"SELECT chain_id, CASE WHEN label = 'incorrect' THEN 1 ELSE 0 END AS wrong, {_FIVE_SQL} FROM feedback_v JOIN scored_v USING (chain_id)", "feedback_v", "scored_v")
+
+
+@query("g19_label_model", with_views(logistic_sql("five_v", FIVE) + f"SELECT chain_id, round({risk_sql(FIVE)}, 6) AS risk FROM five_v, lr", "five_v"))
 def g19(spark, base):
     """Needs 30 labels with 5 of each class."""
     s = V.scored(spark, base)

@@ -335,14 +335,16 @@ def d2(spark, base):
     return D.eleven_features(V.steps(spark, base), V.chains(spark, base)).select("chain_id", "n", *r6(*D.ELEVEN))
 
 
-@query("d3_fifteen_features", with_views(f"""
-SELECT chain_id, n, {", ".join(f"round({e}, 6) AS {n}" for n, e in zip(D.FIFTEEN, [
+V.cte("fifteen_v", f"""SELECT chain_id, n, {", ".join(f"{e} AS {n}" for n, e in zip(D.FIFTEEN, [
  "sc1", "sc2", "sc3", "sc5", "sc6", "sc11", "coalesce(sc9,0.5::DOUBLE)", "coalesce(sc10,0.5::DOUBLE)", "coalesce(sc12,0.5::DOUBLE)", "least(n/10.0::DOUBLE,1.0)",
  "least(n_search/8.0::DOUBLE,1.0)", "CASE WHEN n >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
  f"CASE WHEN len({sql_caps('final_answer')}) > 0 THEN {sql_shared(sql_caps('final_answer'), sql_caps('obs_all'))}::DOUBLE / len({sql_caps('final_answer')}) ELSE 0.5::DOUBLE END",
  "CASE WHEN (" + FACTOID_SQL.replace('text', 'question') + f") AND len({sql_words('final_answer')}) > 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
  f"CASE WHEN len({sql_caps('question')}) > 0 THEN {sql_shared(sql_caps('question'), sql_caps('obs_all'))}::DOUBLE / len({sql_caps('question')}) ELSE 0.5::DOUBLE END"]))}
-FROM nano_v""", "nano_v"))
+FROM nano_v""", "nano_v")
+
+
+@query("d3_fifteen_features", with_views(f"SELECT chain_id, n, {q6(*D.FIFTEEN)} FROM fifteen_v", "fifteen_v"))
 def d3(spark, base):
     return D.fifteen_features(V.steps(spark, base), V.chains(spark, base)).select("chain_id", "n", *r6(*D.FIFTEEN))
 
