@@ -226,6 +226,11 @@ def bandit_arms(log: DataFrame, arms: DataFrame, arm: Sequence[str], reward: str
     return d.join(F.broadcast(pick)).withColumn("next", F.col("pos") == F.col("_pick")).drop("_pick")
 
 
+def top_arms(table: DataFrame, n: int = 5) -> DataFrame:
+    """The arms of highest mean reward that were pulled at all, earlier ones first on equal reward."""
+    return table.filter("pulls > 0").orderBy(F.desc("mean_reward"), "pos").limit(n)
+
+
 def nearest_arm(weight: Column) -> Column:
     """Closest candidate weight, the earlier one on equal distance."""
     gaps = F.array(*[F.struct(F.abs(weight - a).alias("d"), F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(fixed.BANDIT_ARMS)])

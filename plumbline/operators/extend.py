@@ -3,26 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators import features as D
+from plumbline.operators.ordered import STEP_BLOCK
 
-_EXTRACTORS: dict[str, Callable[[], Mapping[str, Column]]] = {"react": D.react_step_columns}
 
+@dataclass(frozen=True)
+class StepAggregate:
+    """How a chain's features come from its steps, in parts that merge.
 
-def register_extractor(domain: str, columns: Callable[[], Mapping[str, Column]]) -> None:
-    """Name a set of per-step expressions; they may use ``prev_thought`` and ``prev_action``."""
-    _EXTRACTORS[domain] = columns
+    ``update`` are aggregates over the step columns (and ``step_idx``) of one block of a chain, ``merge`` aggregates of the
+    same names over the blocks' results (and ``block``, their number in order), ``finish`` the features over the merged ones.
+    A chain without steps has ``empty`` for each feature.
+    """
+
+    update: Mapping[str, Column]
+    merge: Mapping[str, Column]
+    finish: Mapping[str, Column]
+    empty: float = 0.0
+
+
+_EXTRACTORS: dict[str, tuple[Callable[[], Mapping[str, Column]], Callable[[], StepAggregate] | None]] = {"react": (D.react_step_columns, None)}
+
+
+def register_extractor(domain: str, columns: Callable[[], Mapping[str, Column]], aggregate: Callable[[], StepAggregate] | None = None) -> None:
+    """Name a set of per-step expressions, which may use ``prev_thought`` and ``prev_action``; the mean of each is a feature unless ``aggregate`` says otherwise."""
+    _EXTRACTORS[domain] = columns, aggregate
 
 
-def domain_features(steps: DataFrame, chains: DataFrame, domain: str) -> DataFrame:
-    """Mean step features of a registered domain."""
+def domain_features(steps: DataFrame, chains: DataFrame, domain: str, block: int = STEP_BLOCK) -> DataFrame:
+    """Features of a registered domain."""
     if domain not in _EXTRACTORS:
         raise KeyError(f"no extractor for {domain}; known: {sorted(_EXTRACTORS)}")
-    return D.mean_step_features(steps, chains, _EXTRACTORS[domain]())
+    columns, aggregate = _EXTRACTORS[domain]
+    if aggregate is None:
+        return D.mean_step_features(steps, chains, columns())
+    return D.aggregated_step_features(steps, chains, columns(), aggregate(), block)
 
 
 def judged(chains: DataFrame, judge: Callable[[pd.DataFrame], pd.Series], columns: list[str], name: str = "judge_score") -> DataFrame:

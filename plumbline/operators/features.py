@@ -271,6 +271,16 @@ def mean_step_features(steps: DataFrame, chains: DataFrame, columns: Mapping[str
     return d.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in columns})
 
 
+def aggregated_step_features(steps: DataFrame, chains: DataFrame, columns: Mapping[str, Column], how, block: int) -> DataFrame:
+    """Features by an own aggregate (see ``extend.StepAggregate``); a chain of many steps is several blocks, which merge."""
+    s = with_previous(_clean_steps(steps), "chain_id", "step_idx", {"prev_thought": "thought", "prev_action": "action_type"}, block, "block")
+    s = s.select("chain_id", "block", "step_idx", *[c.alias(n) for n, c in columns.items()])
+    parts = s.groupBy("chain_id", "block").agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in how.update.items()])
+    m = parts.groupBy("chain_id").agg(F.sum("n").alias("n"), *[c.alias(n) for n, c in how.merge.items()])
+    d = _attach(chains, m.select("chain_id", "n", *[c.cast("double").alias(n) for n, c in how.finish.items()]))
+    return d.withColumns({n: F.coalesce(F.col(n), F.lit(how.empty)) for n in how.finish})
+
+
 def nine_features(steps: DataFrame, chains: DataFrame) -> DataFrame:
     """Nine step-extractor features with their chain-level overrides."""
     d = mean_step_features(steps, chains, react_step_columns())

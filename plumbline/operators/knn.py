@@ -229,6 +229,12 @@ def retrieval_quality(questions: DataFrame, observations: DataFrame, key: str, g
                           "low_retrieval_quality": F.col("mean_sim") < 0.30})
 
 
+def observation_similarities(questions: DataFrame, observations: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Cosine of a question with each observation of its chain, one row each."""
+    j = observations.join(questions.select(key, F.col("v").alias("qv")), key)
+    return j.select(key, row_id, cosine(F.col("v"), F.col("qv")).alias("similarity"))
+
+
 def share_above(calibration: DataFrame, tests: DataFrame, value: str, blocks: int = 256) -> DataFrame:
     """Share of calibration values above each test value, by running counts instead of a range join."""
     from plumbline.operators.ordered import running_sums, value_blocks

@@ -223,6 +223,17 @@ def density_risk(pool: DataFrame, score: DataFrame, dims: int = 32, k: int = 4,
     return pca.transform(score.select("vec_id", x.alias("x"))).select("vec_id", surprise(vector_to_array("p")).alias("surprise"))
 
 
+def density_ranks(pool: DataFrame, score: DataFrame, dims: int = 32, parts: tuple[int, ...] = (2, 4), min_rows: int = 5, seed: int = 42) -> DataFrame:
+    """Mean relative rank of a vector's surprise under mixtures of several sizes, 0 for the most usual row and 1 for the least."""
+    from plumbline.operators.scoring import relative_ranks
+    d = None
+    for k in parts:
+        one = density_risk(pool, score, dims, k, min_rows, seed).withColumnRenamed("surprise", f"_s{k}")
+        d = one if d is None else d.join(one, "vec_id")
+    d = relative_ranks(written(pool.sparkSession, d, "surprise"), {f"_s{k}": f"_r{k}" for k in parts})
+    return d.select("vec_id", (sum((F.col(f"_r{k}") for k in parts), F.lit(0.0)) / float(len(parts))).alias("risk"))
+
+
 def average_parameters(params: DataFrame) -> DataFrame:
     """Mean of parameters over sites, weighted by each site's number of chains."""
     return params.groupBy("component", "position").agg((F.sum(F.col("value") * F.col("n_chains")) / F.sum("n_chains")).alias("value"))

@@ -11,6 +11,7 @@ from plumbline.plans import views as V
 from plumbline.plans.fits import logistic_sql, risk_sql
 from plumbline.plans.registry import query
 from plumbline.plans.scores import bank_and_queries
+from plumbline.plans.store import taxonomy
 from plumbline.plans.traces import r6
 from plumbline.plans.views import sql_tier, with_views
 from plumbline.session import written, written_once
@@ -155,7 +156,11 @@ def g8(spark, base):
 def g9(spark, base):
     d = written(spark, G.stratified(labelled_features(spark, base, "eleven"), "chain_id", "wrong", 10), "split")
     train, test = d.filter("fold < 7"), d.filter("fold >= 7")
-    extra = train.filter("wrong = 1")  # known failures enter the training side only
+    # failures of the taxonomy, chains without a label of their own, enter the training side only
+    tax = taxonomy(spark, base).withColumn("chain_id", F.col("question").cast("long")).join(d.select("chain_id"), "chain_id", "left_anti")
+    tax = written(spark, tax, "taxonomy")
+    steps = tax.select("chain_id", F.posexplode("steps").alias("step_idx", "s")).select("chain_id", F.col("step_idx").cast("long").alias("step_idx"), "s.*")
+    extra = written(spark, D.eleven_features(steps, tax.select("chain_id", "question", "final_answer", "wrong")), "extra")
     return G.before_after(train, extra, test, "chain_id", D.ELEVEN)
 
 
@@ -195,6 +200,13 @@ def g13(spark, base):
     return G.density_risk(bank, q).withColumn("surprise", F.round("surprise", 4))
 
 
+@query("g13_rank_ensemble")
+def g13_ranks(spark, base):
+    """Mixtures of two and of four parts; the mean of the two ranks."""
+    bank, q = bank_and_queries(spark, base)
+    return G.density_ranks(bank, q).withColumn("risk", F.round("risk", 6))
+
+
 @query("g14_decay_sample", with_views("""
 , a AS (SELECT domain, chain_id, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, chain_id DESC) - 1 AS age FROM scored_v),
 d AS (SELECT *, ln(-ln((CAST('0x' || sha256(CAST(chain_id AS VARCHAR))[1:8] AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)) - age / 100.0::DOUBLE * ln(0.2::DOUBLE) AS draw FROM a)
@@ -220,7 +232,9 @@ def g15(spark, base):
 
 @query("g16_failure_clusters")
 def g16(spark, base):
-    return G.failure_clusters(V.vectors(spark, base)).withColumn("distance", F.round("distance", 6))
+    """Vectors of the chains that went wrong."""
+    failed = V.scored(spark, base).filter("wrong = 1").select(F.col("chain_id").alias("vec_id"))
+    return G.failure_clusters(V.vectors(spark, base).join(failed, "vec_id", "left_semi")).withColumn("distance", F.round("distance", 6))
 
 
 @query("g17_fingerprints")

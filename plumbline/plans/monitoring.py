@@ -191,6 +191,17 @@ def i16(spark, base):
     return M.rate_notices(V.scored(spark, base)).select("domain", "ts", "n", *r6("rate"))
 
 
+@query("i16_drift_notices", with_views("""
+, p AS (SELECT domain, ts // 86400 * 86400 AS ts, count(*) AS n, avg(risk_score) AS m FROM scored_v GROUP BY ALL),
+a AS (SELECT c.domain, c.ts, c.n, c.m, b.m AS pm FROM p c JOIN p b ON b.domain = c.domain AND b.ts = c.ts - 86400 WHERE c.n >= 10 AND b.n >= 10 AND abs(c.m - b.m) > 0.01),
+f AS (SELECT domain, min(ts) AS ts FROM a GROUP BY domain UNION ALL SELECT f.domain, (SELECT min(a.ts) FROM a WHERE a.domain = f.domain AND a.ts >= f.ts + 172800) FROM f WHERE f.ts IS NOT NULL)
+SELECT 'drift:' || domain AS key, domain, ts, n, round(m, 6) AS current_mean, round(pm, 6) AS previous_mean, round(m - pm, 6) AS delta, CASE WHEN m > pm THEN 'up' ELSE 'down' END AS direction FROM f JOIN a USING (domain, ts)""", "scored_v").replace("WITH ", "WITH RECURSIVE ", 1))
+def i16_drift(spark, base):
+    """A small cut, so that the even events give notices."""
+    d = M.drift_notices(V.scored(spark, base), cut=0.01)
+    return d.select("key", "domain", "ts", "n", "direction", *r6("current_mean", "previous_mean", "delta"))
+
+
 @query("i17_monthly_usage", with_views("SELECT user_id, strftime(make_timestamp(ts * 1000000), '%Y-%m') AS month, count(*) AS used, round(count(*) / 500.0::DOUBLE, 6) AS share, count(*) > 500 AS over FROM scored_v GROUP BY ALL", "scored_v"))
 def i17(spark, base):
     return M.monthly_usage(V.scored(spark, base)).select("user_id", "month", "used", "over", *r6("share"))

@@ -49,13 +49,16 @@ SELECT chain_id, CASE WHEN length(trim(final_answer, ' ' || chr(10))) < 5 THEN '
 FROM chains_v JOIN (SELECT chain_id, count(*) AS n, count(DISTINCT CASE WHEN action_type='Search' THEN action_arg END) AS d, count(CASE WHEN action_type='Search' THEN 1 END) AS c,
  bool_or(regexp_matches(lower(observation), 'no results|not found')) AS bad FROM steps_v GROUP BY chain_id) USING (chain_id)""", "chains_v", "steps_v"))
 def e4(spark, base):
+    return documented_measures(spark, base).select("chain_id", X.documented_mode().alias("failure_mode"))
+
+
+def documented_measures(spark, base):
     s, c = V.steps(spark, base), V.chains(spark, base)
     bad = F.regexp_like(F.lower("observation"), F.lit("|".join(fixed.NO_RESULT_PHRASES)))
     m = s.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(bad).alias("any_no_result"))
     d = c.join(m, "chain_id").join(D.distinct_measures(s, c, ("open_query",)), "chain_id", "left")
-    d = d.withColumns({"answer_len": F.length(T.strip(F.col("final_answer"))), "c_open_query": F.coalesce("c_open_query", F.lit(0)),
-                       "d_open_query": F.coalesce("d_open_query", F.lit(0))})
-    return d.select("chain_id", X.documented_mode().alias("failure_mode"))
+    return d.withColumns({"answer_len": F.length(T.strip(F.col("final_answer"))), "c_open_query": F.coalesce("c_open_query", F.lit(0)),
+                          "d_open_query": F.coalesce("d_open_query", F.lit(0))})
 
 
 @query("e5_taxonomy", with_views(f"""
@@ -435,15 +438,50 @@ def f24(spark, base):
     return V.scored(spark, base).select("chain_id", F.round(F.col("n_steps") / 7.0, 6).alias("risk"))
 
 
+def question_vectors(spark, base):
+    """A label's first vector as the question, its others as observations."""
+    v = V.vectors(spark, base)
+    q = v.groupBy("label").agg(F.min_by("v", "vec_id").alias("v"), F.min("vec_id").alias("qid"))
+    return q, v.join(q.select("label", "qid"), "label").filter(F.col("vec_id") != F.col("qid"))
+
+
+@query("d12_step_similarities", with_views("""
+, q AS (SELECT label, min_by(v, vec_id) AS qv, min(vec_id) AS qid FROM vec_v GROUP BY label)
+SELECT label, vec_id, round(list_cosine_similarity(v, qv), 6) AS similarity FROM vec_v JOIN q USING (label) WHERE vec_id <> qid""", "vec_v"))
+def d12_steps(spark, base):
+    q, obs = question_vectors(spark, base)
+    return K.observation_similarities(q, obs, "label", "vec_id").select("label", "vec_id", *r6("similarity"))
+
+
+@query("e4_low_retrieval", with_views(r"""
+, q AS (SELECT label, min_by(v, vec_id) AS qv, min(vec_id) AS qid FROM vec_v GROUP BY label),
+w AS (SELECT label, avg(list_cosine_similarity(v, qv)) AS sim FROM vec_v JOIN q USING (label) WHERE vec_id <> qid GROUP BY label)
+SELECT chain_id, CASE WHEN length(trim(final_answer, ' ' || chr(10))) < 5 THEN 'empty_answer' WHEN d < c THEN 'repeated_query' WHEN bad THEN 'retrieval_fail' WHEN n >= 4 THEN 'long_chain' WHEN sim < 0.3 THEN 'low_retrieval_quality' END AS failure_mode
+FROM chains_v JOIN (SELECT chain_id, count(*) AS n, count(DISTINCT CASE WHEN action_type='Search' THEN action_arg END) AS d, count(CASE WHEN action_type='Search' THEN 1 END) AS c,
+ bool_or(regexp_matches(lower(observation), 'no results|not found')) AS bad FROM steps_v GROUP BY chain_id) USING (chain_id) LEFT JOIN w ON w.label = chain_id % 10""", "chains_v", "steps_v", "vec_v"))
+def e4_low(spark, base):
+    """The documented rules with the retrieval quality of the chain's group of vectors."""
+    q, obs = question_vectors(spark, base)
+    sim = K.retrieval_quality(q, obs.select("label", "v"), "label").select("label", "mean_sim")
+    d = documented_measures(spark, base).withColumn("label", F.col("chain_id") % 10).join(sim, "label", "left")
+    return d.select("chain_id", X.documented_mode(F.col("mean_sim")).alias("failure_mode"))
+
+
+@query("f22_question_length", with_views(r"""SELECT chain_id, round((rank() OVER (ORDER BY w) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1), 6) AS question_risk, round((rank() OVER (ORDER BY a) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1), 6) AS answer_risk
+FROM (SELECT chain_id, len(regexp_extract_all(question, '\S+')) AS w, len(regexp_extract_all(final_answer, '\S+')) AS a FROM chains_v)""", "chains_v"))
+def f22_length(spark, base):
+    """Length baselines: longer questions and longer answers rank as riskier."""
+    c = V.chains(spark, base).select("chain_id", T.word_count(F.col("question")).alias("w"), T.word_count(F.col("final_answer")).alias("a"))
+    return Z.relative_ranks(c, {"w": "question_risk", "a": "answer_risk"}).select("chain_id", *r6("question_risk", "answer_risk"))
+
+
 @query("d12_retrieval_quality", with_views("""
 , q AS (SELECT label, min_by(v, vec_id) AS qv, min(vec_id) AS qid FROM vec_v GROUP BY label),
 s AS (SELECT label, list_cosine_similarity(v, qv) AS c FROM vec_v JOIN q USING (label) WHERE vec_id <> qid)
 SELECT label, count(*) AS n, round(avg(c), 6) AS mean_sim, round(min(c), 6) AS min_sim, CASE WHEN avg(c) >= 0.55 THEN 'GOOD' WHEN avg(c) >= 0.45 THEN 'OK' ELSE 'POOR' END AS quality_label, avg(c) < 0.30 AS low_retrieval_quality
 FROM s GROUP BY label""", "vec_v"))
 def d12(spark, base):
-    v = V.vectors(spark, base)
-    q = v.groupBy("label").agg(F.min_by("v", "vec_id").alias("v"), F.min("vec_id").alias("qid"))
-    obs = v.join(q.select("label", "qid"), "label").filter(F.col("vec_id") != F.col("qid"))
+    q, obs = question_vectors(spark, base)
     d = K.retrieval_quality(q, obs.select("label", "v"), "label")
     return d.select("label", "n", "quality_label", "low_retrieval_quality", *r6("mean_sim", "min_sim"))
 

@@ -8,7 +8,7 @@ from plumbline import fixed
 from plumbline.operators import calibration as C, features as D
 from plumbline.operators.ordered import running_sums
 from plumbline.plans import views as V
-from plumbline.plans.registry import query
+from plumbline.plans.registry import ORACLE, query
 from plumbline.plans.scores import attempts, bank_and_queries, knn_sql
 from plumbline.plans.traces import prefix_sql, r6
 from plumbline.plans.views import sql_f1, sql_tokens, with_views
@@ -158,6 +158,10 @@ s AS (SELECT mp * (SELECT count(*) FROM d) + dp AS pos, m.failure_mode, d.domain
 u AS (SELECT *, mean_reward + sqrt(ln(sum(pulls) OVER ()) / nullif(pulls,0)) AS bound FROM s)
 SELECT failure_mode, domain, CAST(pos AS INTEGER) AS pos, pulls, round(mean_reward, 6) AS mean_reward, round(bound, 6) AS bound, pos = (SELECT pos FROM u ORDER BY coalesce(bound, 1e300) DESC, pos LIMIT 1) AS next FROM u""", "scored_v"))
 def h12(spark, base):
+    return hunt_arms(spark, base).select("failure_mode", "domain", "pos", "pulls", "next", *r6("mean_reward", "bound"))
+
+
+def hunt_arms(spark, base):
     s = V.scored(spark, base).filter(F.col("failure_mode").isNotNull())
     share = s.groupBy("user_id", "failure_mode", "domain").agg(F.avg("wrong").alias("share"))
     log = share.withColumn("reward", C.diversity_reward(F.col("share")))
@@ -166,7 +170,14 @@ def h12(spark, base):
     n_dom = F.lit(s.agg(F.countDistinct("domain")).first()[0])
     modes = F.array(*[F.struct(F.lit(i).alias("mp"), F.lit(m).alias("failure_mode")) for i, m in enumerate(fixed.FAILURE_MODES)])
     arms = dom.select("domain", "dp", F.explode(modes).alias("m")).select("domain", "m.failure_mode", (F.col("m.mp") * n_dom + F.col("dp")).cast("int").alias("pos"))
-    return C.bandit_arms(log, arms, ["failure_mode", "domain"], "reward", 1.0).select("failure_mode", "domain", "pos", "pulls", "next", *r6("mean_reward", "bound"))
+    return C.bandit_arms(log, arms, ["failure_mode", "domain"], "reward", 1.0)
+
+
+@query("h12_top_arms", ORACLE["h12_hunt_bandit"].rsplit("SELECT failure_mode, domain, CAST", 1)[0] + """
+SELECT failure_mode || '/' || domain AS arm, round(mean_reward, 3) AS mean_reward FROM u WHERE pulls > 0 ORDER BY u.mean_reward DESC, pos LIMIT 5""")
+def h12_top(spark, base):
+    d = C.top_arms(hunt_arms(spark, base))
+    return d.select(F.concat("failure_mode", F.lit("/"), "domain").alias("arm"), F.round("mean_reward", 3).alias("mean_reward"))
 
 
 @query("h13_diversity", with_views("SELECT user_id, round(avg(wrong), 6) AS diversity FROM scored_v GROUP BY user_id", "scored_v"))

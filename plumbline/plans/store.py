@@ -66,6 +66,11 @@ def a3(spark, base):
 @query("a4_taxonomy_entries", with_views("""SELECT chain_id, CASE WHEN chain_id % 2 = 0 THEN 'long_chain' ELSE 'no_evidence' END AS mode, CAST((SELECT count(*) FROM steps_v s WHERE s.chain_id = c.chain_id) AS INTEGER) AS n_steps, 1 AS wrong
 FROM chains_v c WHERE final_answer <> ''""", "chains_v", "steps_v"))
 def a4(spark, base):
+    return taxonomy(spark, base).select(F.col("question").cast("long").alias("chain_id"), "mode", F.size("steps").alias("n_steps"), "wrong")
+
+
+def taxonomy(spark, base):
+    """Chains as a failure taxonomy would list them, by mode, read as labelled rows."""
     s = V.steps(spark, base).groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("step_idx", *STEP_STRUCT))).alias("s"))
     steps = F.transform("s", lambda x: F.struct(*[x[f].alias(f) for f in STEP_STRUCT]))
     none = F.array().cast(f"array<{S.STEP}>")
@@ -75,8 +80,7 @@ def a4(spark, base):
     entry = F.struct(F.col("chain_id").cast("string").alias("question"), F.when(even, some).otherwise(none).alias("step_details"),
                      F.when(even, none).otherwise(some).alias("steps"), "final_answer")
     raw = c.select(F.to_json(F.create_map(F.when(even, "long_chain").otherwise("no_evidence"), F.array(entry))).alias("value"))
-    d = S.taxonomy_rows(raw.select(F.from_json("value", f"map<string,array<{S.TAXONOMY_ENTRY}>>").alias("m")))
-    return d.select(F.col("question").cast("long").alias("chain_id"), "mode", F.size("steps").alias("n_steps"), "wrong")
+    return S.taxonomy_rows(raw.select(F.from_json("value", f"map<string,array<{S.TAXONOMY_ENTRY}>>").alias("m")))
 
 
 @query("a5_flexible_columns", with_views("""SELECT chain_id, CASE WHEN question = '' THEN '(unknown)' ELSE question END AS question, final_answer,

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions import risk as R, text as T
-from plumbline.operators import failure as X, features as D
+from plumbline.operators import extend, failure as X, features as D, scoring as Z
 from plumbline.plans import views as V
 from plumbline.plans.registry import query, table
 from plumbline.sources import formats as S
-from plumbline.plans.views import (HEDGE_SQL, sql_caps, sql_f1, sql_jac, sql_shared, sql_tokens, sql_words,
+from plumbline.plans.views import (HEDGE_SQL, sql_caps, sql_f1, sql_jac, sql_shared, sql_tier, sql_tokens, sql_words,
                                    sql_wset, with_views)
 
 
@@ -39,6 +39,19 @@ def f5(spark, base):
         F.round(F.avg("behaviour"), 6).alias("mean_risk"), F.count("mode").alias("n_modes"))
 
 
+@query("f5_judge_blend", with_views(f"""
+, j AS (SELECT *, chain_id % 4 <> 0 AS has, greatest(0.0, least(1.0, (20 - (1 + chain_id % 5 + 3 + 2 + 3)) / 16.0::DOUBLE + 0.1::DOUBLE)) AS judge FROM nano_v),
+r AS (SELECT *, CASE WHEN NOT has THEN behaviour WHEN chain_id % 4 = 1 THEN 0.25 * behaviour + 0.75 * 0.5::DOUBLE ELSE 0.25 * behaviour + 0.75 * judge END AS risk FROM j)
+SELECT chain_id, round(risk, 6) AS risk_score, {sql_tier('risk')} AS tier, risk >= 0.7 AS needs_alert, nano_mode AS failure_mode, CASE WHEN chain_id % 4 > 1 THEN 'POOR' END AS judge_label FROM r""", "nano_v"))
+def f5_judge(spark, base):
+    """Replies for three of four chains, one of which is not readable."""
+    k = F.col("chain_id")
+    body = F.to_json(F.struct((1 + k % 5).alias("step_relevance"), F.lit(2).alias("conclusion_support"), F.array(F.lit("no_evidence")).alias("failure_flags"), F.lit("POOR").alias("quality_label")))
+    raw = F.when(k % 4 == 1, "no rating").when(k % 4 > 1, F.concat(F.lit("My rating: "), body))
+    d = Z.nano_scores(V.steps(spark, base), V.chains(spark, base), raw)
+    return d.select("chain_id", "tier", "needs_alert", "failure_mode", "judge_label", *r6("risk_score"))
+
+
 # ---- A/B: formats ---------------------------------------------------------------------------
 
 STEP_OUT = ["chain_id", "step_idx", "thought", "action_type", "action_arg", "observation"]
@@ -375,6 +388,26 @@ def d5(spark, base):
     return D.mean_step_features(V.steps(spark, base), V.chains(spark, base), cols).select("chain_id", "n", *r6(*cols))
 
 
+def weighted_extractor():
+    """Longest thought, mean length with later steps weighing more, and whether the last step saw nothing."""
+    extend.register_extractor("weighted", lambda: {"words": T.word_count(F.col("thought")), "blank": F.col("observation") == ""}, lambda: extend.StepAggregate(
+        update={"top": F.max("words"), "late": F.sum((F.col("step_idx") + 1) * F.col("words")), "weight": F.sum(F.col("step_idx") + 1),
+                "end": F.max_by("blank", "step_idx")},
+        merge={"top": F.max("top"), "late": F.sum("late"), "weight": F.sum("weight"), "end": F.max_by("end", "block")},
+        finish={"top_words": F.col("top"), "late_words": F.col("late") / F.col("weight"), "blank_at_end": F.col("end").cast("int")}))
+    return "weighted"
+
+
+@query("l2_own_aggregate", with_views(f"""
+SELECT chain_id, coalesce(n, 0) AS n, coalesce(top_words, 0.0::DOUBLE) AS top_words, round(coalesce(late_words, 0.0::DOUBLE), 6) AS late_words, coalesce(blank_at_end, 0.0::DOUBLE) AS blank_at_end FROM chains_v LEFT JOIN
+ (SELECT chain_id, count(*) AS n, max(len({sql_words('thought')}))::DOUBLE AS top_words, sum((step_idx + 1) * len({sql_words('thought')}))::DOUBLE / sum(step_idx + 1) AS late_words,
+ max_by(CASE WHEN observation = '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, step_idx) AS blank_at_end FROM steps_v GROUP BY chain_id) USING (chain_id)""", "chains_v", "steps_v"))
+def l2(spark, base):
+    """Blocks of two steps, so that chains have several parts."""
+    d = extend.domain_features(V.steps(spark, base), V.chains(spark, base), weighted_extractor(), block=2)
+    return d.select("chain_id", "n", "top_words", "blank_at_end", *r6("late_words"))
+
+
 V.cte("d6_v", f"""SELECT c.chain_id, n, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 - 0.3*th_obs - 0.3*obs_fa + 0.3*empty + 0.2*(1.0 - d_obs::DOUBLE/n))) AS beh, 0.5::DOUBLE AS ptrue, 0.0::DOUBLE AS se,
  1.0 - coalesce(gap, 0.5) AS sc3_gap, CASE WHEN final_answer <> '' AND obs_all <> '' THEN 1.0 - {sql_shared(sql_tokens('final_answer'), sql_tokens('obs_all'))}::DOUBLE / greatest(len({sql_tokens('final_answer')}),1) ELSE 0.5::DOUBLE END AS sc6_gap,
  least(n/10.0::DOUBLE, 1.0) AS n_steps_norm, empty AS empty_frac FROM chains_v c JOIN (SELECT s.chain_id, count(*) AS n, avg({sql_jac(sql_wset('thought'), sql_wset('observation'))}) AS th_obs,
@@ -417,9 +450,9 @@ def d9(spark, base):
 @query("d10_published_signals", with_views(f"""
 SELECT chain_id, CAST(coalesce(max(CASE WHEN action_type='Finish' THEN 1 END),0) AS INTEGER) AS completed, round(least(count(CASE WHEN action_type='Search' THEN 1 END) / 7.0::DOUBLE, 1.0), 6) AS search_norm,
  round(var_pop(length(thought)), 4) AS thought_variance, round(coalesce(count(DISTINCT CASE WHEN action_type='Search' THEN action_arg END)::DOUBLE / nullif(count(CASE WHEN action_type='Search' THEN 1 END),0), 1.0), 6) AS search_diversity,
- round(avg(CASE WHEN regexp_matches(thought, {HEDGE_SQL}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS uncertain_share FROM steps_v GROUP BY chain_id""", "steps_v"))
+ round(avg(CASE WHEN regexp_matches(thought, {HEDGE_SQL}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS uncertain_share , round((SELECT length(final_answer) / greatest(length(question), 1)::DOUBLE FROM chains_v c WHERE c.chain_id = steps_v.chain_id), 6) AS answer_ratio FROM steps_v GROUP BY chain_id""", "steps_v", "chains_v"))
 def d10(spark, base):
-    """Thought variance uses text length where no embedding norm is given."""
+    """Thought variance uses text length where no embedding norm is given; the answer's length is measured against the question's."""
     s = V.steps(spark, base)
     search = F.col("action_type") == "Search"
     m = s.groupBy("chain_id").agg(
@@ -429,8 +462,9 @@ def d10(spark, base):
         F.round(F.avg(F.when(T.has_hedge(F.col("thought")), 1.0).otherwise(0.0)), 6).alias("uncertain_share"))
     once = s.filter(search).groupBy("chain_id", "action_arg").agg(F.count(F.lit(1)).alias("_n"))
     uniq = once.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_u"))
-    d = m.join(uniq, "chain_id", "left")
-    return d.select("chain_id", "completed", "search_norm", "thought_variance",
+    ratio = F.length("final_answer") / F.greatest(F.length("question"), F.lit(1))
+    d = m.join(uniq, "chain_id", "left").join(V.chains(spark, base).select("chain_id", F.round(ratio, 6).alias("answer_ratio")), "chain_id")
+    return d.select("chain_id", "completed", "search_norm", "thought_variance", "answer_ratio",
                     F.round(F.coalesce(F.try_divide(F.col("_u"), F.col("_c")), F.lit(1.0)), 6).alias("search_diversity"), "uncertain_share")
 
 

@@ -163,6 +163,24 @@ def monthly_usage(chains: DataFrame, limit: int = 500) -> DataFrame:
     return g.withColumns({"share": F.col("used") / limit, "over": F.col("used") > limit})
 
 
+def drift_notices(chains: DataFrame, width: int = 86400, cut: float = 0.10, min_rows: int = 10, cooldown: int = 2 * 86400) -> DataFrame:
+    """Notices when the mean risk of a period differs by more than ``cut`` from the period before it; their key is ``drift:`` and the domain.
+
+    Both periods need ``min_rows`` rows, and a domain is quiet for the cooldown after a notice. Only one row per domain and period is ordered.
+    """
+    per = chains.groupBy("domain", (F.floor(F.col("ts") / width) * width).cast("long").alias("ts")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("current_mean"))
+    w = W.partitionBy("domain").orderBy("ts")
+    last = F.when(F.lag("ts").over(w) == F.col("ts") - width, F.lag(F.struct("n", "current_mean")).over(w))
+    per = per.withColumn("_p", last).withColumn("previous_mean", F.col("_p.current_mean"))
+    delta = F.col("current_mean") - F.col("previous_mean")
+    moved = per.filter((F.col("n") >= min_rows) & (F.col("_p.n") >= min_rows) & (F.abs(delta) > cut))
+    fired = replay.in_order(moved.select("domain", "ts", F.col("n").alias("chain_id")), ["domain"], ["ts"], folds.Dedup(cooldown))
+    d = moved.join(fired.select("domain", "ts"), ["domain", "ts"])
+    return d.select(F.concat(F.lit("drift:"), "domain").alias("key"), "domain", "ts", "n", "current_mean", "previous_mean", delta.alias("delta"),
+                    F.when(delta > 0, "up").otherwise("down").alias("direction"))
+
+
 def rate_notices(chains: DataFrame, width: int = 86400, cut: float = 0.5, min_rows: int = 10, cooldown: int = 2 * 86400) -> DataFrame:
     """Notices when the alert rate of a period passes ``cut``, not more often than the cooldown."""
     per = chains.groupBy("domain", (F.floor(F.col("ts") / width) * width).alias("ts")).agg(
