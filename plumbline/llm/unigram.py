@@ -30,7 +30,7 @@ COLUMNS = "doc_id long, n_tokens long, n_byte_tokens long, score double, round_t
 
 
 #: Ids as 32-bit bytes, score, number of ids, number of byte pieces, whether the ids decode to the chunk.
-Chunk = tuple[bytes, float, int, int, bool]
+Chunk = tuple[bytes, float, int, int]
 
 
 class DoubleArray:
@@ -152,8 +152,7 @@ class Pieces:
 
     def _solved(self, text: str) -> Chunk:
         ids, score = self.best(text)
-        same = b"".join([self.bytes[i] for i in ids]) == text.replace(MARK, " ").encode()
-        return array("i", ids).tobytes(), score, len(ids), 0 if self.is_byte.isdisjoint(ids) else sum(i in self.is_byte for i in ids), same
+        return array("i", ids).tobytes(), score, len(ids), 0 if self.is_byte.isdisjoint(ids) else sum(i in self.is_byte for i in ids)
 
     def _keep(self, text: str, got: Chunk) -> Chunk:
         """Remember a chunk; the last ``MOST`` and those of the generation before are kept."""
@@ -174,14 +173,24 @@ class Pieces:
             else:
                 parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
                 each = [self.seen.get(p) or self.old.get(p) or self._keep(p, self._solved(p)) for p in parts]
-                ids, scores, n, n_bytes, same = zip(*each)
-                got = b"".join(ids), sum(scores), sum(n), sum(n_bytes), all(same)
+                ids, scores, n, n_bytes = zip(*each)
+                got = b"".join(ids), sum(scores), sum(n), sum(n_bytes)
         return self._keep(text, got)
 
     def encode(self, text: str) -> list[Chunk]:
         if not text:
             return []
-        return [self.seen.get(c) or self.chunk(c) for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+        spaced = (MARK + text.replace(" ", MARK)) if MARK not in text else None
+        if spaced is not None:
+            return [self.seen.get(c) or self.chunk(c) for c in _CHUNK.findall(spaced)]
+        # A marker that the text itself holds is written in bytes, so that it does not read as a space.
+        own = array("i", [self.byte_ids[b] for b in MARK.encode()]).tobytes(), self.lowest, 3, 3
+        out: list[Chunk] = []
+        for i, part in enumerate(text.split(MARK)):
+            part = part.replace(" ", MARK)
+            out += [own] if i else []
+            out += [self.seen.get(c) or self.chunk(c) for c in _CHUNK.findall(part if i else MARK + part)]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: pieces and bytes joined, the marker in front taken off, the others spaces."""
@@ -196,17 +205,17 @@ def pieces(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of ids and of byte pieces, score of the split, whether decoding gives the text, the ids.
 
-    A null or empty text has no ids, score 0 and decodes to itself. A marker in a text reads as a space when
-    decoded, so ``round_trip`` compares with that, chunk by chunk: a text decodes to its chunks' texts in turn. Rows may repeat; other columns of ``docs`` are ignored.
+    A null or empty text has no ids, score 0 and decodes to itself. A marker that a text holds itself is written as its three bytes. ``round_trip``
+    compares what the ids decode to with the whole text. Rows may repeat; other columns of ``docs`` are ignored.
     """
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for docs_, texts in rows(batches, 64):
             head, parts, ends = [[] for _ in range(5)], [], [0]
             for doc, text in zip(docs_, texts):
-                raw, scores, n, n_bytes, same = zip(*p.encode(text)) if text else ((),) * 5
+                raw, scores, n, n_bytes = zip(*p.encode(text)) if text else ((),) * 4
                 ids = np.frombuffer(b"".join(raw), "<i4")
-                for c, v in zip(head, (doc, sum(n), sum(n_bytes), float(sum(scores)), all(same))):
+                for c, v in zip(head, (doc, sum(n), sum(n_bytes), float(sum(scores)), p.decode(ids.tolist()) == text)):
                     c.append(v)
                 parts.append(ids)
                 ends.append(ends[-1] + len(ids))

@@ -55,6 +55,13 @@ def test_chunks_equal_the_whole_text():
         assert p.decode(whole) == text
 
 
+def test_marker_in_a_text_stays_a_marker():
+    p = u.pieces(MODEL)
+    for text in ("▁", "a▁b", "▁▁ a", " ▁", "a ▁ b▁", "▁\n▁"):
+        ids = [i for raw, *_ in p.encode(text) for i in u.np.frombuffer(raw, "<i4").tolist()]
+        assert p.decode(ids) == text
+
+
 def test_encode_and_decode(spark):
     docs = [(1, "The quick brown fox"), (2, None), (3, ""), (4, "a▁b"), (5, "x" * 30000), (6, "😀\t\x00é" * 20), (6, "😀\t\x00é" * 20), (None, " lead")]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'c' as ids", "1 as score")
@@ -65,6 +72,6 @@ def test_encode_and_decode(spark):
     assert all(r.round_trip for rs in got.values() for r in rs) and len(got[6]) == 2
     assert got[2][0].n_tokens == 0 and got[2][0].score == 0 and got[3][0].ids == []
     back = {r.doc_id: r.text for r in u.decode(out, MODEL).select("doc_id", "text").collect()}
-    assert back[1] == docs[0][1] and back[4] == "a b" and back[5] == docs[4][1] and back[6] == docs[5][1] and back[None] == " lead"
+    assert back[1] == docs[0][1] and back[4] == "a▁b" and back[5] == docs[4][1] and back[6] == docs[5][1] and back[None] == " lead"
     assert got[6][0].n_byte_tokens > 0
     assert u.encode(df.limit(0), MODEL).count() == 0
