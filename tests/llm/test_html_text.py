@@ -1,5 +1,7 @@
 import html
+import math
 import random
+import time
 
 from plumbline.llm import html_text as ht
 
@@ -45,3 +47,54 @@ def test_extract(spark):
     long = "\n\n".join(["word"] * 20000)
     assert got == sorted([(1, "u", "a\n\nb", 4), (1, "u", "a\n\nb", 4), (2, None, "", 0), (None, "v", "", 0), (3, "w", long, len(long))], key=str)
     assert ht.extract(df.limit(0)).count() == 0
+
+
+LONG = "A long paragraph of the article with many words in it, which goes on for a while and has no links at all."
+
+
+def test_parts_with_doubtful_names():
+    text = f"{LONG}\n\n{LONG}"
+    assert ht.main_text(f'<body><form id="aspnetForm"><div><p>{LONG}</p><p>{LONG}</p></div></form></body>') == text
+    shared = '<div class="share-buttons"><a>Tweet</a> <a>Post</a></div>'
+    assert ht.main_text(f'<article><p class="share-price">{LONG}</p><div class="form-of-government"><p>{LONG}</p></div>{shared}</article>') == text
+    assert ht.main_text(f'<article><div class="entry-header"><h1>Head</h1></div><p>{LONG}</p></article>') == f"Head\n\n{LONG}"
+    assert ht.main_text(f'<article><p>{LONG}</p></article><article><p>{LONG}</p><p>short</p></article>') == f"{text}\n\nshort"
+    small = '<form><p>Your name</p><p>Your address</p></form>'
+    assert ht.main_text(f'<body><div><p>{LONG}</p><p>{LONG}</p></div>{small}</body>') == text
+    assert ht.main_text(f'<article><p>{LONG}</p><div class="notice">{LONG}</div><div class="ad-box">{LONG}</div></article>') == LONG
+
+
+PLAIN = (f'<body><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul><div class="head"><h1>Head</h1></div>'
+         f'<div class="body"><p>{LONG}</p><p>brief</p><p>{LONG}</p><p>{LONG}</p></div><div><a>Next</a><br><a>Last</a></div></body>')
+
+
+def test_clusters_decide_without_an_article(monkeypatch):
+    got = ht.main_text(PLAIN)
+    assert got == f"Head\n\n{LONG}\n\nbrief\n\n{LONG}\n\n{LONG}"
+    monkeypatch.setattr(ht, "threshold", lambda values: -1.0)
+    assert ht.main_text(PLAIN) != got and "Three" in ht.main_text(PLAIN)
+    monkeypatch.undo()
+    assert ht.main_text(PLAIN, sigma=50.0) != got
+
+
+def test_smoothing_and_clusters_against_plain_sums():
+    rng = random.Random(3)
+    for _ in range(20):
+        lines = [("x" * rng.randint(1, 300), rng.randint(0, 6), -1, -1, False) for _ in range(rng.randint(1, 25))]
+        raw = [len(t) / max(n, 1) for t, n, *_ in lines]
+        weight = lambda d: math.exp(-d * d / 2) if abs(d) <= 3 else 0.0
+        want = [sum(weight(i - j) * v for j, v in enumerate(raw)) / sum(weight(i - j) for j in range(len(raw))) for i in range(len(raw))]
+        got = ht.ratios(lines, 1.0)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+        cut = ht.threshold(got)
+        below, above = [v for v in got if v < cut], [v for v in got if v >= cut]
+        assert not below or abs(cut - (sum(below) / len(below) + sum(above) / len(above)) / 2) < 1e-9
+
+
+def test_deep_pages_take_time_in_proportion():
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        assert ht.main_text("<div>a" * n).count("a") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
