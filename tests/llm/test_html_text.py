@@ -73,8 +73,6 @@ def test_clusters_decide_without_an_article(monkeypatch):
     assert got == f"Head\n\n{LONG}\n\nbrief\n\n{LONG}\n\n{LONG}"
     monkeypatch.setattr(ht, "threshold", lambda values: -1.0)
     assert ht.main_text(PLAIN) != got and "Three" in ht.main_text(PLAIN)
-    monkeypatch.undo()
-    assert ht.main_text(PLAIN, sigma=50.0) != got
 
 
 def test_smoothing_and_clusters_against_plain_sums():
