@@ -7,6 +7,7 @@ text and template order, into the spans they cover.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -29,14 +30,64 @@ TEMPLATES = {
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software"],
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely"],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is dedicated to the public domain under CC0 1.0 Universal"],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)"],
+    "CDDL-1.0": [
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this "
+        "file except in compliance with the License."],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2"],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "Artistic-2.0": ["You may redistribute and modify it under the terms of the Artistic License 2.0"],
+    "PostgreSQL": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written "
+        "agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."],
@@ -156,21 +207,23 @@ class Automaton:
 
 
 def chains(runs: list[tuple[int, int, int]], places: list[dict[int, list[int]]], gap: int) -> list[list[int]]:
-    """[template, start, end, covered]: runs joined while they go forward in text and template, at most ``gap`` words apart in each."""
+    """[template, start, end, covered]: runs joined while they go forward in text and template, at most ``gap`` words apart in each.
+
+    A run may stand at several places of a template; a chain goes on as long as any of them can follow one of the run before.
+    """
     done, open_ = [], {}
     for start, n, state in runs:
         for k, ends in places[state].items():
             at = open_.get(k)
-            if at:  # at: start, end, covered, template end
+            if at:  # at: start, end, covered, possible template ends
                 fresh = max(at[1] - start, 0)
-                end = next((e for e in ends if 0 <= e - n + fresh - at[3] <= gap), None)
-                if end is not None and start - at[1] <= gap and n > fresh:
-                    at[1], at[2], at[3] = start + n, at[2] + n - fresh, end
+                if start - at[1] <= gap and n > fresh and (on := [e for e in ends if any(0 <= e - n + fresh - last <= gap for last in at[3])]):
+                    at[1], at[2], at[3] = start + n, at[2] + n - fresh, on
                     continue
                 if start < at[1] and n <= at[1] - at[0]:
                     continue  # inside what a longer run has covered
                 done.append([k, *at[:3]])
-            open_[k] = [start, start + n, n, ends[0]]
+            open_[k] = [start, start + n, n, ends]
     return done + [[k, *at[:3]] for k, at in open_.items()]
 
 
@@ -184,7 +237,8 @@ def scan(docs: DataFrame, least: int = 3, gap: int = 8, coverage: float = 0.7, i
     """Per row: words, base places (count, first and last start, labels), all labels, score and template spans.
 
     ``least`` words make a run, runs at most ``gap`` words apart a chain, and a chain that covers ``coverage`` of
-    a template a span. ``score`` is the best cover of any template by a chain, 0 if there is none. A null
+    a template a span. Of spans that overlap the one stays whose share of the template times its covered words is greatest, of equal
+    ones the first by label. ``score`` is the best cover of any template by a chain, 0 if there is none. A null
     text is empty: no words, no places, empty labels. Rows may repeat; other columns are ignored.
     """
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +249,16 @@ def scan(docs: DataFrame, least: int = 3, gap: int = 8, coverage: float = 0.7, i
                 ws = words(text)
                 runs, found = auto.stream(ws, least)
                 all_ = [(k, a, b, c, c / sizes[k]) for k, a, b, c in chains(runs, auto.places, gap)] if runs else []
-                best, spans = max((x[4] for x in all_), default=0.0), {}
-                for k, a, b, c, share in sorted(all_, key=lambda x: (-x[4], -x[3])):
-                    if share >= coverage and (names[k], a) not in spans:
-                        spans[names[k], a] = {"label": names[k], "start": a, "end": b, "covered": c, "coverage": share}
+                best, spans, taken = max((x[4] for x in all_), default=0.0), [], []
+                for k, a, b, c, share in sorted(all_, key=lambda x: (-x[4] * x[3], names[x[0]], x[1])):
+                    if share >= coverage:
+                        i = bisect.bisect(taken, (a,))
+                        if (i == len(taken) or taken[i][0] >= b) and (not i or taken[i - 1][1] <= a):
+                            taken.insert(i, (a, b))
+                            spans.append({"label": names[k], "start": a, "end": b, "covered": c, "coverage": share})
                 base = sorted({x for _, x in found})
                 row = (doc, len(ws), len(found), min((x for x, _ in found), default=None), max((x for x, _ in found), default=None), ",".join(base),
-                       ",".join(sorted({*base, *(x for x, _ in spans)})), best, [spans[x] for x in sorted(spans, key=lambda x: (x[1], x[0]))])
+                       ",".join(sorted({*base, *(x["label"] for x in spans)})), best, sorted(spans, key=lambda x: x["start"]))
                 for c, v in zip(got, row):
                     c.append(v)
             yield out_batch(SCHEMA, got)

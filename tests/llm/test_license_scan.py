@@ -56,5 +56,54 @@ def test_scan(spark):
     assert by[8][0].labels == "MIT" and 0.8 < by[8][0].score < 1
 
 
+def labels(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.labels for r in ls.scan(df).orderBy("doc_id").collect()]
+
+
+def test_every_wording_has_its_own_label(spark):
+    flat = [(label, t) for label, ts in ls.TEMPLATES.items() for t in ts]
+    got = labels(spark, *(f"Copyright the authors. {t} More words follow here." for _, t in flat))
+    assert [[x for x in g.split(",") if x not in ls.PHRASES.values()] for g in got] == [[label] for label, _ in flat]
+    assert len(ls.TEMPLATES) >= 20
+    two = labels(spark, ls.TEMPLATES["GPL-2.0"][1] + " and also " + ls.TEMPLATES["Zlib"][0], ls.TEMPLATES["LGPL-2.1"][0].replace("your", "any"))
+    assert two == ["GPL-2.0,Zlib,gpl", "LGPL-2.1,gpl"]
+
+
+def plain_chains(runs, ends, gap):
+    """All ways to place the runs in one template; the words covered by the longest chain from the first run on."""
+    def on(i, at, end):
+        best = 0
+        for j in range(i, len(runs)):
+            start, n = runs[j]
+            if start - at > gap:
+                break
+            for e in ends[j]:
+                if 0 <= e - n - end <= gap:
+                    best = max(best, n + on(j + 1, start + n, e))
+        return best
+    start, n = runs[0]
+    return max((n + on(1, start + n, e) for e in ends[0]), default=0)
+
+
+def test_chains_against_all_ways():
+    rng = random.Random(12)
+    for _ in range(300):
+        runs, ends, at = [], [], 0
+        for _ in range(rng.randint(1, 5)):
+            at += rng.randint(0, 2)
+            n = rng.randint(3, 5)
+            runs.append((at, n))
+            at += n
+        first = rng.randint(3, 6)
+        place = first
+        for i, (start, n) in enumerate(runs):  # one true way and some other places of the same run
+            place += (start - runs[i - 1][0] - runs[i - 1][1] + n) if i else 0
+            ends.append(sorted({place, *(rng.randint(n, 40) for _ in range(rng.randint(0, 2)))}))
+        got = ls.chains([(s, n, i) for i, (s, n) in enumerate(runs)], [{0: e} for e in ends], 2)
+        assert got == [[0, runs[0][0], runs[-1][0] + runs[-1][1], sum(n for _, n in runs)]]
+        assert plain_chains(runs, ends, 2) == got[0][3]
+
+
 def test_empty_table(spark):
     assert ls.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
