@@ -197,6 +197,7 @@ def _tiled(active: DataFrame, k: int, percent: int, margin: float) -> DataFrame:
             m = np.zeros((len(some), 2048), np.float32)
             m[row[here], shared[here] - at] = 1
             common += m @ m.T
+        common = common.astype(np.int64)  # 100 times a count may be more than a float holds exactly
         link = ok[np.ix_(some, some)] & (100 * common >= percent * (sizes[:, None] + sizes - common))
         return [(held[some[x]][1], held[some[y]][1]) for x, y in zip(*np.nonzero(link))]
 
