@@ -24,7 +24,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0
 
 def uniform(h: np.ndarray, member: int, purpose: int) -> np.ndarray:
     """A number in (0, 1) for each row hash, member and purpose."""
-    x = h ^ (np.uint64(2 * member + purpose + 1) * _MIX[0])
+    x = h ^ np.uint64((2 * member + purpose + 1) * int(_MIX[0]) & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0 ** -54

@@ -22,11 +22,17 @@ def with_previous(df: DataFrame, key: str, idx: str, cols: Mapping[str, str],
     """Add the value of the row before in ``idx`` order for each ``{new: old}`` in ``cols``.
 
     Numbers may have gaps. A window holds one block of ``block`` numbers; a block's first row takes its values from
-    the last row of the block before that has any, by one summary row per block. ``keep_block`` names the block
-    number in the result, so that further work per block finds its rows already in place.
+    the last row of the block before that has any, by one summary row per block. Where all numbers of the table fall into one block
+    there is nothing to take over. ``keep_block`` names the block number in the result, so that further work per block finds its rows
+    already in place.
     """
     name = keep_block or "_blk"
     b = df.withColumn(name, F.floor(F.col(idx) / block))
+    low, high = df.agg(F.min(idx), F.max(idx)).first()
+    if low is None or low // block == high // block:
+        w = W.partitionBy(key, name).orderBy(idx)
+        out = b.select("*", *[F.lag(old).over(w).alias(new) for new, old in cols.items()])
+        return out if keep_block else out.drop(name)
     ends = b.groupBy(key, name).agg(F.max_by(F.struct(*[F.col(old).alias(new) for new, old in cols.items()]), F.col(idx)).alias("_end"))
     ends = ends.select(key, name, F.lag("_end").over(W.partitionBy(key).orderBy(name)).alias("_end"))
     w = W.partitionBy(key, name).orderBy(idx)
