@@ -85,6 +85,21 @@ def test_mesh_against_pairs(spark):
             assert r.consensus == max(texts, key=lambda x: round(sum(f1(x, y) for y in texts) - f1(x, x), 9))
 
 
+def test_mesh_limits_met_exactly(spark):
+    """Two agents whose agreement is 0.3 or 0.6, at many sizes of their answers."""
+    word = lambda i: "x" + chr(97 + i // 26) + chr(97 + i % 26)
+    cases = [(a, total - a, shared) for total, shared in ((20, 3), (40, 6), (20, 6), (40, 12)) for a in range(shared, total // 2 + 1) if total - a >= shared]
+    rows, want = [], {}
+    for c, (a, b, shared) in enumerate(cases):
+        rows += [(c, 0, " ".join(map(word, range(a)))), (c, 1, " ".join(map(word, range(a - shared, a - shared + b))))]
+        want[c] = 2 * shared / (a + b)
+    d = spark.createDataFrame(rows, "chain_id long, agent long, answer string")
+    t = spark.createDataFrame([(c, "LOW") for c in want], "chain_id long, tier string")
+    for r in C.mesh(d, t).collect():
+        assert r.agreement == want[r.chain_id] and not r.escalate and r.consensus is not None, cases[r.chain_id]
+        assert r.upgraded_tier == ("MEDIUM" if want[r.chain_id] == 0.6 else "LOW"), cases[r.chain_id]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(1)
