@@ -126,15 +126,16 @@ class LiveChain(StatefulProcessor):
                 s["coh"] = [s["coh"][0] + len(a & b) / len(a | b), s["coh"][1] + 1]
         s["prev"] = row["tt"]
         mean = lambda k: s[k][0] / s[k][1] if s[k][1] else 0.5
-        vals = [1 - len(s["acts"]) / n, min(n / 10, 1.0), 1 - mean("gap"), min(s["words"][0] / (50 * max(s["words"][1], 1)), 1.0), 0.5, 1.2]
+        # Added up in the order of features.nano_mean: sum() corrects itself from Python 3.12 on, and a prefix would not get its batch score.
+        total = 1 - len(s["acts"]) / n + min(n / 10, 1.0) + (1 - mean("gap")) + min(s["words"][0] / (50 * max(s["words"][1], 1)), 1.0) + 0.5 + 1.2
         weight = 6.2
         if n >= 3:
-            vals += [1.3 * mean("used"), 1.3 * mean("coh")]
+            total += mean("used") * 1.3 + mean("coh") * 1.3
             weight += 2.6
             if s["risks"] >= 3:
-                vals.append(0.8 * (math.tanh(5 * (s["last"] - s["first"]) / max(n - 1, 1)) * 0.5 + 0.5))
+                total += (math.tanh(5 * (s["last"] - s["first"]) / max(n - 1, 1)) * 0.5 + 0.5) * 0.8
                 weight += 0.8
-        return sum(vals) / weight
+        return total / weight
 
     def _scored(self, key, s: dict, idx: int, row: dict, status: str) -> tuple:
         r = self.step(s, row)

@@ -99,3 +99,14 @@ def test_batch_state_survives_a_restart(spark):
     J.run_batches(sums, one)
     one(spark.createDataFrame([("a", 5)], "domain string, count long"), 1)
     assert {(r.domain, r["count"]) for r in one.table(spark).collect()} == {("a", 45), ("b", 45)}
+
+
+def test_prefix_score_is_the_one_of_the_batch(spark):
+    """Half-way scores, which a corrected sum lifts over a limit that the batch's sum stays below."""
+    from pyspark.sql import functions as F
+    from plumbline.operators.features import nano_mean
+    for gap, words in ((0.5, 40.0), (0.25, 27.5), (0.7, 50.0), (0.4, 35.0)):
+        row = {"action_type": "Search", "gap": gap, "used": 0.5, "step_risk": None, "th_words": words, "tt": []}
+        parts = {"sc1": 0.0, "sc2": 0.1, "sc3": 1 - gap, "sc5": words / 50, "sc6": 0.5, "sc11": 1.0, "sc9": None, "sc10": None, "sc12": None}
+        batch = spark.range(1).select(*[F.lit(v).cast("double").alias(c) for c, v in parts.items()]).select(nano_mean()).first()[0]
+        assert J.LiveChain.step(J.LiveChain.fresh(), row) == batch
