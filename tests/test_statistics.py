@@ -185,6 +185,19 @@ def test_pair_median_takes_two_passes(spark, vectors, monkeypatch):
     assert N.pair_median(far, 25, 300, sample=3, bins=64) == pytest.approx(want, abs=1e-9)  # the sample may mislead
 
 
+def test_pair_median_sends_a_vector_to_few_tiles(spark, vectors, monkeypatch):
+    """However small the tiles asked for, and with ids that occur twice."""
+    m, d = vectors
+    seen, run = [], N.F.sequence
+    monkeypatch.setattr(N.F, "sequence", lambda a, b: (seen.append(b), run(a, b))[1])
+    monkeypatch.setattr(N, "SPLITS", 4)
+    want = np.median([np.linalg.norm(a - b) for a, b in itertools.combinations(m, 2)])
+    assert N.pair_median(d, tile=2, narrow=300) == pytest.approx(want, abs=1e-12)
+    assert [str(c) for c in seen] == [str(N.F.lit(3))]
+    twice = spark.createDataFrame([(1, [0.0]), (1, [9.0]), (2, [1.0]), (3, [5.0])], "vec_id long, v array<double>")
+    assert N.pair_median(twice, tile=1) == 4.0  # of 1, 4, 4, 5 and 8, without the pair of one id
+
+
 def test_models_separate_and_repeat(spark):
     rng = np.random.default_rng(0)
     rows = [(i, float(i % 2 + rng.normal(0, 0.4)), float(rng.normal()), i % 2) for i in range(120)]
