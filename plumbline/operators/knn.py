@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from plumbline.session import written
 
 BROADCAST_BYTES = 64 << 20
+BLOCKS, BLOCK_BYTES = 16, 32 << 20
 OUT = "vec_id long, risk double"
 
 
@@ -35,7 +36,9 @@ def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, limit: int = B
     """Mean distance of each query to its ``k`` nearest bank vectors, those with its own id left out.
 
     Where fewer others are left, the mean is over those; without any it is 0.5. A bank whose measured size is under ``limit`` goes
-    to every executor; a larger one is searched in blocks of about ``block`` vectors, see :func:`_by_blocks`. Both ways are exact.
+    to every executor; a larger one is searched in blocks, see :func:`_by_blocks`. Both ways are exact. Blocks have ``block`` vectors at
+    least, and there are ``BLOCKS`` at most as long as a block is below ``BLOCK_BYTES``: where bounds rule nothing out, as in many dimensions,
+    a query goes to every block and a block to every ``block`` queries, which would grow with the square of the rows.
     """
     n, dim = bank.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n < 2:
@@ -43,7 +46,7 @@ def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, limit: int = B
     k = min(k, n - 1)
     if n * (dim or 1) * 8 <= limit:
         return _by_broadcast(queries, bank, k)
-    return _by_blocks(queries, bank, k, n, block)
+    return _by_blocks(queries, bank, k, n, max(block, min(-(-n // BLOCKS), BLOCK_BYTES // (8 * max(dim or 1, 1)))))
 
 
 def _least(q: np.ndarray, q_ids: np.ndarray, bank: np.ndarray, ids: np.ndarray, norms: np.ndarray, k: int) -> np.ndarray:

@@ -126,6 +126,17 @@ def test_search_in_many_blocks(vectors):
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
 
 
+def test_blocks_grow_with_the_bank(vectors, monkeypatch):
+    """A query is sent to ``BLOCKS`` blocks of the nearest centres at most, however small the blocks asked for."""
+    m, d = vectors
+    asked, build = [], K.build_index
+    monkeypatch.setattr(K, "BLOCKS", 4)
+    monkeypatch.setattr(K, "build_index", lambda bank, n, block: (asked.append((n, block)), build(bank, n, block))[1])
+    got = {r.vec_id: r.risk for r in K.nearest_mean(d, d, 3, 0, 2).collect()}
+    want = {i: np.mean(sorted(np.linalg.norm(m - m[i], axis=1))[1:4]) for i in range(len(m))}
+    assert asked == [(len(m), len(m) // 4)] and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
 @pytest.mark.parametrize("limit", [K.BROADCAST_BYTES, 0])
 def test_repeated_ids(spark, limit):
     bank = spark.createDataFrame([(1, [0.0]), (1, [0.5]), (1, [1.0]), (2, [5.0]), (3, [6.0]), (4, [9.0])], "vec_id long, v array<double>")
