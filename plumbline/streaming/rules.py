@@ -10,6 +10,8 @@ from plumbline import fixed
 from plumbline.operators.ordered import running_sums
 from plumbline.streaming import folds, replay
 
+RESTART_BLOCKS, RESTART_ROWS = 16, 1 << 20
+
 
 def psi_bin(c: Column) -> Column:
     """Range number by literal edges; null outside [0, 1]."""
@@ -48,7 +50,14 @@ def drift_events(df: DataFrame, base: DataFrame, key: str = "domain", score: str
 
 
 def drift_monitor(df: DataFrame, key: str = "domain", score: str = "risk_score", block: int = 4096) -> DataFrame:
-    """Self-fitting monitor: the first scores are the baseline, alarms start over, thresholds follow. In parallel inside each key."""
+    """Self-fitting monitor: the first scores are the baseline, alarms start over, thresholds follow. In parallel inside each key.
+
+    Where scores are noise an alarm comes 40 rows after the last one again and again, and runs with other starts seldom meet: a
+    round may settle one block of a key only. So a key has ``RESTART_BLOCKS`` blocks at most, and as many rounds, as long as a block is below
+    ``RESTART_ROWS``.
+    """
+    most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    block = max(block, min(-(-most // RESTART_BLOCKS), RESTART_ROWS))
     d = replay.numbered(df.select(key, "ts", "chain_id", score), [key], "ts", "chain_id")
     return replay.by_restarts(d, [key], ["seen"], folds.Drift(score), block)
 

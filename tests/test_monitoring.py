@@ -110,6 +110,19 @@ def test_restarts_join_up_to_one_walk(spark, calm, keys, block, rounds, monkeypa
     assert names.count("crossed") <= rounds  # a walk block by block would take 37 and 15
 
 
+def test_noise_takes_no_more_rounds_than_blocks(spark, monkeypatch):
+    """Noise keeps each run's own beat of 40 rows; 4 blocks of 300 rows, not 60 of 20."""
+    rnd = random.Random(4)
+    rows = [("wild", i, i, round(rnd.random(), 3)) for i in range(1200)]
+    d = spark.createDataFrame(rows, "domain string, ts long, chain_id long, risk_score double")
+    names, write = [], replay.written
+    monkeypatch.setattr(replay, "written", lambda s, df, name: (names.append(name), write(s, df, name))[1])
+    monkeypatch.setattr(M, "RESTART_BLOCKS", 4, raising=False)
+    got = M.drift_monitor(d, block=20).collect()
+    assert {(r.domain, r.seq, r.severity, r.detector, r.threshold) for r in got} == {("wild", *e) for e in monitor([r[3] for r in rows])}
+    assert names.count("crossed") <= 4
+
+
 def test_fifty_quiet_blocks_in_few_rounds(spark, monkeypatch):
     """A CUSUM that creeps up over all blocks and is never at zero."""
     n = 50 * 20
