@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -68,7 +68,12 @@ def class_counts(df: DataFrame, label: str) -> tuple[int, int]:
 
 def fit_linear(df: DataFrame, names: list[str], label: str = "wrong", balanced: bool = False, c: float = 1.0,
                max_iter: int = 1000) -> Linear:
-    """Scaler and logistic regression; ``balanced`` weights both classes alike."""
+    """Scaler and logistic regression; ``balanced`` weights both classes alike.
+
+    The optimiser works along the principal axes of the features. Turning the axes leaves the penalty as it is, and the optimiser
+    scales each axis on its own, so features that go together cost no more passes over the rows, however many rows there are.
+    Axes on which the penalty far outweighs the rows are left to the Newton steps.
+    """
     wrong, right = class_counts(df, label)
     if not wrong or not right:
         raise ValueError("both classes are needed")
@@ -77,36 +82,53 @@ def fit_linear(df: DataFrame, names: list[str], label: str = "wrong", balanced:
     y = F.col(label).cast("double")
     w = F.when(y == 1, n / (2.0 * wrong)).otherwise(n / (2.0 * right)) if balanced else F.lit(1.0)
     data = df.select(scaled(names, mean, std).alias("x"), y.alias("y"), w.alias("w"))
-    m = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                           standardization=False, maxIter=max_iter, tol=1e-6).fit(data)
-    b = _newton(data, np.array([*m.coefficients, m.intercept], float), 1.0 / c)
+    axes, turned = np.eye(len(names)), data.withColumnRenamed("x", "z")
+    if len(names) > 1:
+        pca = PCA(k=len(names), inputCol="x", outputCol="turned").fit(data)
+        told = max(1, int((pca.explainedVariance.toArray() * len(names) * n > 0.01 / c).sum()))  # variances fall
+        axes = pca.pc.toArray()[:, :told]
+        turned = VectorSlicer(inputCol="turned", outputCol="z", indices=list(range(told))).transform(pca.transform(data))
+    m = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
+                           standardization=False, maxIter=max_iter, tol=1e-6).fit(turned)
+    b = _newton(data, np.array([*axes @ m.coefficients.toArray(), m.intercept], float), 1.0 / c)
     return Linear(list(names), mean, std, b[:-1].tolist(), float(b[-1]), wrong, right)
 
 
-def _newton(data: DataFrame, b: np.ndarray, penalty: float, steps: int = 3) -> np.ndarray:
-    """From near the optimum to it: a step needs the sums of gradient and curvature, (p + 1)(p + 2) / 2 + p + 1 numbers a task."""
+def _newton(data: DataFrame, b: np.ndarray, penalty: float, steps: int = 100) -> np.ndarray:
+    """From near the optimum to it: a step needs the sums of loss, gradient and curvature, (p + 1)(p + 2) / 2 + p + 2 numbers a task.
+
+    A step that makes the loss larger is halved. Errors are squared from step to step, so what is left after a move of 1e-9 is lost in rounding.
+    """
     p = len(b)
     upper = np.triu_indices(p)
+    ridge = np.append(np.full(p - 1, penalty), 0.0)
     rows = data.select(vector_to_array("x").alias("x"), "y", "w")
+    least, move = np.inf, np.zeros(p)
     for _ in range(steps):
         def sums(parts: Iterator[pd.DataFrame], b=b) -> Iterator[pd.DataFrame]:
-            g, h = np.zeros(p), np.zeros((p, p))
+            loss, g, h = 0.0, np.zeros(p), np.zeros((p, p))
             for pdf in parts:
                 x = np.column_stack([np.stack(pdf["x"].to_numpy()), np.ones(len(pdf))]) if len(pdf) else np.zeros((0, p))
-                q, w = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500))), pdf["w"].to_numpy(float)
-                g += x.T @ (w * (q - pdf["y"].to_numpy(float)))
+                z, y, w = x @ b, pdf["y"].to_numpy(float), pdf["w"].to_numpy(float)
+                q = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                loss += float(w @ (np.logaddexp(0, z) - y * z))
+                g += x.T @ (w * (q - y))
                 h += (x.T * (w * q * (1 - q))) @ x
-            both = np.concatenate([g, h[upper]])
+            both = np.concatenate([[loss], g, h[upper]])
             yield pd.DataFrame({"i": np.arange(len(both)), "v": both})
 
-        got = rows.mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-        ridge = np.append(np.full(p - 1, penalty), 0.0)
+        got = rows.mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+        loss = got[0] + float(ridge @ (b * b)) / 2
+        if loss > least * (1 + 1e-10):
+            move = move / 2
+            b = b + move
+            continue
         h = np.zeros((p, p))
-        h[upper] = got[p:]
+        h[upper] = got[p + 1:]
         h = h + np.triu(h, 1).T + np.diag(ridge)
-        move = np.linalg.lstsq(h, got[:p] + ridge * b, rcond=None)[0]
+        least, move = loss, np.linalg.lstsq(h, got[1:p + 1] + ridge * b, rcond=None)[0]
         b = b - move
-        if np.abs(move).max() < 1e-12:
+        if np.abs(move).max() < 1e-9:
             break
     return b
 

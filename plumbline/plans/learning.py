@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import risk as R
@@ -147,8 +149,11 @@ def g7(spark, base):
 def g8(spark, base):
     """Three runs against one table: the first model is stored, the others replace the stored one only if they are better by more than .005."""
     d, table = labelled_features(spark, base, "eleven"), ModelTable(spark)
-    for names, fit in ((["steps_norm"], None), (D.ELEVEN, lambda train: G.fit_pair(train, D.ELEVEN)), (["steps_norm"], None)):
-        table.offer("mini_judge", G.fit_linear(d, names), G.cross_validated(d, "chain_id", names, fit=fit))
+    runs = (["steps_norm"], None), (D.ELEVEN, lambda train: G.fit_pair(train, D.ELEVEN)), (["steps_norm"], None)
+    with ThreadPoolExecutor(len(runs)) as pool:  # fits do not wait for each other, offers go in order
+        made = list(pool.map(lambda r: (G.fit_linear(d, r[0]), G.cross_validated(d, "chain_id", r[0], fit=r[1])), runs))
+    for model, metric in made:
+        table.offer("mini_judge", model, metric)
     return table.versions().select("version", F.col("stored").alias("stored_auroc"), F.col("metric").alias("new_auroc"), "promoted")
 
 

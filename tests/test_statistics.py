@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +283,44 @@ def test_networks_train_as_published(spark, monkeypatch):
     G.ensemble_risk(d, d, "chain_id", ["a", "b"]).count()
     G.fit_pair(d, ["a", "b"])
     assert asked == [([32, 16], 30, 0.8, 0.01, 0.15, 500), 1000, ([64, 32], 1, None, 1e-4, 0.1, 500)]
+
+
+def test_linear_fit_takes_few_passes_however_many_rows(spark, monkeypatch):
+    """Features that go together, one of them twice and one that never varies; the optimum is that of Newton's method on all rows."""
+    passes = []
+
+    class Counted(G.LogisticRegression):
+        def _fit(self, d):
+            m = super()._fit(d)
+            passes.append(m.summary.totalIterations)
+            return m
+
+    monkeypatch.setattr(G, "LogisticRegression", Counted)
+    names = ["a", "b", "c", "e", "f", "g"]
+    for n in (400, 40_000):
+        rng = np.random.default_rng(n)
+        base, noise = rng.normal(size=n), rng.normal(size=(n, 4))
+        x = np.column_stack([base, base + 0.1 * noise[:, 0], base + 0.01 * noise[:, 1], base - 0.003 * noise[:, 2] + 0.1 * noise[:, 0], base, np.full(n, 7.0)])
+        y = (rng.random(n) < 1 / (1 + np.exp(-(base + noise[:, 1] - noise[:, 2])))).astype(int)
+        d = spark.createDataFrame(pd.DataFrame({**dict(zip(names, x.T)), "wrong": y}))
+        m = G.fit_linear(d, names, balanced=True)
+        dev = np.where(x.std(0) < 1e-8, 1.0, x.std(0))
+        z = np.column_stack([(x - x.mean(0)) / dev, np.ones(n)])
+        w, ridge, want = np.where(y == 1, n / 2 / y.sum(), n / 2 / (n - y.sum())), np.array([1.0] * len(names) + [0.0]), np.zeros(len(names) + 1)
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-z @ want))
+            want = want - np.linalg.solve((z.T * (w * q * (1 - q))) @ z + np.diag(ridge), z.T @ (w * (q - y)) + ridge * want)
+        np.testing.assert_allclose([*m.coef, m.intercept], want, atol=1e-7)
+    assert max(passes) <= 25, passes
+
+
+def test_newton_steps_end_at_the_optimum_from_afar(spark):
+    """One row lies 70 deviations out; undamped steps from this start make the loss larger."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=500), np.ones(500)])
+    x[0, 0] = 70.0
+    y = (rng.random(500) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    data = spark.createDataFrame([([float(a)], float(b), 1.0) for a, b in zip(x[:, 0], y)], "x array<double>, y double, w double").withColumn("x", G.array_to_vector("x"))
+    b = G._newton(data, np.array([-3.0, 4.0]), 1.0)
+    g = x.T @ (1 / (1 + np.exp(-x @ b)) - y) + np.array([1.0, 0.0]) * b
+    assert np.abs(g).max() < 1e-8
